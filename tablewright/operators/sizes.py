@@ -1,0 +1,19 @@
+"""Broadcast only what has been counted."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 100_000
+
+
+def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether the table has at most ``rows`` rows; stops counting after."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast for a counted small table; any other table is left to
+    a shuffle join, whose hot keys adaptive execution splits."""
+    return F.broadcast(df) if small_enough(df, rows) else df
