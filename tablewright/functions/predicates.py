@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .names import quoted, resolve
-from .parsing import number, truth
+from .parsing import FALSE_WORDS, TRUE_WORDS, number, truth
 
 COMPARISONS = {
     "equals": lambda a, b: a == b,
@@ -111,13 +111,23 @@ def cleaning_condition(df: DataFrame, name: str, operator: str, value=None) -> C
 BOOLEAN_ROLES = {"boolean_capability", "delivery_capability", "table_booking_capability"}
 
 
+def truth_of(value) -> bool:
+    """A condition's truth value, also from its word."""
+    word = str(value).strip().lower()
+    if isinstance(value, (bool, int, float)):
+        return bool(value)
+    if word in TRUE_WORDS or word in FALSE_WORDS:
+        return word in TRUE_WORDS
+    raise ValueError(f"{value!r} is no truth value")
+
+
 def role_condition(df: DataFrame, role: str, condition: dict) -> Column:
     name = resolve(condition["column"], df.columns)
     column, kind = quoted(name), df.schema[name].dataType
     operator, value, value2 = condition["operator"], condition.get("value"), condition.get("value2")
     if operator in ("equals", "not_equals"):
         if role in BOOLEAN_ROLES:
-            hit = F.coalesce(truth(column), F.lit(False)) == F.lit(bool(value))
+            hit = F.coalesce(truth(column), F.lit(False)) == F.lit(truth_of(value))
         else:
             hit = F.coalesce(compare(column, kind, "equals", value), F.lit(False))
         return hit if operator == "equals" else ~hit

@@ -296,3 +296,23 @@ def _trend_labels(t: DataFrame, groups, label: str) -> DataFrame:
         F.col("growth_percent").alias("growth_rate"), F.when(n == 1, "stable").otherwise(method).alias("method"),
         level.alias("significance_level"), F.round(slope, 6).alias("slope"), "r2", "p_value", "seasonal_period",
     )
+
+
+# ---- sentiment -----------------------------------------------------------
+
+
+def sentiment_rollup(labelled: DataFrame, entity: str | None = None, unknown: str = "Unknown") -> DataFrame:
+    """Counts per label, mean score and satisfaction of rows which carry
+    ``label`` and ``score``; overall, or per entity (blank → unknown)."""
+    counts = [F.count_if(F.col("label") == name).alias(name.lower()) for name in ("Positive", "Neutral", "Negative", "Mixed")]
+    happy = F.sum(F.when(F.col("label") == "Positive", 1.0).when(F.col("label") == "Mixed", 0.5).otherwise(0.0))
+    rows = F.count(F.lit(1))
+    measures = [
+        rows.alias("reviews"), *counts, F.round(F.avg("score"), 3).alias("average_score"),
+        F.round(F.try_divide(happy, rows) * 100, 1).alias("satisfaction"),
+    ]
+    if entity is None:
+        return labelled.agg(*measures)
+    text = F.trim(quoted(entity).cast("string"))
+    name = F.when(text.isNull() | (text == ""), unknown).otherwise(text)
+    return labelled.groupBy(name.alias("entity")).agg(*measures).orderBy(F.desc("satisfaction"), F.desc("reviews"), "entity")
