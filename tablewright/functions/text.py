@@ -83,11 +83,12 @@ def sentiment(text: Column, positive: Sequence[str] = POSITIVE_WORDS, negative:
 
 # ---- personal data -------------------------------------------------------
 
-EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
+# (?U) gives word signs and boundaries their Unicode meaning.
+EMAIL = r"(?iU)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 URL = r"(?i)https?://\S+|www\.\S+"
-PHONE = r"(?<!\w)(?:\+?\d[\d\s().-]{7,}\d)(?!\w)"
-STRICT_URL = r"(?i)\bhttps?://\S+\b"
-STRICT_PHONE = r"\b(?:\+?\d[\d\s().-]{7,}\d)\b"
+PHONE = r"(?U)(?<!\w)(?:\+?\d[\d\s().-]{7,}\d)(?!\w)"
+STRICT_URL = r"(?iU)\bhttps?://\S+\b"
+STRICT_PHONE = r"(?U)\b(?:\+?\d[\d\s().-]{7,}\d)\b"
 
 
 def masked(text: Column) -> Column:
@@ -106,7 +107,7 @@ def personal_data(text: Column) -> Column:
 def renamed(text: Column, aliases: Mapping[str, str]) -> Column:
     """Known names replaced by their aliases, whole words, longest first."""
     for name in sorted(filter(None, aliases), key=len, reverse=True):
-        text = F.regexp_replace(text, rf"(?i)(?<!\w)\Q{name}\E(?!\w)", aliases[name].replace("\\", "\\\\").replace("$", "\\$"))
+        text = F.regexp_replace(text, rf"(?iU)(?<!\w)\Q{name}\E(?!\w)", aliases[name].replace("\\", "\\\\").replace("$", "\\$"))
     return text
 
 
