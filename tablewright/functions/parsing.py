@@ -14,11 +14,16 @@ BLANK = rf"^[\s{INVISIBLE}]*$"
 TRUE_WORDS = ["yes", "y", "true", "1", "available", "open", "on", "enabled"]
 FALSE_WORDS = ["no", "n", "false", "0", "not available", "closed", "off", "disabled"]
 
-# Date formats tried after the ISO cast, first match wins.
-DATE_FORMATS = [
-    "MM/dd/yyyy", "dd/MM/yyyy", "yyyy/MM/dd", "dd-MM-yyyy", "d MMM yyyy",
-    "MMM d, yyyy", "MMMM d, yyyy", "MM/dd/yyyy HH:mm", "MM/dd/yyyy HH:mm:ss",
-]
+# Date formats after the ISO cast, by the shape of the text; first match wins.
+DATE_SHAPES = {
+    r"^\d{1,2}/\d{1,2}/\d{4}$": ["MM/dd/yyyy", "dd/MM/yyyy"],
+    r"^\d{1,2}/\d{1,2}/\d{4} ": ["MM/dd/yyyy HH:mm", "MM/dd/yyyy HH:mm:ss"],
+    r"^\d{4}/": ["yyyy/MM/dd"],
+    r"^\d{1,2}-\d{1,2}-\d{4}$": ["dd-MM-yyyy"],
+    r"^\d{1,2} [A-Za-z]{3} \d{4}$": ["d MMM yyyy"],
+    r"^[A-Za-z]{3} \d{1,2}, \d{4}$": ["MMM d, yyyy"],
+    r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$": ["MMMM d, yyyy"],
+}
 
 
 def number(value: Column, kind: T.DataType | None = None) -> Column:
@@ -29,16 +34,19 @@ def number(value: Column, kind: T.DataType | None = None) -> Column:
     return F.when(~as_double.isin(float("nan"), float("inf"), float("-inf")), as_double)
 
 
-def timestamp(value: Column, kind: T.DataType | None = None, formats=DATE_FORMATS) -> Column:
-    """Timestamp or null, over ISO text and a list of known formats."""
+def timestamp(value: Column, kind: T.DataType | None = None, shapes=DATE_SHAPES) -> Column:
+    """Timestamp or null, over ISO text and the known formats.  A format is
+    tried only on text of its shape, since a failed parse is slow."""
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return value.cast("timestamp")
     if isinstance(kind, T.NumericType):
         return F.lit(None).cast("timestamp")
     text = F.trim(value.cast("string"))
     # A bare number such as "2024" is not taken for a date.
-    iso = F.when(text.rlike(r"^\d{4}-\d"), text.try_cast("timestamp"))
-    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    parsed = F.when(text.rlike(r"^\d{4}-\d"), text.try_cast("timestamp"))
+    for shape, formats in shapes.items():
+        parsed = parsed.when(text.rlike(shape), F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]))
+    return parsed
 
 
 def truth(value: Column) -> Column:

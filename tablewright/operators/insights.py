@@ -184,34 +184,65 @@ def trend(
     rows = df.select(*groups, *[quoted(n).alias(f"__o{i}") for i, n in enumerate(names)], shown.alias("label"),
                      number(quoted(value), df.schema[value].dataType).alias("y")).filter("y is not null")
     place = [(f"__o{i}", o[1] if isinstance(o, tuple) else False) for i, o in enumerate(order)]
-    # Written once: the passes below all start from it.
-    rows = durable(ordered.row_index(rows, place, keys, "x", small).select(*groups, "x", "label", "y"))
+    rows = ordered.row_index(rows, place, keys, "x", small).select(*groups, "x", "label", "y")
+    title = label or value.replace("_", " ").title()
+    return _trend_labels((_short_series if small else _long_series)(rows, groups, keys), groups, title)
 
-    # First pass: fit, ends and extremes.  Sums are centred by Spark itself.
+
+def _fit() -> dict[str, Column]:
+    """Moments, ends and extremes of a series."""
     x, y = (F.col("x") - 1).cast("double"), F.col("y")
     log_y = F.when(y > 0, F.log(y))
-    fit = rows.groupBy(*groups).agg(
-        F.count(y).alias("n"), F.avg(y).alias("mean_y"), F.avg(x).alias("mean_x"), F.var_pop(x).alias("sxx"), F.var_pop(y).alias("syy"),
-        F.covar_pop(x, y).alias("sxy"), F.min_by(y, x).alias("first"), F.max_by(y, x).alias("last"), F.min(y).alias("least"),
-        F.max_by("label", F.struct(y, -x)).alias("highest_period"), F.min_by("label", F.struct(y, x)).alias("lowest_period"),
-        F.covar_pop(x, log_y).alias("lxy"), F.var_pop(log_y).alias("lyy"),
-    )
+    return {
+        "n": F.count(y), "mean_y": F.avg(y), "mean_x": F.avg(x), "sxx": F.var_pop(x), "syy": F.var_pop(y), "sxy": F.covar_pop(x, y),
+        "first": F.min_by(y, x), "last": F.max_by(y, x), "least": F.min(y), "highest_period": F.max_by("label", F.struct(y, -x)),
+        "lowest_period": F.min_by("label", F.struct(y, x)), "lxy": F.covar_pop(x, log_y), "lyy": F.var_pop(log_y),
+    }
+
+
+def _with_line(fitted: DataFrame) -> DataFrame:
     slope = F.coalesce(F.try_divide("sxy", "sxx"), F.lit(0.0))
     square = lambda xy, yy: F.when(F.col(yy) == 0, 1.0).when(F.col("sxx") == 0, 0.0).otherwise(
         F.least(F.lit(1.0), F.try_divide(F.col(xy) * F.col(xy), F.col("sxx") * F.col(yy)))
     )
-    fit = fit.withColumns({"slope": slope, "r2": square("sxy", "syy"), "log_r2": square("lxy", "lyy")})
-    fit = fit.withColumn("intercept", F.col("mean_y") - F.col("slope") * F.col("mean_x"))
+    lined = fitted.withColumns({"slope": slope, "r2": square("sxy", "syy"), "log_r2": square("lxy", "lyy")})
+    return lined.withColumn("intercept", F.col("mean_y") - F.col("slope") * F.col("mean_x"))
+
+
+def _short_series(rows: DataFrame, groups, keys: Sequence[str]) -> DataFrame:
+    """All of it over windows of the group: one shuffle, one job."""
+    whole = Window.partitionBy(*groups)
+    fit = _fit()
+    fitted = _with_line(rows.select("*", *[c.over(whole).alias(n) for n, c in fit.items()]))
+    fitted = fitted.withColumn("residual", F.col("y") - F.col("intercept") - F.col("slope") * (F.col("x") - 1))
+    line = whole.orderBy("x")
+    seen = fitted.select("*", F.lag("y").over(line).alias("before"), *[F.lag("residual", k).over(line).alias(f"back{k}") for k in LAGS])
+    upto = line.rowsBetween(Window.unboundedPreceding, 0)
+    up, down = (F.coalesce(t, F.lit(False)) for t in (F.col("y") > F.col("before"), F.col("y") < F.col("before")))
+    seen = seen.withColumns({"up": up, "down": down})
+    # A run's length is the distance to the last row which broke it.
+    last_break = lambda flag: F.max(F.when(~F.col(flag), F.col("x"))).over(upto)
+    seen = seen.withColumns({"rise": F.col("x") - last_break("up"), "fall": F.col("x") - last_break("down")})
+    kept = [*fit, "slope", "r2", "log_r2", "intercept"]
+    one = seen.groupBy(*groups).agg(
+        *[F.any_value(c).alias(c) for c in kept], *_lag_sums(), F.max("rise").alias("consecutive_increase"), F.max("fall").alias("consecutive_decrease")
+    )
+    # Without groups an aggregate of no rows is still a row.
+    return one.filter("n is not null").withColumn("seasonal_period", _first_lag())
 
-    # Second pass: runs and the residuals' repeat.
+
+def _long_series(rows: DataFrame, groups, keys: Sequence[str]) -> DataFrame:
+    """The same by chunked scans; the indexed rows are written once, as
+    several passes start from them."""
+    rows = durable(rows)
+    fit = _with_line(rows.groupBy(*groups).agg(*[c.alias(n) for n, c in _fit().items()])).filter("n > 0")
     with_fit = _with_groups(rows, fit.select(*groups, "slope", "intercept", "n"), keys)
     with_fit = with_fit.withColumn("residual", F.col("y") - F.col("intercept") - F.col("slope") * (F.col("x") - 1))
     looks = {"before": lambda w: F.lag("y").over(w)}
     looks |= {f"back{k}": (lambda k: lambda w: F.lag("residual", k).over(w))(k) for k in LAGS}
-    seen = ordered.with_neighbours(with_fit, ["x"], max(LAGS), looks, keys, small, index="x")
-    season = _season(seen, groups)
-    runs = _runs(seen, groups, keys, small)
-    return _trend_labels(_with_groups(_with_groups(fit, season, keys), runs, keys), groups, label or value.replace("_", " ").title())
+    seen = durable(ordered.with_neighbours(with_fit, ["x"], max(LAGS), looks, keys, index="x"))
+    season = seen.groupBy(*groups).agg(F.max("n").alias("n"), *_lag_sums()).select(*groups, _first_lag().alias("seasonal_period"))
+    return _with_groups(_with_groups(fit, season, keys), _runs(seen, groups, keys), keys)
 
 
 def _with_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -223,33 +254,35 @@ def _with_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Data
     return left.withColumn("__left", F.lit(1)).join(one, F.col("__left") == F.col("__one"), "left").drop("__one", "__left")
 
 
-def _season(seen: DataFrame, groups) -> DataFrame:
-    """First lag with a residual correlation of at least .75."""
+def _lag_sums() -> list[Column]:
+    """Moments of the residuals against themselves k rows before."""
     sums = []
     for k in LAGS:
-        a = F.when(F.col(f"back{k}").isNotNull(), F.col("residual"))
-        b = F.col(f"back{k}")
+        a, b = F.when(F.col(f"back{k}").isNotNull(), F.col("residual")), F.col(f"back{k}")
         sums += [F.covar_pop(a, b).alias(f"c{k}"), F.var_pop(a).alias(f"a{k}"), F.var_pop(b).alias(f"b{k}")]
-    one = seen.groupBy(*groups).agg(F.max("n").alias("__n"), *sums)
+    return sums
+
+
+def _first_lag() -> Column:
+    """First lag with a residual correlation of at least .75."""
     steps = []
     for k in LAGS:
         strong = F.try_divide(F.col(f"c{k}"), F.sqrt(F.col(f"a{k}")) * F.sqrt(F.col(f"b{k}"))) >= 0.75
-        allowed = (F.col("__n") >= 6) & (F.lit(k) <= F.floor(F.col("__n") / 2))
+        allowed = (F.col("n") >= 6) & (F.lit(k) <= F.floor(F.col("n") / 2))
         steps.append(F.when(allowed & strong, k))
-    return one.select(*groups, F.coalesce(*steps).alias("seasonal_period"))
+    return F.coalesce(*steps)
 
 
-def _runs(seen: DataFrame, groups, keys: Sequence[str], small: bool) -> DataFrame:
+def _runs(seen: DataFrame, groups, keys: Sequence[str]) -> DataFrame:
     """Longest rising and falling runs: rows between two breaks share the
     number of breaks so far."""
     up, down = F.col("y") > F.col("before"), F.col("y") < F.col("before")
     flagged = seen.select(*groups, "x", F.coalesce(up, F.lit(False)).alias("up"), F.coalesce(down, F.lit(False)).alias("down"))
     flagged = flagged.withColumns({"not_up": (~F.col("up")).cast("int"), "not_down": (~F.col("down")).cast("int")})
-    flagged = ordered.running_total(flagged, "not_up", ["x"], keys, "rise", small)
-    flagged = ordered.running_total(flagged, "not_down", ["x"], keys, "fall", small)
     longest = None
-    for flag, island, out in (("up", "rise", "consecutive_increase"), ("down", "fall", "consecutive_decrease")):
-        lengths = flagged.groupBy(*groups, island).agg(F.count_if(F.col(flag)).alias("length"))
+    for flag, broken, out in (("up", "not_up", "consecutive_increase"), ("down", "not_down", "consecutive_decrease")):
+        islands = ordered.running_total(flagged, broken, ["x"], keys, "island")
+        lengths = islands.groupBy(*groups, "island").agg(F.count_if(F.col(flag)).alias("length"))
         part = lengths.groupBy(*groups).agg(F.max("length").alias(out))
         longest = part if longest is None else _with_groups(longest, part, keys)
     return longest

@@ -54,6 +54,10 @@ def concentration(df: DataFrame, entity: str, value: str) -> DataFrame:
     return totals.agg(F.round(F.try_divide(F.max("w") * 100.0, F.sum("w")), 2).alias("top_share_percent"))
 
 
+def _measure(value: str | tuple[str, str]) -> Column:
+    return quoted(value) if isinstance(value, str) else quoted(value[0]) - quoted(value[1])
+
+
 def kpis(df: DataFrame, order: Sequence | None = None, period: Column | None = None) -> DataFrame:
     """One row per figure the columns allow: value or name, trend, unit,
     confidence, importance, category, rank.
@@ -78,6 +82,18 @@ def kpis(df: DataFrame, order: Sequence | None = None, period: Column | None = N
     total, filled = (lambda c: F.col(f"`sum:{c}`")), (lambda c: F.col(f"`n:{c}`"))
 
     known: dict[tuple, dict] = {}
+    profit_parts = (revenue[0], cost[0]) if revenue and cost and not direct else None
+    if period is not None and when is not None:
+        # All series in one pass over the table, all trends in one job.
+        series = {(m, "sum"): _measure(m) for m in {c[0] for c in (revenue, direct, order_value) if c} | ({profit_parts} if profit_parts else set())}
+        sums = {k: F.sum(c) for k, c in series.items()} | ({(order_id[0], "distinct"): F.countDistinct(quoted(order_id[0]))} if order_id else {})
+        names = {f"m{i}": k for i, k in enumerate(sums)}
+        per = df.groupBy(period.alias("period")).agg(*[c.cast("double").alias(n) for n, c in zip(names, sums.values())])
+        cells = F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).alias("value")) for n in names])
+        long = per.select("period", F.inline(cells)) if names else None
+        if long is not None:
+            for row in insights.trend(long, "value", ["period"], group_by=["measure"], small=True).collect():
+                known[names[row["measure"]]] = row.asDict()
 
     def trend_of(value: str | tuple[str, str], field: str = "trend", function: str = "sum") -> Column:
         """Field of the trend of a column, or of the difference of two.  One
@@ -85,12 +101,8 @@ def kpis(df: DataFrame, order: Sequence | None = None, period: Column | None = N
         if when is None or (order is None and period is None):
             return F.lit(None)
         if (value, function) not in known:
-            measure = quoted(value) if isinstance(value, str) else quoted(value[0]) - quoted(value[1])
-            rows = df.withColumn("__measure", measure)
-            if period is not None:
-                series = insights.period_series(rows, "__measure", period, function)
-                found = insights.trend(series, "value", ["period"], small=True)
-            elif function == "distinct":
+            rows = df.withColumn("__measure", _measure(value))
+            if function == "distinct":
                 series = insights.period_series(rows, "__measure", quoted(when), function)
                 found = insights.trend(series, "value", ["period"])
             else:

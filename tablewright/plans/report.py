@@ -48,8 +48,8 @@ def build_report(
             out["trend"] = durable(insights.trend(df, value, order))
     if advise or "outliers" in wanted:
         out["outliers"] = durable(insights.outliers(df))
-    if advise or "detected_kpis" in wanted:
-        out["detected_kpis"] = durable(kpis.kpis(df, order, period))
+    if "detected_kpis" in wanted:
+        out["detected_kpis"] = kpis.kpis(df, order, period)
     if summary or "data_quality" in wanted:
         out["data_quality"] = durable(profile.quality_score(df))
     if advise:

@@ -144,7 +144,7 @@ def mask_personal_data(spark, folder):
 
 @query(r"""
 SELECT source, count(*) AS n, count(*) FILTER (regexp_matches(text, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}($|[^\p{L}\p{N}_])')) AS emails,
-  count(*) FILTER (regexp_matches(text, '\d[\d\s().-]{7,}\d')) AS phones, count(*) FILTER (regexp_matches(text, '(?i)https?://\S')) AS urls FROM documents GROUP BY 1
+  count(*) FILTER (regexp_matches(text, '(^|[^\p{L}\p{N}_])\d[\d\s().-]{7,}\d($|[^\p{L}\p{N}_])')) AS phones, count(*) FILTER (regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])https?://\S')) AS urls FROM documents GROUP BY 1
 """)
 def personal_data_by_source(spark, folder):
     flagged = load(spark, folder, "documents").withColumn("f", text.personal_data(F.col("text")))
@@ -260,20 +260,20 @@ def bag(c):
 @query(f"""
 WITH t AS (SELECT DISTINCT role, {norm('text')} AS n, {bag('text')} AS w FROM conversations)
 SELECT a.n AS left_text, b.n AS right_text, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE, 6) AS jaccard
-FROM t a, t b WHERE a.role = 'user' AND b.role = 'assistant' AND len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE >= 0.2
+FROM t a, t b WHERE a.role = 'user' AND b.role = 'assistant' AND len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE >= 0.1
 """)
 def word_overlap_pairs(spark, folder):
     turns = load(spark, folder, "conversations")
-    found = matching.word_overlap(turns.filter("role = 'user'"), turns.filter("role = 'assistant'"), "conv_id", "text", 0.2)
+    found = matching.word_overlap(turns.filter("role = 'user'"), turns.filter("role = 'assistant'"), "conv_id", "text", 0.1)
     return found.select("left_text", "right_text", r("jaccard", 6))
 
 
 PROBES = """SELECT id AS probe_id, CASE WHEN id % 3 = 0 THEN user_query || '!' WHEN id % 3 = 1 THEN user_query || ' please' ELSE substr(user_query, 11) END AS user_query FROM log"""
 
 
-def probes(spark, folder):
+def probes(spark, folder, log=None):
     q, i = F.col("user_query"), F.col("id")
-    return query_log(spark, folder).select(
+    return (log or query_log(spark, folder)).select(
         i.alias("probe_id"), F.when(i % 3 == 0, F.concat(q, F.lit("!"))).when(i % 3 == 1, F.concat(q, F.lit(" please"))).otherwise(F.substring(q, 11, 1 << 20)).alias("user_query")
     )
 
