@@ -92,10 +92,15 @@ STRICT_PHONE = r"(?U)\b(?:\+?\d[\d\s().-]{7,}\d)\b"
 
 
 def masked(text: Column) -> Column:
-    """E-mail addresses, web addresses and phone numbers replaced by marks."""
-    for pattern, mark in ((EMAIL, "<EMAIL>"), (URL, "<URL>"), (PHONE, "<PHONE>")):
-        text = F.regexp_replace(text, pattern, mark)
-    return text
+    """E-mail addresses, web addresses and phone numbers replaced by marks.
+    A cheap search for a sign every match holds spares most texts the
+    pattern."""
+    holds = lambda *signs: reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(s)) for s in signs])
+    masks = ((EMAIL, "<EMAIL>", holds("@")), (URL, "<URL>", holds("://", "www.")), (PHONE, "<PHONE>", text.rlike(r"(?U)\d[\d\s().-]{7}")))
+    done = text
+    for pattern, mark, worth in masks:
+        done = F.when(worth, F.regexp_replace(done, pattern, mark)).otherwise(done)
+    return done
 
 
 def personal_data(text: Column) -> Column:

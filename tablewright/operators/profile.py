@@ -101,14 +101,25 @@ def row_groups(df: DataFrame, columns: Sequence[str] | None = None, out: str = "
     return df.groupBy(*[quoted(c) for c in (columns or df.columns)]).agg(F.count(F.lit(1)).alias(out))
 
 
+def twin_groups(df: DataFrame, out: str = "copies") -> DataFrame:
+    """Distinct rows with two copies or more.
+
+    Only a 64-bit hash per row is shuffled at first; whole rows are compared
+    just where a hash occurs twice, so a table of mostly different rows is
+    never shuffled whole.  Hash collisions are told apart by the rows.
+    """
+    hashed = df.withColumn("__hash", F.xxhash64(*[quoted(c) for c in df.columns]))
+    twice = hashed.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__hash")
+    suspects = hashed.join(twice, "__hash", "left_semi").drop("__hash")
+    return row_groups(suspects, df.columns, out).filter(F.col(out) > 1)
+
+
 def duplicate_counts(df: DataFrame) -> DataFrame:
     """Rows, rows beyond the first of their kind, and rows having any twin."""
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return row_groups(df).agg(
-        zero(F.sum("copies")).alias("rows"),
-        zero(F.sum(F.col("copies") - 1)).alias("duplicate_rows"),
-        zero(F.sum(F.when(F.col("copies") > 1, F.col("copies")))).alias("duplicated_rows"),
-    )
+    twins = twin_groups(df).agg(zero(F.sum(F.col("copies") - 1)).alias("duplicate_rows"), zero(F.sum("copies")).alias("duplicated_rows"))
+    rows = df.select(F.count(F.lit(1))).scalar()
+    return twins.select(rows.alias("rows"), "duplicate_rows", "duplicated_rows")
 
 
 def looks_like_date(name: str, kind: T.DataType) -> bool | None:
@@ -126,21 +137,19 @@ def quality_grade(score: Column) -> Column:
 
 def quality_score(df: DataFrame) -> DataFrame:
     """0–100 mean of four parts: filled cells, rows without a twin, valid
-    dates, columns which are not empty.  One scan and one row-group job."""
+    dates, columns which are not empty.  One scan and one twin search."""
     kinds = {f.name: f.dataType for f in df.schema}
     if not kinds:
         empty = [(0, 0, 0, 0, 0, 0, 0, 100.0, "Excellent")]
         return df.sparkSession.createDataFrame(empty, "rows long, columns int, missing_cells long, duplicated_rows long, invalid_dates long, date_cells long, empty_columns int, quality_score double, quality_grade string")
-    # The rows are reduced to distinct ones first; copies weigh their number.
-    groups = row_groups(df, out="__copies")
-    weight = F.col("__copies")
-    sums = [F.sum(weight).alias("rows"), F.sum(F.when(weight > 1, weight).otherwise(0)).alias("duplicated_rows")]
+    twins = twin_groups(df).select(F.coalesce(F.sum("copies"), F.lit(0))).scalar()
+    sums = [F.count(F.lit(1)).alias("rows")]
     for i, (c, kind) in enumerate(kinds.items()):
         gone = is_missing(quoted(c), kind)
-        sums.append(F.sum(F.when(gone, weight).otherwise(0)).alias(f"m{i}"))
+        sums.append(F.count_if(gone).alias(f"m{i}"))
         if looks_like_date(c, kind) is not False and not isinstance(kind, T.NumericType):
-            sums.append(F.sum(F.when(~gone & timestamp(quoted(c), kind).isNotNull(), weight).otherwise(0)).alias(f"p{i}"))
-    one = groups.agg(*sums).na.fill(0)
+            sums.append(F.count_if(~gone & timestamp(quoted(c), kind).isNotNull()).alias(f"p{i}"))
+    one = df.agg(*sums).withColumn("duplicated_rows", twins)
     rows = F.col("rows")
     total = F.lit(0).cast("long")
     missing_cells = sum((F.col(f"m{i}") for i in range(len(kinds))), total)
@@ -175,12 +184,10 @@ def cleaning_comparison(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows and columns removed, missing cells and duplicates on both sides."""
 
     def side(df: DataFrame, tag: str) -> DataFrame:
-        cells = [F.when(quoted(c).isNull(), F.col("__copies")).otherwise(0) for c in df.columns]
-        return row_groups(df, out="__copies").agg(
-            F.coalesce(F.sum("__copies"), F.lit(0)).alias(f"rows_{tag}"),
-            F.coalesce(F.sum(sum(cells, F.lit(0))), F.lit(0)).cast("long").alias(f"missing_{tag}"),
-            F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0)).alias(f"duplicates_{tag}"),
-        )
+        gaps = sum((F.count_if(quoted(c).isNull()) for c in df.columns), F.lit(0))
+        extra = twin_groups(df).select(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))).scalar()
+        one = df.agg(F.count(F.lit(1)).alias(f"rows_{tag}"), gaps.cast("long").alias(f"missing_{tag}"))
+        return one.withColumn(f"duplicates_{tag}", extra)
 
     measures = ["rows", "missing", "duplicates"]
     left = side(before, "before").select(*[F.col(f"{m}_before") for m in measures], *[F.lit(None).cast("long").alias(f"{m}_after") for m in measures])

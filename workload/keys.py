@@ -44,7 +44,8 @@ SELECT "column", role, round(confidence, 4)::DOUBLE AS confidence, rule FROM (
   UNION ALL SELECT 'segment', 'category', 1 - count(DISTINCT segment) / (SELECT rows FROM n), 'category' FROM t
   UNION ALL SELECT 'mail', 'email', count(*) FILTER (regexp_matches(mail, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+')) / (SELECT rows FROM n), 'email' FROM t
   UNION ALL SELECT 'phone', 'phone', count(*) FILTER (regexp_matches(phone, '^\\+?[\\d\\s\\-().]{{7,20}}$')) / (SELECT rows FROM n), 'phone' FROM t
-  UNION ALL SELECT 'joined', 'category', 1 - count(DISTINCT joined) / (SELECT rows FROM n), 'category' FROM t
+  UNION ALL SELECT 'joined', CASE WHEN d > 0.85 THEN 'category' ELSE 'date' END, greatest(d, 0.85), CASE WHEN d > 0.85 THEN 'category' ELSE 'date' END
+    FROM (SELECT 1 - count(DISTINCT joined) / (SELECT rows FROM n) AS d FROM t)
   UNION ALL SELECT 'discount', 'percentage', 1.0, 'percentage')
 """)
 def column_roles(spark, folder):
