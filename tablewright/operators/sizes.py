@@ -1,4 +1,4 @@
-"""Broadcast only what has been counted."""
+"""Broadcast only what has been measured."""
 
 from __future__ import annotations
 
@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the table has at most ``rows`` rows; stops counting after."""
-    return df.limit(rows + 1).count() <= rows
+def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether the table has at most ``rows`` rows and, as text, ``size``
+    bytes.  Reads no more than one row above the limit."""
+    length = F.octet_length(F.to_json(F.struct(*df.columns))).cast("long")
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(length), F.lit(0))).first()
+    return found[0] <= rows and found[1] <= size
 
 
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast for a counted small table; any other table is left to
+    """Hint a broadcast for a table measured small; any other table is left to
     a shuffle join, whose hot keys adaptive execution splits."""
     return F.broadcast(df) if small_enough(df, rows) else df

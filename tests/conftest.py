@@ -12,7 +12,7 @@ from tablewright.session import build_session  # noqa: E402
 def spark():
     session = build_session(
         "tests", "local[4]",
-        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "6g"},
+        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "6g", "spark.sql.maxMetadataStringLength": "10000"},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
