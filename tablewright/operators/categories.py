@@ -13,7 +13,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import quoted
+from ..functions.names import quoted, text_columns
+from .profile import boolean_like
+from .roles import column_operations
 from .sizes import maybe_broadcast
 
 UNKNOWN = "Unknown"
@@ -162,3 +164,18 @@ def standardise(df: DataFrame, columns: Mapping[str, str], suffix: str = "_stand
     for name, kind in columns.items():
         df = apply_mapping(df, name, value_mapping(df, {name: kind}), f"{name}{suffix}", UNKNOWN)
     return df
+
+
+def categorise(df: DataFrame, columns: Sequence[str], request: str = "", suffix: str = "_standard") -> tuple[DataFrame, DataFrame]:
+    """Standardise the columns which allow it and leave the others alone:
+    (table, status).  Status rows are (column, operation, status)."""
+    known = {r["column"]: r["operation"] for r in column_operations(df.select(*[quoted(c) for c in columns if c in df.columns]), request).collect()}
+    truths = {r["column"] for r in boolean_like(df, [c for c in columns if c in text_columns(df)]).filter("boolean_like").collect()} if known else set()
+    rows = []
+    for c in columns:
+        operation = known.get(c, "unknown")
+        allowed = operation == "categorical_normalization"
+        rows.append((c, operation, "done" if allowed else "missing" if c not in known else "protected"))
+        if allowed:
+            df = standardise(df, {c: kind_of_column(c, c in truths)}, suffix)
+    return df, df.sparkSession.createDataFrame(rows, "column string, operation string, status string")

@@ -317,3 +317,9 @@ def change_counts(before: DataFrame, after: DataFrame, key: Sequence[str]) -> Da
     rows = [F.struct(F.lit("(any column)").alias("column"), F.col("any").alias("changed"))]
     rows += [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("changed")) for i, c in enumerate(differs)]
     return one.select(F.inline(F.array(*rows)))
+
+
+def row_difference(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows only one table has, copies counted: (side, …columns)."""
+    removed = before.exceptAll(after.select(*before.columns)).withColumn("side", F.lit("removed"))
+    return removed.unionByName(after.select(*before.columns).exceptAll(before).withColumn("side", F.lit("added")))

@@ -24,7 +24,7 @@ def priority(value: Column, medium: float, high: float) -> Column:
     return F.when(value >= high, "High").when(value >= medium, "Medium").otherwise("Low")
 
 
-def _rule(test: Column, category: str, advice: str, reason: Column, value: Column, marks: tuple[float, float], span: tuple[float, float]) -> Column:
+def rule(test: Column, category: str, advice: str, reason: Column, value: Column, marks: tuple[float, float], span: tuple[float, float]) -> Column:
     level = priority(value, *marks)
     row = F.struct(
         F.lit(category).alias("category"), level.alias("priority"), F.lit(advice).alias("recommendation"), reason.alias("reason"),
@@ -37,8 +37,7 @@ def _shown(value: Column) -> Column:
     return value.cast("double").cast("string")
 
 
-def recommendations(findings: DataFrame, keys: list[str]) -> DataFrame:
-    """Triggered advice per row of the findings, most pressing first."""
+def default_rules() -> list[Column]:
     revenue = F.coalesce("revenue_decline", F.lit(0.0))
     by_trend = F.coalesce(F.col("margin_trend") == "Decreasing", F.lit(False))
     fell = F.col("margin_change_percent") < 0
@@ -46,23 +45,29 @@ def recommendations(findings: DataFrame, keys: list[str]) -> DataFrame:
     margin_reason = F.when(by_trend, F.concat(F.lit("Profit margin is trending downward, declining "), _shown(margin), F.lit("% over the analyzed period."))).otherwise(
         F.concat(F.lit("Profit margin fell by "), _shown(margin), F.lit("% compared to the prior period.")))
     gaps, share, outside = F.col("worst_missing_percent"), F.col("top_share_percent"), F.col("worst_outlier_percent")
-    rules = F.array(
-        _rule(F.col("revenue_trend") == "Decreasing", "Revenue", "Improve marketing strategy",
+    return [
+        rule(F.col("revenue_trend") == "Decreasing", "Revenue", "Improve marketing strategy",
               F.concat(F.lit("Revenue is trending downward, declining "), _shown(revenue), F.lit("% over the analyzed period.")),
               revenue, (5.0, 15.0), (2.0, 25.0)),
-        _rule(by_trend | fell, "Profitability", "Review pricing strategy", margin_reason, margin, (3.0, 10.0), (1.0, 20.0)),
-        _rule(gaps >= 20, "Data Quality", "Improve data quality",
+        rule(by_trend | fell, "Profitability", "Review pricing strategy", margin_reason, margin, (3.0, 10.0), (1.0, 20.0)),
+        rule(gaps >= 20, "Data Quality", "Improve data quality",
               F.concat(F.col("missing_columns").cast("string"), F.lit(" column(s) have high missing-value rates (worst: '"),
                        F.col("worst_missing_column"), F.lit("' at "), _shown(gaps), F.lit("% missing).")), gaps, (30.0, 50.0), (20.0, 80.0)),
-        _rule(share >= 40, "Customers", "Diversify customer base",
+        rule(share >= 40, "Customers", "Diversify customer base",
               F.concat(F.lit("A single customer (or small group) accounts for "), _shown(share), F.lit("% of revenue, a significant concentration risk.")),
               share, (50.0, 60.0), (40.0, 80.0)),
-        _rule(outside >= 10, "Data Quality", "Investigate and clean outlier records",
+        rule(outside >= 10, "Data Quality", "Investigate and clean outlier records",
               F.concat(F.lit("Column '"), F.col("worst_outlier_column"), F.lit("' has an unusually high rate of outliers ("), _shown(outside),
                        F.lit("% of values), which may distort analysis.")), outside, (15.0, 25.0), (10.0, 40.0)),
-    )
+    ]
+
+
+def recommendations(findings: DataFrame, keys: list[str], rules: list[Column] | None = None) -> DataFrame:
+    """Triggered advice per row of the findings, most pressing first.  Rules
+    are columns made by ``rule``; pass more, fewer or other ones."""
     rank = F.when(F.col("priority") == "High", 0).when(F.col("priority") == "Medium", 1).otherwise(2)
-    rows = findings.select(*keys, F.explode(F.array_compact(rules)).alias("r")).select(*keys, "r.*")
+    fired = F.array_compact(F.array(*(default_rules() if rules is None else rules)))
+    rows = findings.select(*keys, F.explode(fired).alias("r")).select(*keys, "r.*")
     return rows.orderBy(*keys, rank, F.desc("confidence"), "recommendation")
 
 

@@ -58,13 +58,15 @@ def _measure(value: str | tuple[str, str]) -> Column:
     return quoted(value) if isinstance(value, str) else quoted(value[0]) - quoted(value[1])
 
 
-def kpis(df: DataFrame, order: Sequence | None = None, period: Column | None = None) -> DataFrame:
+def kpis(df: DataFrame, order: Sequence | None = None, period: Column | None = None, extra: Sequence[dict] = ()) -> DataFrame:
     """One row per figure the columns allow: value or name, trend, unit,
     confidence, importance, category, rank.
 
     Trends follow the rows in ``order``; with ``period`` (an expression such
     as a month) values are summed per period first, which is the form for
-    large tables.  Without either there are no trends.
+    large tables.  Without either there are no trends.  ``extra`` adds
+    figures: dicts of name, value (an aggregate), unit, confidence, importance
+    and category; they join the one scan of the built-in ones.
     """
     numbers = numeric_columns(df)
     revenue, direct = find_column(numbers, REVENUE), find_column(numbers, PROFIT)
@@ -78,6 +80,7 @@ def kpis(df: DataFrame, order: Sequence | None = None, period: Column | None = N
     if not direct and revenue and cost:
         both = quoted(revenue[0]).isNotNull() & quoted(cost[0]).isNotNull()
         sums.append(F.sum(F.when(both, quoted(revenue[0]) - quoted(cost[0]))).cast("double").alias("derived"))
+    sums += [e["value"].cast("double").alias(f"extra:{i}") for i, e in enumerate(extra)]
     one = df.agg(*sums)
     total, filled = (lambda c: F.col(f"`sum:{c}`")), (lambda c: F.col(f"`n:{c}`"))
 
@@ -114,8 +117,8 @@ def kpis(df: DataFrame, order: Sequence | None = None, period: Column | None = N
     sure = lambda *parts: round(min(parts), 4)
     rows: list[dict] = []
 
-    def add(name, confidence, unit, value=None, entity=None, trend=None):
-        importance, category = ABOUT[name]
+    def add(name, confidence, unit, value=None, entity=None, trend=None, about=None):
+        importance, category = about or ABOUT[name]
         rows.append({
             "name": F.lit(name), "value": (F.lit(None) if value is None else value).cast("double"),
             "entity": (F.lit(None) if entity is None else entity).cast("string"),
@@ -161,6 +164,8 @@ def kpis(df: DataFrame, order: Sequence | None = None, period: Column | None = N
         add("Order Count", 0.55, "count", F.when(F.col("rows") > 0, F.col("rows")))
     if customer:
         add("Customer Count", customer[1], "count", df.select(F.countDistinct(quoted(customer[0]))).scalar())
+    for i, e in enumerate(extra):
+        add(e["name"], e["confidence"], e.get("unit"), F.col(f"`extra:{i}`"), about=(e.get("importance", "Low"), e.get("category", "Operations")))
     if not rows:
         schema = "name string, value double, entity string, trend string, unit string, confidence double, importance string, category string, rank long"
         return df.sparkSession.createDataFrame([], schema)

@@ -314,6 +314,14 @@ def attribute_of(df: DataFrame, name_column: str, named: str, attribute: str, or
     return df.filter(hit).agg(first.alias("row")).filter("row is not null").select("row.*")
 
 
+def column_sample(df: DataFrame, column: str, n: int = 500, seed: int = 0) -> DataFrame:
+    """The same ``n`` non-null values on every run, by the least hash of value
+    and seed.  Profiles here read all values; this is for a quick look."""
+    name = resolve(column, df.columns)
+    values = df.select(quoted(name)).filter(quoted(name).isNotNull())
+    return values.orderBy(F.xxhash64(quoted(name), F.lit(seed)), quoted(name)).limit(n)
+
+
 def boolean_like(df: DataFrame, columns: Sequence[str] | None = None, most: int = 8) -> DataFrame:
     """Columns whose few distinct values are all truth words."""
     columns = list(columns or text_columns(df))

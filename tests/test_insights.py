@@ -128,3 +128,11 @@ def test_sentiment(spark, rows):
     labelled = df.withColumn("s", text.sentiment(F.col("t"))).select("e", "s.label", F.round("s.score", 4).alias("score"))
     assert rows(labelled, "label", "score") == [("Negative", -0.55), ("Neutral", 0.0), ("Positive", 0.55)]
     assert rows(insights.sentiment_rollup(labelled, "e"), "entity", "reviews", "satisfaction") == [("A", 2, 50.0), ("Unknown", 1, 0.0)]
+
+
+def test_own_rules(spark, business):
+    table = spark.createDataFrame([("a", 12.0)], "d string, churn double")
+    own = findings.rule(F.col("churn") > 10, "Customers", "Call them", F.lit("churn is high"), F.col("churn"), (5.0, 20.0), (0.0, 24.0))
+    assert [(r.category, r.priority, r.confidence) for r in findings.recommendations(table, ["d"], [own]).collect()] == [("Customers", "Medium", 0.75)]
+    found = kpis.kpis(business, extra=[{"name": "Largest Sale", "value": F.max("revenue"), "unit": "currency", "confidence": 0.9}]).filter("name = 'Largest Sale'").first()
+    assert (found.value, found.importance) == (250.0, "Low")

@@ -185,6 +185,45 @@ def test_run_quality(spark):
     assert [r[0] for r in df.select(querylog.run_quality()).collect()] == [0.985, 0.0, 0.67]
 
 
+def _plain_score(kind, r, q):
+    same = lambda f, w: w if r.get(f) is not None and r.get(f) == q.get(f) else 0.0
+    shared = lambda f, most: min(most, 0.12 * len(set(r[f]) & set(q[f])))
+    if kind == "template":
+        s = same("intent", 0.3) + same("structure", 0.16) + shared("roles", 0.2) + shared("tools", 0.14) + min(0.08, r["quality"] * 0.08) + min(0.08, r["support"] * 0.02)
+        return s + (0.08 if r["state"] in ("validated", "trusted") else 0) + (0.05 if r["state"] == "trusted" else 0)
+    if kind == "lesson":
+        return same("intent", 0.25) + same("structure", 0.15) + shared("roles", 0.18) + shared("tools", 0.12) + same("signature", 0.2) + min(0.08, r["quality"] * 0.05)
+    if kind == "strategy":
+        s = same("intent", 0.25) + same("signature", 0.35) + shared("roles", 0.18) + shared("tools", 0.14) + min(0.1, r["quality"] * 0.1) + min(0.05, r["support"] * 0.01)
+        return s + (0.05 if r["state"] == "promoted" else 0)
+    s = same("intent", 0.28) + same("dataset_signature", 0.18)
+    return s + (0.2 if r["requested_role"] in q["roles"] else 0) + (0.08 if r["preferred"] in q["tools"] else 0)
+
+
+@pytest.mark.parametrize("kind", ["template", "lesson", "strategy", "correction"])
+def test_retrieval_equals_brute_force(spark, kind):
+    rng = random.Random(3)
+    pick = lambda *v: rng.choice(v)
+    record = lambda i: {
+        "record_id": f"r{i:03d}", "created_at": dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), "intent": pick("a", "a", "b"), "signature": pick("x", "y"),
+        "dataset_signature": pick("d", "e"), "roles": [pick("r1", "r2", "r3")], "structure": pick("AND", "OR"), "tools": [pick("t1", "t2")], "quality": round(rng.random(), 2),
+        "support": rng.randint(1, 9), "state": pick("observed", "validated", "trusted", "promoted"), "requested_role": pick("r1", "r9"), "preferred": pick("t1", "t9"),
+    }
+    records = [record(i) for i in range(200)]
+    asked = [{"question_id": i, "intent": pick("a", "b"), "signature": pick("x", "z"), "dataset_signature": pick("d", "f"), "roles": ["r1", pick("r2", "r5")],
+              "structure": pick("AND", "OR"), "tools": [pick("t1", "t2")]} for i in range(30)]
+    schema = ("record_id string, created_at timestamp, intent string, signature string, dataset_signature string, roles array<string>, structure string, tools array<string>, "
+              "quality double, support int, state string, requested_role string, preferred string")
+    table = spark.createDataFrame([tuple(r.values()) for r in records], schema)
+    questions = spark.createDataFrame([tuple(q.values()) for q in asked], "question_id long, intent string, signature string, dataset_signature string, roles array<string>, structure string, tools array<string>")
+    found = {}
+    for r in querylog.retrieve(questions, table, kind, NOW).orderBy("question_id", "place").collect():
+        found.setdefault(r.question_id, []).append(round(r.score, 4))
+    for q in asked:
+        plain = sorted((min(0.99, _plain_score(kind, r, q)) for r in records if r["intent"] == q["intent"]), reverse=True)[:5]
+        assert found[q["question_id"]] == pytest.approx(plain, abs=1.01e-4)
+
+
 # ---- corpus ------------------------------------------------------------------
 
 GOOD = {"event_id": "e1", "intent": "filter", "semantic_roles": ["boolean", "numeric_measure"], "operators": ["equals"], "logical_structure": "AND",

@@ -324,6 +324,18 @@ def strategy_rows(spark, folder):
     return found, skills.withColumn("state", corpus.lifecycle(F.col("success_count"), F.col("failure_count"), F.col("average_quality_score")))
 
 
+@query(EV + """
+, g AS (SELECT count(*) AS n, round(avg(score), 4) AS q FROM ev WHERE success GROUP BY intent, logical_structure, array_to_string(tool_sequence, '|') HAVING count(*) >= 2),
+b AS (SELECT n, q, intent FROM (SELECT intent, count(*) AS n, round(avg(score), 4) AS q FROM ev WHERE success GROUP BY intent, logical_structure, array_to_string(tool_sequence, '|')) WHERE n >= 2)
+SELECT CASE WHEN n % 3 = 0 THEN 'strategy_lifecycle_not_trusted' WHEN q < 0.95 THEN 'strategy_quality_below_threshold' WHEN intent = 'Bad Intent' THEN 'unsafe_intent' END AS reason, count(*) AS n FROM b GROUP BY 1
+""")
+def strategy_gate_reasons(spark, folder):
+    found = corpus.discover_strategies(learning_events(spark, folder))
+    state = F.when(F.col("evidence_count") % 3 == 0, "candidate").otherwise("trusted")
+    rows = found.withColumns({"state": state, "plan_template_id": F.lit(None).cast("string"), "created_at": F.col("last_seen_at")})
+    return corpus.strategy_records(rows).groupBy(F.col("rejected").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def strategy_status(spark, folder):
     return corpus.strategy_status(*strategy_rows(spark, folder))

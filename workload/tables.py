@@ -402,6 +402,21 @@ def replay_transformations(spark, folder):
     return TRANSFORMATIONS.replay(load(spark, folder, "part").select("p_partkey", "p_name", "p_size"), recorded)
 
 
+@query("""
+SELECT 'removed' AS side, l_returnflag, l_linenumber FROM (SELECT l_returnflag, l_linenumber FROM lineitem EXCEPT ALL SELECT CASE WHEN l_quantity > 40 THEN 'Z' ELSE l_returnflag END, l_linenumber FROM lineitem)
+UNION ALL SELECT 'added', f, l_linenumber FROM (SELECT CASE WHEN l_quantity > 40 THEN 'Z' ELSE l_returnflag END AS f, l_linenumber FROM lineitem EXCEPT ALL SELECT l_returnflag, l_linenumber FROM lineitem)
+""")
+def row_difference(spark, folder):
+    before = load(spark, folder, "lineitem").select("l_returnflag", "l_linenumber", "l_quantity")
+    after = before.withColumn("l_returnflag", F.when(F.col("l_quantity") > 40, "Z").otherwise(F.col("l_returnflag")))
+    return cleaning.row_difference(before.drop("l_quantity"), after.drop("l_quantity"))
+
+
+@query()
+def column_sample(spark, folder):
+    return profile.column_sample(load(spark, folder, "orders"), "o_totalprice", 500)
+
+
 # ---- projections ------------------------------------------------------------
 
 
@@ -472,6 +487,12 @@ def json_safe_rows(spark, folder):
     return projection.json_safe(load(spark, folder, "part").select("p_partkey", half.alias("half"), "p_name"))
 
 
+@query("""SELECT event_id, '{"k":' || (props ->> '$.k') || '}' AS props FROM events""")
+def allowed_payload(spark, folder):
+    payload = F.concat(F.lit('{"query_text":"secret","k":'), F.get_json_object("props", "$.k"), F.lit(',"rows":[1,2]}'))
+    return projection.keep_allowed(load(spark, folder, "events").select("event_id", payload.alias("props")), "props", "k long")
+
+
 # ---- binning and dates ------------------------------------------------------
 
 

@@ -94,6 +94,16 @@ def category_mapping_applied(spark, folder):
     return done.groupBy("p_type", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""
+SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'Yes' WHEN 'FURNITURE' THEN 'No' ELSE 'Unknown' END AS has_garden_standard, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS c_mktsegment_standard FROM customer
+""")
+def category_gate(spark, folder):
+    seg = F.col("c_mktsegment")
+    word = F.when(seg == "BUILDING", "y").when(seg == "FURNITURE", "NO").otherwise("later")
+    df = load(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment", word.alias("has_garden"))
+    return categories.categorise(df, ["has_garden", "c_mktsegment", "c_name", "c_acctbal"])[0].drop("c_name", "c_acctbal", "c_mktsegment", "has_garden")
+
+
 # ---- sentiment --------------------------------------------------------------
 
 MOOD_POSITIVE, MOOD_NEGATIVE = ["the", "der", "les", "ing"], ["tion", "ung", "que", "los"]
