@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions.arithmetic import arithmetic
 from ..functions.names import numeric_columns, quoted, text_columns
 from ..functions.parsing import BLANK, is_missing, number, squeezed, timestamp
+from ..session import durable
 from . import ordered
 from .profile import row_groups, value_counts
 from .quantiles import quantiles
@@ -39,23 +40,19 @@ def blank_to_null(df: DataFrame) -> DataFrame:
 
 def column_kinds(df: DataFrame) -> dict[str, str]:
     """empty, numeric, datetime, categorical or text, per column."""
-    fixed = {}
-    for f in df.schema:
-        if isinstance(f.dataType, T.NumericType):
-            fixed[f.name] = "numeric"
-        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            fixed[f.name] = "datetime"
-    return {r["column"]: r["kind"] for r in kind_table(df, fixed).collect()}
+    return {r["column"]: r["kind"] for r in kind_table(df).collect()}
 
 
-def kind_table(df: DataFrame, fixed: dict[str, str] | None = None) -> DataFrame:
-    """One row (column, kind) per column; distinct values are parsed once."""
-    fixed = fixed or {}
+def kind_table(df: DataFrame) -> DataFrame:
+    """(column, kind, mode) per column.  Distinct values are parsed once, and
+    the most frequent one falls out of the same job."""
+    fixed = {f.name: "numeric" for f in df.schema if isinstance(f.dataType, T.NumericType)}
+    fixed |= {f.name: "datetime" for f in df.schema if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))}
     counts = value_counts(df, df.columns)
     value = F.col("value")
     stats = counts.groupBy("column").agg(
-        F.sum("n").alias("filled"), F.count(F.lit(1)).alias("distinct"),
-        F.every(number(value).isNotNull()).alias("numbers"), F.every(timestamp(value).isNotNull()).alias("dates"),
+        F.sum("n").alias("filled"), F.count(F.lit(1)).alias("distinct"), F.every(number(value).isNotNull()).alias("numbers"),
+        F.every(timestamp(value).isNotNull()).alias("dates"), F.min_by("value", _mode_place(df)).alias("mode"),
     )
     few = (F.col("distinct") <= 10) | (F.col("distinct") / F.col("filled") < 0.05)
     kind = F.when(F.col("filled").isNull(), "empty")
@@ -63,12 +60,24 @@ def kind_table(df: DataFrame, fixed: dict[str, str] | None = None) -> DataFrame:
         kind = kind.when(F.col("column") == name, known)
     kind = kind.when(F.col("numbers"), "numeric").when(F.col("dates"), "datetime").when(few, "categorical").otherwise("text")
     listed = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string")
-    return listed.join(stats, "column", "left").select("column", kind.alias("kind"))
+    return listed.join(stats, "column", "left").select("column", kind.alias("kind"), "mode")
+
+
+def _mode_place(df: DataFrame) -> Column:
+    """Order of (column, value, n) rows: most frequent, then smallest."""
+    numeric = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
+    as_number = F.when(F.col("column").isin(numeric), F.col("value").try_cast("double"))
+    return F.struct(-F.col("n"), as_number, F.col("value"))
+
 
+def text_kinds(df: DataFrame) -> dict[str, str]:
+    texts = text_columns(df)
+    return column_kinds(df.select(*[quoted(c) for c in texts])) if texts else {}
 
-def to_inferred_types(df: DataFrame) -> DataFrame:
+
+def to_inferred_types(df: DataFrame, kinds: dict[str, str] | None = None) -> DataFrame:
     """Text columns whose every value is a number or a time get that type."""
-    kinds = column_kinds(df.select(*[quoted(c) for c in text_columns(df)])) if text_columns(df) else {}
+    kinds = text_kinds(df) if kinds is None else kinds
     cells = []
     for f in df.schema:
         c = quoted(f.name)
@@ -84,11 +93,7 @@ def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
     """Most frequent value as text; the smallest one on ties."""
     if not columns:
         return {}
-    counts = value_counts(df, columns)
-    numeric = [c for c in columns if isinstance(df.schema[c].dataType, T.NumericType)]
-    as_number = F.when(F.col("column").isin(numeric), F.col("value").try_cast("double"))
-    place = F.struct(-F.col("n"), as_number, F.col("value"))
-    picked = counts.groupBy("column").agg(F.min_by("value", place).alias("value")).collect()
+    picked = value_counts(df, columns).groupBy("column").agg(F.min_by("value", _mode_place(df)).alias("value")).collect()
     found = {r["column"]: r["value"] for r in picked}
     return {c: found.get(c) for c in columns}
 
@@ -112,9 +117,9 @@ def fill_values(df: DataFrame, strategy: str, columns: Sequence[str], custom=Non
     texts = [c for c in live if c not in numeric and c not in times]
     how: dict[str, str] = {}
     if strategy == "smart":
-        text_kinds = column_kinds(df.select(*[F.when(~gaps[c], quoted(c)).alias(c) for c in texts])) if texts else {}
+        facts = {r["column"]: r for r in kind_table(df.select(*[F.when(~gaps[c], quoted(c)).alias(c) for c in texts])).collect()} if texts else {}
         how = {c: "median" for c in numeric} | {c: "median_datetime" for c in times}
-        how |= {c: "mode" if text_kinds[c] == "categorical" else "placeholder" for c in texts}
+        how |= {c: "text_mode" if facts[c]["kind"] == "categorical" else "placeholder" for c in texts}
     elif strategy in ("mean", "median"):
         how = {c: strategy if c in numeric else "placeholder" for c in live}
     elif strategy == "mode":
@@ -132,10 +137,11 @@ def fill_values(df: DataFrame, strategy: str, columns: Sequence[str], custom=Non
         middles = quantiles(micros, picked("median_datetime"), [0.5])
         values |= {c: F.timestamp_micros(F.lit(int(q[0]))) for c, q in middles.items()}
     values |= modes(df.select(*[F.when(~gaps[c], quoted(c)).alias(c) for c in picked("mode")]), picked("mode")) if picked("mode") else {}
+    values |= {c: facts[c]["mode"] for c in picked("text_mode")}
     # A placeholder word fits text only; other columns keep their gaps.
     values |= {c: UNKNOWN for c in picked("placeholder") if isinstance(kind_of[c], T.StringType)}
     shown = lambda v: None if isinstance(v, Column) else str(v)
-    report = [(c, counts[c], how[c], shown(values.get(c))) for c in live if c in values]
+    report = [(c, counts[c], how[c].removeprefix("text_"), shown(values.get(c))) for c in live if c in values]
     report += [(c, counts[c], "dropped", None) for c in gappy if c not in live]
     return {c: v for c, v in values.items() if v is not None}, report
 
@@ -239,8 +245,11 @@ def zscore_bounds(df: DataFrame, columns: Sequence[str], threshold: float = 3.0,
     return {c: (m - threshold * s, m + threshold * s) for c, (m, s) in pairs.items() if s}
 
 
-def cap_outliers(df: DataFrame, columns: Sequence[str] | None = None, multiplier: float = 1.5) -> DataFrame:
-    bounds = iqr_bounds(df, list(columns or numeric_columns(df)), multiplier)
+Bounds = dict[str, tuple[float, float]]
+
+
+def cap_outliers(df: DataFrame, columns: Sequence[str] | None = None, multiplier: float = 1.5, bounds: Bounds | None = None) -> DataFrame:
+    bounds = iqr_bounds(df, list(columns or numeric_columns(df)), multiplier) if bounds is None else bounds
     capped = {
         c: F.when(quoted(c).isNotNull(), F.least(F.greatest(quoted(c).cast("double"), F.lit(lo)), F.lit(hi)))
         for c, (lo, hi) in bounds.items()
@@ -253,7 +262,7 @@ def _inside(column: str, low: float, high: float) -> Column:
 
 
 def remove_outliers(
-    df: DataFrame, columns: Sequence[str] | None = None, multiplier: float = 1.5, sequential: bool = False
+    df: DataFrame, columns: Sequence[str] | None = None, multiplier: float = 1.5, sequential: bool = False, bounds: Bounds | None = None
 ) -> DataFrame:
     """Drop rows outside the bounds; nulls stay.  ``sequential`` recomputes
     the bounds on the rows left by the columns before (one pass each)."""
@@ -262,20 +271,22 @@ def remove_outliers(
         for c in columns:
             df = remove_outliers(df, [c], multiplier)
         return df
-    for c, (lo, hi) in iqr_bounds(df, columns, multiplier).items():
+    bounds = iqr_bounds(df, columns, multiplier) if bounds is None else bounds
+    for c, (lo, hi) in bounds.items():
         df = df.filter(_inside(c, lo, hi))
     return df
 
 
-def mark_outliers(df: DataFrame, columns: Sequence[str] | None = None, multiplier: float = 1.5) -> DataFrame:
-    bounds = iqr_bounds(df, list(columns or numeric_columns(df)), multiplier)
+def mark_outliers(df: DataFrame, columns: Sequence[str] | None = None, multiplier: float = 1.5, bounds: Bounds | None = None) -> DataFrame:
+    bounds = iqr_bounds(df, list(columns or numeric_columns(df)), multiplier) if bounds is None else bounds
     return df.withColumns({f"{c}_is_outlier": ~_inside(c, lo, hi) for c, (lo, hi) in bounds.items()})
 
 
 def quick_clean(df: DataFrame, drop_duplicates: bool = True, numeric: str = "median") -> tuple[DataFrame, DataFrame]:
     """Drop duplicate rows, fill numbers by median (or mean) and the rest by
     "Unknown".  Returns the table and a one-row report."""
-    rows = df.dropDuplicates() if drop_duplicates else df
+    # Several statistics follow, so the shuffle is not repeated for each.
+    rows = durable(df.dropDuplicates()) if drop_duplicates else df
     numbers = numeric_columns(df)
     values, filled = fill_values(rows, numeric, numbers) if numbers else ({}, [])
     texts = {c: UNKNOWN for c in text_columns(df)}

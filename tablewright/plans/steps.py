@@ -12,10 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.names import resolve, resolve_all
+from ..functions.names import numeric_columns, resolve, resolve_all
 from ..functions.predicates import cleaning_condition
 from ..operators import cleaning, projection
 from ..operators.money import convert_column
+from ..session import durable
 
 REPORT = "step int, op string, status string, error string, rows_before long, rows_after long, cells_filled long"
 
@@ -53,8 +54,14 @@ def _filter(df, step):
 
 def _outliers(df, step):
     work = {"cap": cleaning.cap_outliers, "remove": cleaning.remove_outliers, "mark": cleaning.mark_outliers}
-    method, columns = work[step.get("method", "cap")], _columns(df, step)
-    return lambda d: method(d, columns, step.get("multiplier", 1.5)), 0
+    method, multiplier = work[step.get("method", "cap")], step.get("multiplier", 1.5)
+    bounds = cleaning.iqr_bounds(df, _columns(df, step) or numeric_columns(df), multiplier)
+    return lambda d: method(d, list(bounds), multiplier, bounds=bounds), 0
+
+
+def _types(df, step):
+    kinds = cleaning.text_kinds(df)
+    return lambda d: cleaning.to_inferred_types(d, kinds), 0
 
 
 def _currency(df, step):
@@ -75,11 +82,14 @@ STEPS = {
     "handle_missing_values": _fill, "fill_nulls": _fill,
     "remove_duplicates": _duplicates, "filter_rows": _filter, "handle_outliers": _outliers,
     "normalize_text": _plain(lambda d, s: cleaning.normalise_text(d)),
-    "infer_types": _plain(lambda d, s: cleaning.to_inferred_types(d)),
+    "infer_types": _types,
     "remove_empty_rows": _plain(lambda d, s: cleaning.drop_empty_rows(d)),
     "remove_sparse_rows": _plain(lambda d, s: cleaning.drop_sparse_rows(d, s.get("threshold", 0.5))),
     "convert_currency": _currency,
 }
+# Steps which shuffle the table, and steps which need statistics of it.
+SHUFFLING = {"remove_duplicates"}
+MEASURING = {"handle_missing_values", "fill_nulls", "handle_outliers", "infer_types"}
 
 
 @dataclass
@@ -114,7 +124,9 @@ class CleaningRun:
 
 
 def run_steps(df: DataFrame, steps: list[dict]) -> CleaningRun:
-    current, entries = df, []
+    """Apply the steps in order.  A shuffled table is written once before
+    statistics are taken of it, so that no statistic repeats the shuffle."""
+    current, entries, shuffled = df, [], False
     for i, step in enumerate(steps, start=1):
         op = step.get("op")
         entry = {"step": i, "op": op, "status": "done", "error": None, "cells": 0, "work": None}
@@ -122,6 +134,8 @@ def run_steps(df: DataFrame, steps: list[dict]) -> CleaningRun:
         if op not in STEPS:
             entry.update(status="skipped", error=f"unknown step {op!r}")
             continue
+        if shuffled and op in MEASURING:
+            current, shuffled = durable(current), False
         try:
             work, cells = STEPS[op](current, step)
             current = work(current)
@@ -129,6 +143,7 @@ def run_steps(df: DataFrame, steps: list[dict]) -> CleaningRun:
             entry.update(status="skipped", error=str(error))
             continue
         entry.update(work=work, cells=cells)
+        shuffled = shuffled or op in SHUFFLING
     return CleaningRun(df, current, entries)
 
 

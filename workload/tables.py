@@ -311,7 +311,7 @@ SELECT unnest([{'column': 'o_orderkey', 'kind': 'numeric'}, {'column': 'status',
 FROM (SELECT count(*) FROM orders)
 """)
 def column_kinds(spark, folder):
-    return cleaning.kind_table(typed_as_text(spark, folder))
+    return cleaning.kind_table(typed_as_text(spark, folder)).drop("mode")
 
 
 def typed_as_text(spark, folder):
