@@ -48,7 +48,7 @@ def _plain(text: Column) -> Column:
 def currency_code(text: Column) -> Column:
     """First code whose pattern occurs in the text, or null."""
     low = F.lower(_plain(text))
-    return F.coalesce(*[F.when(low.rlike(p), F.lit(code)) for p, code in CURRENCY_PATTERNS])
+    return F.coalesce(*[F.when(low.rlike("(?U)" + p), F.lit(code)) for p, code in CURRENCY_PATTERNS])
 
 
 def amount(text: Column) -> Column:
@@ -74,5 +74,5 @@ def currency_from_name(name: Column) -> Column:
     inside = []
     for code, names in CURRENCY_NAMES.items():
         listed = "|".join(r"\Q" + n + r"\E" for n in sorted(names, key=len, reverse=True))
-        inside.append(F.when(low.rlike(rf"(?<![\w])(?:{listed})(?![\w])"), F.lit(code)))
+        inside.append(F.when(low.rlike(rf"(?U)(?<![\w])(?:{listed})(?![\w])"), F.lit(code)))
     return F.coalesce(*whole, *inside)

@@ -162,13 +162,13 @@ INTENT_HINTS = {
     "sentiment": r"\b(?:sentiment|review tone|customer satisfaction)\b",
 }
 OPERATOR_HINTS = {
-    "greater_than_equal": r"(?i)\b(?:at least|greater than or equal to|greater than equal to|not less than)\b",
-    "less_than_equal": r"(?i)\b(?:at most|less than or equal to|less than equal to|not more than)\b",
-    "greater_than": r"(?i)\b(?:above|over|greater than|more than|higher than)\b",
-    "less_than": r"(?i)\b(?:below|under|less than|lower than)\b",
-    "equals": r"(?i)\b(?:equal to|equals?|is)\b",
-    "contains": r"(?i)\b(?:contains?|including|with)\b",
-    "not_equals": r"(?i)\bnot\b",
+    "greater_than_equal": r"(?iU)\b(?:at least|greater than or equal to|greater than equal to|not less than)\b",
+    "less_than_equal": r"(?iU)\b(?:at most|less than or equal to|less than equal to|not more than)\b",
+    "greater_than": r"(?iU)\b(?:above|over|greater than|more than|higher than)\b",
+    "less_than": r"(?iU)\b(?:below|under|less than|lower than)\b",
+    "equals": r"(?iU)\b(?:equal to|equals?|is)\b",
+    "contains": r"(?iU)\b(?:contains?|including|with)\b",
+    "not_equals": r"(?iU)\bnot\b",
 }
 BOOLEAN_HINTS = ["online delivery", "table booking", "yes", "no", "true", "false", "available", "unavailable", "open", "closed"]
 COMPARISON_WORDS = "above|over|greater than|more than|at least|below|under|less than|equal to|equals?"
@@ -231,7 +231,7 @@ def entity_count(text: Column) -> Column:
     """Quoted phrases, and at most three capitalised words."""
     text = F.coalesce(text, F.lit(""))
     quotes = F.regexp_count(text, F.lit(r"['\"][^'\"]+['\"]"))
-    names = F.regexp_count(text, F.lit(r"\b[A-Z][A-Za-z0-9&'.-]+\b"))
+    names = F.regexp_count(text, F.lit(r"(?U)\b[A-Z][A-Za-z0-9&'.-]+\b"))
     return quotes + F.least(names, F.lit(3))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import quoted
+
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
 
@@ -12,7 +14,7 @@ BROADCAST_BYTES = 64 << 20
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """Whether the table has at most ``rows`` rows and, as text, ``size``
     bytes.  Reads no more than one row above the limit."""
-    length = F.octet_length(F.to_json(F.struct(*df.columns))).cast("long")
+    length = F.octet_length(F.to_json(F.struct(*[quoted(c) for c in df.columns]))).cast("long")
     found = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(length), F.lit(0))).first()
     return found[0] <= rows and found[1] <= size
 

@@ -53,7 +53,7 @@ def outliers_both_methods(spark, folder):
     return rounded(found, {"lower_bound": 4, "upper_bound": 4})
 
 
-@query(FOUND + """SELECT "column", max_by(method, percentage) AS method, max_by(outlier_count, percentage) AS outlier_count, max(percentage) AS percentage FROM s GROUP BY 1""")
+@query(FOUND + """SELECT "column", arg_max(method, (percentage, method = 'iqr')) AS method, arg_max(outlier_count, (percentage, method = 'iqr')) AS outlier_count, max(percentage) AS percentage FROM s GROUP BY 1""")
 def outliers_worst_method(spark, folder):
     return insights.worst_outliers(insights.outliers(skewed(spark, folder), multiplier=1.0, threshold=2.0))
 

@@ -8,7 +8,7 @@ from tablewright.functions import text
 from tablewright.operators import categories, insights, matching
 from tablewright.sources.readers import explode_records
 
-from .common import load, query_log, r
+from .common import QUERY_LOG, load, query_log, r
 
 QUERIES, ORACLES = {}, {}
 
@@ -224,7 +224,9 @@ def question_intents(spark, folder):
     return questions(spark, folder).select("conv_id", "turn", text.intent(F.col("q")).alias("intent"), text.logical_structure(F.col("q")).alias("logical_structure"))
 
 
-OPERATOR_LIST = ", ".join(f"CASE WHEN regexp_matches(q, '{p}') THEN '{n}' END" for n, p in text.OPERATOR_HINTS.items())
+# DuckDB knows ASCII word borders only; other letters are made one.
+ASCII_Q = r"regexp_replace(q, '[^\x00-\x7F]', 'x', 'g')"
+OPERATOR_LIST = ", ".join(f"CASE WHEN regexp_matches({ASCII_Q}, '{p.replace('(?iU)', '(?i)')}') THEN '{n}' END" for n, p in text.OPERATOR_HINTS.items())
 COUNTED = " + ".join(f"len(regexp_extract_all(p, '{p}'))" for p in text.COMPARISON_PATTERNS)
 HINTED = " + ".join(f"contains(p, '{h}')::INT" for h in text.BOOLEAN_HINTS)
 
@@ -267,17 +269,6 @@ def bag(c):
     return f"list_distinct(list_filter(string_split({norm(c)}, ' '), lambda x: x <> ''))"
 
 
-@query(f"""
-WITH t AS (SELECT DISTINCT role, {norm('text')} AS n, {bag('text')} AS w FROM conversations)
-SELECT a.n AS left_text, b.n AS right_text, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE, 6) AS jaccard
-FROM t a, t b WHERE a.role = 'user' AND b.role = 'assistant' AND len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE >= 0.1
-""")
-def word_overlap_pairs(spark, folder):
-    turns = load(spark, folder, "conversations")
-    found = matching.word_overlap(turns.filter("role = 'user'"), turns.filter("role = 'assistant'"), "conv_id", "text", 0.1)
-    return found.select("left_text", "right_text", r("jaccard", 6))
-
-
 PROBES = """SELECT id AS probe_id, CASE WHEN id % 3 = 0 THEN user_query || '!' WHEN id % 3 = 1 THEN user_query || ' please' ELSE substr(user_query, 11) END AS user_query FROM log"""
 
 
@@ -288,6 +279,16 @@ def probes(spark, folder, log=None):
     )
 
 
+@query(f"""
+WITH log AS ({QUERY_LOG}), probes AS ({PROBES}), a AS (SELECT DISTINCT {norm('user_query')} AS n, {bag('user_query')} AS w FROM probes), b AS (SELECT DISTINCT {norm('user_query')} AS n, {bag('user_query')} AS w FROM log),
+j AS (SELECT a.n AS left_text, b.n AS right_text, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS x, len(b.w) AS y FROM a, b)
+SELECT left_text, right_text, round(i / (x + y - i)::DOUBLE, 6) AS jaccard FROM j WHERE i / (x + y - i)::DOUBLE >= 0.8
+""")
+def word_overlap_pairs(spark, folder):
+    found = matching.word_overlap(probes(spark, folder), query_log(spark, folder), "user_query", "user_query", 0.8)
+    return found.select("left_text", "right_text", r("jaccard", 6))
+
+
 @query()
 def similar_questions(spark, folder):
     return matching.similar_questions(probes(spark, folder), query_log(spark, folder).filter("success"), "probe_id", 0.9)
