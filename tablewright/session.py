@@ -26,19 +26,24 @@ def build_session(app: str = "tablewright", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and cut its lineage.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The reliable folder of ``spark.checkpoint.dir``, which all executors share.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  A
-    private folder is made only for local masters, where every task sees it.
+    Where the setting is missing a private folder is made, but only for local
+    masters, where every task sees it.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not sc.master.startswith("local"):
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="tablewright-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder and cut its lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
