@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, simhash
+from . import decision_list, decontamination, mixing, simhash, token_counts, toxicity
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,6 +37,51 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, load(spark, folder, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents").select("doc_id", "text")
+    rules = decision_list.fit(docs, load(spark, folder, "labels"))
+    return decision_list.judge(docs, rules).select("doc_id", *decision_list.COUNTS, "base_failed", "kept")
+
+
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = load(spark, folder, "documents").select("doc_id", "text")
+    counted = token_counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(load(spark, folder, "documents"))
+
+
+OP9 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce('=' || source, '') AS name, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         coalesce(CASE WHEN length(text) > 0 THEN greatest(0.1, 1.0::DOUBLE - 4.0::DOUBLE * (length(text) - length(translate(text, '#*$%&|<>!', ''))) / length(text)) END, 0.1)::DOUBLE AS w,
+         (('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+  FROM documents),
+k AS (SELECT *, -ln(u) / w AS key FROM d),
+s AS (SELECT name, sum(size)::BIGINT AS source_size FROM d GROUP BY name),
+r AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY name = '', name) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM s),
+o AS (SELECT *, 2.0::DOUBLE * source_size / weight AS ratio, row_number() OVER (ORDER BY 2.0::DOUBLE * source_size / weight, name) AS place FROM r),
+f AS (SELECT *, coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS capped,
+             sum(weight) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight, sum(source_size) OVER () AS total FROM o),
+l AS (SELECT (1.5::DOUBLE * total - capped) / open_weight AS share FROM f WHERE (1.5::DOUBLE * total - capped) / open_weight <= ratio ORDER BY place LIMIT 1),
+t AS (SELECT name, source_size, least(share * weight, 2.0::DOUBLE * source_size)::DOUBLE AS target FROM r, l),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM t),
+p AS (SELECT k.*, e.*, sum(size) OVER (PARTITION BY k.name ORDER BY key, k.doc_id::VARCHAR ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start FROM k JOIN e ON k.name = e.name)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (epochs + (start + size / 2.0 < target - epochs * source_size)::INT))::BIGINT AS taken FROM p
+"""
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(load(spark, folder, "documents"))
     digits = F.lpad(F.lower(F.hex("fingerprint_bits")), 16, "0")
@@ -44,7 +89,8 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "op2_decontamination": op2_decontamination, "op10_simhash": op10_simhash,
+    "op2_decontamination": op2_decontamination, "op3_toxicity": op3_toxicity, "op7_quality_rules": op7_quality_rules,
+    "op8_token_counts": op8_token_counts, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash,
 }
 
-ORACLES = {"op2_decontamination": OP2}
+ORACLES = {"op2_decontamination": OP2, "op9_mixing": OP9}
