@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, decontamination, mixing, simhash, token_counts, toxicity
+from . import decision_list, decontamination, mixing, simhash, token_counts, toxicity, warc
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -44,6 +44,24 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc.archived_pages(load(spark, folder, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Base32 of a SHA-1: its 40 hexadecimal digits as 160 bits, five at a time.
+BITS = "array_to_string(list_transform(string_split(sha1(coalesce(html, '')), ''), h -> ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][('0x' || h)::INT + 1]), '')"
+
+OP5 = f"""
+WITH b AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, {BITS} AS bits FROM pages),
+     d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                  list_reduce(list_transform(string_split(substr(bits, (5 * i + 1)::INT, 5), ''), c -> c::INT), (a, c) -> 2 * a + c) + 1, 1)), '') AS payload_digest FROM b),
+     f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+"""
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = load(spark, folder, "documents").select("doc_id", "text")
     rules = decision_list.fit(docs, load(spark, folder, "labels"))
@@ -89,8 +107,8 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "op2_decontamination": op2_decontamination, "op3_toxicity": op3_toxicity, "op7_quality_rules": op7_quality_rules,
+    "op2_decontamination": op2_decontamination, "op3_toxicity": op3_toxicity, "op5_warc": op5_warc, "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash,
 }
 
-ORACLES = {"op2_decontamination": OP2, "op9_mixing": OP9}
+ORACLES = {"op2_decontamination": OP2, "op5_warc": OP5, "op9_mixing": OP9}
