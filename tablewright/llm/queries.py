@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, decontamination, mixing, simhash, token_counts, toxicity, warc
+from . import chat, decision_list, decontamination, licenses, mixing, simhash, token_counts, toxicity, url_filter, warc
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+URL_RULES = [
+    url_filter.Rule("com/", "allow"), url_filter.Rule("example.com/en/", "block"), url_filter.Rule("www.example.com/en/", "allow"),
+    url_filter.Rule("net/es/", "block"), url_filter.Rule("net/fr/", "block"),
+]
+
+
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = load(spark, folder, "pages")
+    return url_filter.judge(pages.select("page_id", "url"), url_filter.learn(pages, URL_RULES)).drop("url")
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.contamination(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
     return found.select(
@@ -44,24 +55,49 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.element_at(F.array(F.lit("user"), F.lit("assistant")), F.col("id").cast("int") + 1).alias("role"), F.lit(said).alias("text"))
+    rows = load(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    found = chat.read_back(chat.formatted(chat.threads(rows)))
+    conv_id = F.when(F.col("tree") != "", F.substring("tree", 2, 20).cast("long")).alias("conv_id")
+    return found.select(conv_id, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+OP4 = r"""
+WITH own AS (SELECT -7 AS conv_id, turn, role, '\### Assistant: </turn> ok' AS text FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)),
+     c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM own)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(17 + length(role) + length(replace(replace(text, chr(92), 'xx'), '<', 'xx')))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     found = warc.archived_pages(load(spark, folder, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: Base32 of a SHA-1: its 40 hexadecimal digits as 160 bits, five at a time.
-BITS = "array_to_string(list_transform(string_split(sha1(coalesce(html, '')), ''), h -> ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][('0x' || h)::INT + 1]), '')"
+BITS = "array_to_string(list_transform(string_split(sha1(coalesce(html, '')), ''), lambda h: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][('0x' || h)::INT + 1]), '')"
 
 OP5 = f"""
 WITH b AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, {BITS} AS bits FROM pages),
-     d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-                  list_reduce(list_transform(string_split(substr(bits, (5 * i + 1)::INT, 5), ''), c -> c::INT), (a, c) -> 2 * a + c) + 1, 1)), '') AS payload_digest FROM b),
+     d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                  list_reduce(list_transform(string_split(substr(bits, (5 * i + 1)::INT, 5), ''), lambda c: c::INT), lambda a, c: 2 * a + c) + 1, 1)), '') AS payload_digest FROM b),
      f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> first THEN first END AS refers_to FROM f
 """
 
 
+def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents").select("doc_id", "text")
+    return licenses.scan_licenses(docs).select("doc_id", "license", "dice", "licenses")
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = load(spark, folder, "documents").select("doc_id", "text")
     rules = decision_list.fit(docs, load(spark, folder, "labels"))
@@ -107,8 +143,9 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "op2_decontamination": op2_decontamination, "op3_toxicity": op3_toxicity, "op5_warc": op5_warc, "op7_quality_rules": op7_quality_rules,
-    "op8_token_counts": op8_token_counts, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash,
+    "op1_url_filter": op1_url_filter, "op2_decontamination": op2_decontamination, "op3_toxicity": op3_toxicity, "op4_chat": op4_chat,
+    "op5_warc": op5_warc, "op6_licenses": op6_licenses, "op7_quality_rules": op7_quality_rules, "op8_token_counts": op8_token_counts,
+    "op9_mixing": op9_mixing, "op10_simhash": op10_simhash,
 }
 
-ORACLES = {"op2_decontamination": OP2, "op5_warc": OP5, "op9_mixing": OP9}
+ORACLES = {"op2_decontamination": OP2, "op4_chat": OP4, "op5_warc": OP5, "op9_mixing": OP9}
