@@ -140,15 +140,14 @@ def stable_hash(**fields: Column) -> Column:
 
 def json_shape(document: Column) -> Column:
     """Structure of a JSON text without its values: every string, number,
-    truth value and null becomes its kind."""
+    truth value and null becomes its kind.  Text which is no JSON has none."""
     # Keys are set aside first, so that the quotes left are those of values.
     text = F.regexp_replace(document, r'"((?:[^"\\]|\\.)*)"\s*:', "\u0001$1\u0002:")
     text = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', '"str"')
-    text = F.regexp_replace(text, r"(?<=[:\[,])\s*-?\d+(?:\.\d+)(?:[eE][+-]?\d+)?\s*(?=[,\]}])", '"float"')
-    text = F.regexp_replace(text, r"(?<=[:\[,])\s*-?\d+\s*(?=[,\]}])", '"int"')
-    text = F.regexp_replace(text, r"(?<=[:\[,])\s*(?:true|false)\s*(?=[,\]}])", '"bool"')
-    text = F.regexp_replace(text, r"(?<=[:\[,])\s*null\s*(?=[,\]}])", '"null"')
-    return F.translate(text, "\u0001\u0002", '""')
+    kinds = {r"-?\d+(?:\.\d+(?:[eE][+-]?\d+)?|[eE][+-]?\d+)": "float", r"-?\d+": "int", "true|false": "bool", "null": "null"}
+    for written, kind in kinds.items():
+        text = F.regexp_replace(text, rf"(?<=^|[:\[,])\s*(?:{written})\s*(?=[,\]}}]|$)", f'"{kind}"')
+    return F.when(F.try_parse_json(document).isNotNull(), F.translate(text, "\u0001\u0002", '""'))
 
 
 # ---- tagging of logged questions -----------------------------------------

@@ -71,8 +71,12 @@ def range_table(df: DataFrame, tokens: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "low double, high double, low_open boolean, high_open boolean, label string")
 
 
-def auto_ranges(df: DataFrame, column: str, bins: int = 5) -> list[str]:
-    """Equal widths over min..max; whole-number labels for whole data."""
+def auto_bins(df: DataFrame, column: str, bins: int = 5) -> list[Range]:
+    """Equal widths over min..max, with exact edges: every value has a bin.
+
+    Labels show whole numbers for whole data, else two decimals, or as many
+    digits as it takes to tell the edges apart.
+    """
     v = quoted(column)
     whole = F.every(F.round(v.cast("double")) == v.cast("double"))
     low, high, is_whole = df.agg(F.min(v.cast("double")), F.max(v.cast("double")), whole).first()
@@ -82,8 +86,14 @@ def auto_ranges(df: DataFrame, column: str, bins: int = 5) -> list[str]:
         raise ValueError(f"{column!r} is constant")
     step = (high - low) / bins
     edges = [low + i * step for i in range(bins)] + [high]
-    shown = [str(round(e)) if is_whole and step >= 1 else f"{round(e, 2):g}" for e in edges]
-    return [f"{a}-{b}" for a, b in zip(shown, shown[1:])]
+    forms = [lambda e: str(round(e)) if is_whole and step >= 1 else f"{round(e, 2):g}", *[lambda e, d=d: f"{e:.{d}g}" for d in (8, 12, 17)]]
+    shown = next(s for s in ([form(e) for e in edges] for form in forms) if len(set(s)) == len(s))
+    return [Range(f"{a}-{b}", low, high) for a, b, low, high in zip(shown, shown[1:], edges, edges[1:])]
+
+
+def auto_ranges(df: DataFrame, column: str, bins: int = 5) -> list[str]:
+    """The labels of ``auto_bins``."""
+    return [r.label for r in auto_bins(df, column, bins)]
 
 
 def range_label(value: Column, ranges: list[Range]) -> Column:
@@ -99,7 +109,7 @@ def bin_column(df: DataFrame, column: str, ranges: list[str] | None = None, new_
         raise ValueError(f"there is no column {column!r}")
     if not isinstance(df.schema[column].dataType, T.NumericType):
         raise ValueError(f"{column!r} is not numeric")
-    parsed = parse_ranges(ranges or auto_ranges(df, column))
+    parsed = parse_ranges(ranges) if ranges else auto_bins(df, column)
     base = name = new_column or f"{column}_Range"
     n = 2
     while name in df.columns:
@@ -109,8 +119,9 @@ def bin_column(df: DataFrame, column: str, ranges: list[str] | None = None, new_
 
 def bin_counts(df: DataFrame, column: str, ranges: list[str] | None = None) -> DataFrame:
     """Rows per range."""
-    label = [c for c in bin_column(df, column, ranges).columns if c not in df.columns][0]
-    return bin_column(df, column, ranges).groupBy(F.col(label).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    binned = bin_column(df, column, ranges)
+    label = [c for c in binned.columns if c not in df.columns][0]
+    return binned.groupBy(F.col(label).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 DATE_PARTS = {

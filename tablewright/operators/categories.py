@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ..functions.names import quoted, text_columns
 from .profile import boolean_like
 from .roles import column_operations
-from .sizes import maybe_broadcast
 
 UNKNOWN = "Unknown"
 # Fixed values.
@@ -120,22 +119,22 @@ KINDS = {
 }
 
 
+# Headers of each kind: the whole, a beginning, an end, a part.
+KIND_HEADERS = {
+    "boolean": (["bool", "boolean", "flag", "binary", "binaryflag", "boolcolumn"], ("is", "has"), ("flag",), []),
+    "country": (["nation"], (), (), ["country"]),
+    "city": (["town"], (), (), ["city"]),
+    "region": (["area", "zone", "territory"], (), (), ["region"]),
+    "gender": (["sex"], (), (), ["gender"]),
+}
+
+
 def kind_of_column(name: str, boolean_like: bool = False) -> str:
     """Which standardiser a column gets, by its header (or its values)."""
     low = re.sub(r"[^a-z0-9]", "", name.lower())
-    if low in ("bool", "boolean", "flag", "binary", "binaryflag", "boolcolumn") or low.startswith(("is", "has")) or low.endswith("flag"):
-        return "boolean"
-    if boolean_like:
-        return "boolean"
-    if "country" in low or low == "nation":
-        return "country"
-    if "city" in low or low == "town":
-        return "city"
-    if "region" in low or low in ("area", "zone", "territory"):
-        return "region"
-    if "gender" in low or low == "sex":
-        return "gender"
-    return "text"
+    kinds = [kind for kind, (equal, begin, end, part) in KIND_HEADERS.items()
+             if low in equal or low.startswith(begin or ("\0",)) or low.endswith(end or ("\0",)) or any(p in low for p in part)]
+    return "boolean" if boolean_like else (kinds or ["text"])[0]
 
 
 def value_mapping(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
@@ -155,14 +154,19 @@ def apply_mapping(df: DataFrame, column: str, mapping: DataFrame, new_column: st
     looked up as the empty text; an unmapped one gets the fallback."""
     table = mapping.select(F.coalesce("source", F.lit("")).alias("__source"), F.col("target").alias("__target")).dropDuplicates(["__source"])
     key = F.coalesce(quoted(column).cast("string"), F.lit(""))
-    joined = df.join(maybe_broadcast(table), key == F.col("__source"), "left")
+    joined = df.join(table, key == F.col("__source"), "left")
     return joined.withColumn(new_column, F.coalesce("__target", F.lit(fallback))).drop("__source", "__target")
 
 
 def standardise(df: DataFrame, columns: Mapping[str, str], suffix: str = "_standard") -> DataFrame:
-    """Add the standard value of each column, in the order given."""
+    """Add the standard value of each column, in the order given: a projection,
+    without grouping or join.  ``value_mapping`` shows the values for a report."""
     for name, kind in columns.items():
-        df = apply_mapping(df, name, value_mapping(df, {name: kind}), f"{name}{suffix}", UNKNOWN)
+        if kind not in KINDS:
+            raise ValueError(f"unknown kind {kind!r}; there are {list(KINDS)}")
+        value = quoted(name).cast("string")
+        # A gap is looked up as the empty text.
+        df = df.withColumn(f"{name}{suffix}", F.when(value.isNull(), UNKNOWN).otherwise(F.coalesce(KINDS[kind](value), F.lit(UNKNOWN))))
     return df
 
 

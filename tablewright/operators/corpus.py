@@ -38,8 +38,8 @@ class CorpusPolicy:
     most_intent_share: float = 0.40
     most_tool_share: float = 0.40
     per_family: int = 1
-    per_intent: int = 100
-    per_tools: int = 100
+    per_intent: int | None = None
+    per_tools: int | None = None
     train: float = 0.8
     validation: float = 0.1
     allow_repairs: bool = False
@@ -115,13 +115,14 @@ def unsafe_field(fields: dict[str, T.DataType]) -> Column:
 
 def event_family() -> Column:
     """Fingerprint of what an event has in common with its variants: intent,
-    roles, operators, structure, tools and the shape of its plan."""
+    roles, operators, structure, tools and the shape of its plan: how long its
+    lists are (up to 20) and which kind its action has, not its values, counts
+    or key names."""
     plan = F.col("plan_summary")
-    lengths = [F.coalesce(F.json_array_length(F.get_json_object(plan, f"$.{k}")), F.lit(0)).alias(f"{k}_count")
-               for k in ("derived_columns", "filters", "group_by", "metrics")]
-    present = lambda k: F.get_json_object(plan, f"$.{k}").isNotNull()
-    keys = F.array_sort(F.coalesce(F.json_object_keys(plan), F.array().cast("array<string>")))
-    shape = F.struct(*lengths, keys.alias("keys"), present("keep_top_n_per_partition").alias("keep_top"), present("window").alias("window"))
+    length = lambda k: F.least(F.coalesce(F.json_array_length(F.get_json_object(plan, f"$.{k}")), F.lit(0)), F.lit(20))
+    keys = F.least(F.size(F.coalesce(F.json_object_keys(plan), F.array().cast("array<string>"))), F.lit(20))
+    action = F.when(F.get_json_object(plan, "$.action").isNull(), "null").otherwise("str")
+    shape = F.struct(action.alias("action"), length("filters").alias("filters"), keys.alias("keys"), length("tool_sequence").alias("tools"))
     empty = F.array().cast("array<string>")
     record = F.struct(
         F.coalesce("intent", F.lit("unknown")).alias("intent"), F.coalesce("logical_structure", F.lit("SINGLE")).alias("logical_structure"),
@@ -165,7 +166,7 @@ def _tools_key() -> Column:
     return F.when(F.size("tool_sequence") > 0, F.array_join("tool_sequence", "|")).otherwise("<empty>")
 
 
-def capped(records: DataFrame, per_intent: int, per_tools: int) -> DataFrame:
+def capped(records: DataFrame, per_intent: int | None, per_tools: int | None) -> DataFrame:
     """Add ``cap_reason``: null for the records taken, else the cap they meet,
     when records are taken one by one in quality order.
 
@@ -180,6 +181,10 @@ def capped(records: DataFrame, per_intent: int, per_tools: int) -> DataFrame:
     * a refused record met the intent cap if it comes after the record
       which filled that intent, else the tools cap.
     """
+    if per_intent is None and per_tools is None:
+        return records.withColumn("cap_reason", F.lit(None).cast("string"))
+    unlimited = (1 << 31) - 1
+    per_intent, per_tools = per_intent or unlimited, per_tools or unlimited
     order = [F.desc("quality_score"), F.desc("created_at"), F.desc("source_id")]
     keyed = records.withColumn("__tools", _tools_key())
     slim = keyed.select("source_id", "intent", "__tools", "quality_score", "created_at")

@@ -13,7 +13,6 @@ from ..functions.parsing import is_blank
 from ..functions.text import comparable, jaccard, similarity, words
 from ..session import durable
 from .profile import value_counts
-from .sizes import maybe_broadcast
 
 # Header words which make a column a likely home of a name.
 NAME_LIKE = ["name", "title", "product", "customer", "company", "brand", "restaurant", "city", "country", "category"]
@@ -60,7 +59,7 @@ def resolve_aliases(names: DataFrame, aliases: DataFrame, column: str = "name")
     """Real name of each requested name from (alias, real_name); an unknown
     name stays as it is."""
     table = aliases.select(F.lower(F.trim("alias")).alias("__alias"), "real_name").dropDuplicates(["__alias"])
-    joined = names.join(maybe_broadcast(table), F.lower(F.trim(quoted(column))) == F.col("__alias"), "left")
+    joined = names.join(table, F.lower(F.trim(quoted(column))) == F.col("__alias"), "left")
     return joined.withColumn("resolved", F.coalesce("real_name", quoted(column))).drop("__alias", "real_name")
 
 
@@ -107,7 +106,7 @@ def nearest_places(points: DataFrame, gazetteer: DataFrame, radius_km: float = N
     spread = F.array_distinct(F.transform(F.sequence(own - reach, own + reach), lambda c: F.pmod(c, F.lit(columns))))
     places = places.withColumn("cell", F.explode(spread)).drop("pb")
     seen = points.withColumns({"band": band(F.col("latitude")), "cell": cell(F.col("longitude"))})
-    joined = seen.join(maybe_broadcast(places), ["band", "cell"])
+    joined = seen.join(places, ["band", "cell"])
     km = distance_km(F.col("latitude"), F.col("longitude"), F.col("p_latitude"), F.col("p_longitude"))
     near = joined.withColumn("distance_km", km).filter(F.col("distance_km") <= radius_km)
     place = F.struct("distance_km", "p_country", "p_region", "p_city")
@@ -165,7 +164,7 @@ def fill_places(df: DataFrame, columns: dict[str, str], gazetteer: DataFrame, ra
     on = F.lit(True)
     for m in marks:
         on = on & F.col(m).eqNullSafe(F.col(f"__k{m}"))
-    joined = keyed.join(maybe_broadcast(renamed), on, "left")
+    joined = keyed.join(renamed, on, "left")
     filled, count = {}, F.lit(0)
     for p in parts:
         gap = F.col(f"__{p}").isNull() & F.col(f"__new_{p}").isNotNull()
@@ -228,7 +227,7 @@ def _near_pairs(rest: DataFrame, best: DataFrame, floor: float, minimum: float,
     both = rest.select("norm", F.lit("new").alias("side")).unionByName(best.select("norm", F.lit("past").alias("side")))
     sets = durable(_token_sets(both))
     size = F.size("tokens")
-    prefix = F.slice(F.col("tokens"), F.lit(1), size - F.ceil(size * F.lit(floor)).cast("int") + 1)
+    prefix = F.slice(F.col("tokens"), F.lit(1), size - F.ceil(size * F.lit(floor) - 1e-9).cast("int") + 1)
     sets = sets.select("norm", "side", "tokens", prefix.alias("prefix"), size.alias("size"))
     entry = lambda side, tag: sets.filter(F.col("side") == side).select(
         F.col("norm").alias(f"{tag}_norm"), F.col("tokens").alias(f"{tag}_tokens"), F.col("prefix").alias(f"{tag}_prefix"),
@@ -253,7 +252,7 @@ def word_overlap(left: DataFrame, right: DataFrame, key: str, text: str, minimum
     tag = lambda df, side: df.select(comparable(quoted(text)).alias("norm"), F.lit(side).alias("side")).filter("norm <> ''").distinct()
     sets = durable(_token_sets(tag(left, "new").unionByName(tag(right, "past"))))
     size = F.size("tokens")
-    prefix = F.slice(F.col("tokens"), F.lit(1), size - F.ceil(size * F.lit(minimum)).cast("int") + 1)
+    prefix = F.slice(F.col("tokens"), F.lit(1), size - F.ceil(size * F.lit(minimum) - 1e-9).cast("int") + 1)
     side = lambda s, t: sets.filter(F.col("side") == s).select(
         F.col("norm").alias(f"{t}_norm"), F.col("tokens").alias(f"{t}_tokens"), prefix.alias(f"{t}_prefix"), F.explode(prefix).alias("token"))
     pairs = side("new", "a").join(side("past", "b"), "token")

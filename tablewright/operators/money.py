@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.currency import amount, currency_code
 from ..functions.names import quoted
 from ..functions.parsing import number
-from .sizes import maybe_broadcast
 
 
 def convert_column(df: DataFrame, column: str, rate: float, new_column: str) -> DataFrame:
@@ -18,7 +17,7 @@ def convert_column(df: DataFrame, column: str, rate: float, new_column: str) ->
 def convert_by_rates(df: DataFrame, column: str, source: str, target: str, rates: DataFrame, new_column: str) -> DataFrame:
     """Amount × rate(from → to), where ``source`` and ``target`` name code
     columns.  Equal codes keep the amount; a pair without rate gives null."""
-    table = maybe_broadcast(rates.select(F.upper("from").alias("__from"), F.upper("to").alias("__to"), F.col("rate").alias("__rate")))
+    table = rates.select(F.upper("from").alias("__from"), F.upper("to").alias("__to"), F.col("rate").alias("__rate"))
     a, b = F.upper(quoted(source)), F.upper(quoted(target))
     joined = df.join(table, (a == F.col("__from")) & (b == F.col("__to")), "left")
     value = number(quoted(column), df.schema[column].dataType)
@@ -36,7 +35,7 @@ def convert_text(df: DataFrame, column: str, target: str, rates: DataFrame, new_
     ``<new_column>_changed`` tells whether a rate was applied."""
     tagged = df.withColumns({"__code": currency_code(quoted(column)), "__amount": amount(quoted(column))})
     table = rates.filter(F.upper("to") == target.upper()).select(F.upper("from").alias("__from"), F.col("rate").alias("__rate"))
-    joined = tagged.join(maybe_broadcast(table), F.col("__code") == F.col("__from"), "left")
+    joined = tagged.join(table, F.col("__code") == F.col("__from"), "left")
     same = F.col("__code").isNull() | (F.col("__code") == target.upper())
     value = F.when(same, F.col("__amount")).otherwise(F.col("__amount") * F.col("__rate"))
     shown = F.when(F.col("__amount").isNull(), quoted(column).cast("string")).otherwise(value.cast("string"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import alias_of, numeric_columns, quoted, resolve, text_columns
-from ..functions.parsing import is_missing, number, timestamp, truth
+from ..functions.parsing import is_missing, number, timestamp
 from .quantiles import quantiles
 
 # Words in a header which announce a date column.
@@ -322,9 +322,16 @@ def column_sample(df: DataFrame, column: str, n: int = 500, seed: int = 0) -> Da
     return values.orderBy(F.xxhash64(quoted(name), F.lit(seed)), quoted(name)).limit(n)
 
 
+# Words which make a column a yes/no column, and words for a gap.
+YES_NO_WORDS = ["yes", "no", "y", "n", "ye", "true", "false", "t", "f", "1", "0"]
+GAP_WORDS = ["", "none", "null", "na", "n/a", "nan", "unknown"]
+
+
 def boolean_like(df: DataFrame, columns: Sequence[str] | None = None, most: int = 8) -> DataFrame:
-    """Columns whose few distinct values are all truth words."""
+    """Columns whose few distinct values are all yes/no words; words for a gap
+    do not count, but a column of nothing else is not boolean."""
     columns = list(columns or text_columns(df))
     folded = value_counts(df.select(*[F.lower(F.trim(quoted(c))).alias(c) for c in columns]), columns)
-    verdict = F.every(truth(F.col("value")).isNotNull()) & (F.count(F.lit(1)) <= most)
+    gap, word = F.col("value").isin(GAP_WORDS), F.col("value").isin(YES_NO_WORDS)
+    verdict = F.every(gap | word) & (F.count_if(word) > 0) & (F.count_if(~gap) <= most)
     return folded.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"), verdict.alias("boolean_like"))

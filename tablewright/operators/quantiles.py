@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.names import quoted
 from ..functions.parsing import number
 
-DIRECT_ROWS = 100_000
+DIRECT_ROWS = 10_000
 LIST_ROWS = 20_000
 ACCURACY = 2_000
 SLACK = 2.0 / ACCURACY

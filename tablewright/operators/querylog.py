@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import quoted
+from ..session import durable
 from .matching import ranked, similar_questions
-from .sizes import maybe_broadcast
 
 
 def scoped_log(
@@ -38,7 +38,7 @@ def scoped_log(
 def training_table(log: DataFrame, datasets: DataFrame) -> DataFrame:
     """The seven export columns; failures are included."""
     kinds = datasets.select(F.col("dataset_id").alias("__d"), "source_type").dropDuplicates(["__d"])
-    joined = log.join(maybe_broadcast(kinds), F.col("dataset_id") == F.col("__d"), "left")
+    joined = log.join(kinds, F.col("dataset_id") == F.col("__d"), "left")
     return joined.select(
         "intent", F.col("user_query").alias("question"), F.col("generated_sql").alias("sql"),
         F.col("python_pipeline").cast("string").alias("pipeline"), "execution_time_ms", F.col("feedback_score").alias("feedback"),
@@ -78,7 +78,7 @@ def invalidated(entries: DataFrame, invalidations: DataFrame, flag: str = "inval
     one row per key.
     """
     ids = invalidations.filter("query_history_id is not null").select(F.col("query_history_id").alias("__id")).distinct()
-    marked = entries.join(maybe_broadcast(ids), F.col("id") == F.col("__id"), "left").withColumn(flag, F.col("__id").isNotNull()).drop("__id")
+    marked = entries.join(ids, F.col("id") == F.col("__id"), "left").withColumn(flag, F.col("__id").isNotNull()).drop("__id")
     rules = invalidations.filter("query_history_id is null")
     masks = {tuple(r) for r in rules.select(*[F.col(c).isNotNull() for c in SCOPE]).distinct().collect()}
     for mask in sorted(product([False, True], repeat=len(SCOPE))):
@@ -94,7 +94,7 @@ def invalidated(entries: DataFrame, invalidations: DataFrame, flag: str = "inval
             on = F.lit(True)
             for c in named:
                 on = on & (F.col(c) == F.col(f"__{c}"))
-            marked = marked.join(maybe_broadcast(keyed), on, "left")
+            marked = marked.join(keyed, on, "left")
             hit = F.col("created_at") <= F.col("__at")
         else:
             hit = F.col("created_at") <= F.lit(same.agg(latest).first()[0])
@@ -111,9 +111,6 @@ def drop_invalidated(records: DataFrame, invalidations: DataFrame) -> DataFrame:
 
 # ---- plan reuse --------------------------------------------------------------
 
-NEWEST = 5
-
-
 def reuse_confidence(tier: str, feedback: Column, created: Column, now: Column, ttl_days: int = 30) -> Column:
     base = F.lit(0.9 if tier == "exact_query" else 0.6)
     base = base + F.when(feedback > 0, 0.1).when(feedback < 0, -0.45).otherwise(0.0)
@@ -122,13 +119,15 @@ def reuse_confidence(tier: str, feedback: Column, created: Column, now: Column,
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), 4)
 
 
-def _tier(entries: DataFrame, keys: Sequence[str], tier: str, now: Column, ttl_days: int) -> DataFrame:
-    """State of a tier per key from its newest five entries."""
-    newest = ranked(entries, [F.desc("created_at"), F.desc("id")], keys, NEWEST)
+def _tier(entries: DataFrame, keys: Sequence[str], tier: str, now: Column, ttl_days: int, newest: int | None) -> DataFrame:
+    """State of a tier per key: its newest fresh entry, and whether all its
+    entries (or its ``newest`` ones) are invalidated."""
+    if newest is not None:
+        entries = ranked(entries, [F.desc("created_at"), F.desc("id")], keys, newest)
     fresh = ~F.col("invalidated") & (F.col("created_at") >= now - F.make_dt_interval(F.lit(ttl_days)))
     entry = F.struct("id", "dataset_id", "generated_sql", "feedback_score", "created_at")
-    state = newest.groupBy(*[quoted(k) for k in keys]).agg(
-        F.min_by(entry, F.when(fresh, F.col("place"))).alias("entry"), F.every("invalidated").alias("all_invalid"),
+    state = entries.groupBy(*[quoted(k) for k in keys]).agg(
+        F.max_by(entry, F.when(fresh, F.struct("created_at", "id"))).alias("entry"), F.every("invalidated").alias("all_invalid"),
     )
     status = F.when(F.col("entry").isNotNull(), "ok").when(F.col("all_invalid"), "invalidated").otherwise("expired")
     trust = reuse_confidence(tier, F.col("entry.feedback_score"), F.col("entry.created_at"), now, ttl_days)
@@ -137,25 +136,28 @@ def _tier(entries: DataFrame, keys: Sequence[str], tier: str, now: Column, ttl_d
 
 def plan_reuse(
     probes: DataFrame, log: DataFrame, datasets: DataFrame, invalidations: DataFrame, now: datetime, probe_id: str = "probe_id",
-    ttl_days: int = 30, minimum: float = 0.5,
+    ttl_days: int = 30, minimum: float = 0.5, newest: int | None = None,
 ) -> DataFrame:
     """HIT, MISS, EXPIRED or INVALIDATED for a batch of questions.
 
     ``probes``: probe_id, dataset_id, user_query, intent, planner_version (the
     last two may be null).  Tier one is the same text on the same table
     shape; tier two the same intent (and version, when given).  The log is cut
-    to the newest five per key before it meets the questions, so no question
-    is joined with a whole intent.
+    to one row per key before it meets the questions, so no question is joined
+    with a whole intent.  All entries of a key count, however many are
+    invalidated, unless ``newest`` bounds them.
     """
     at = F.lit(now).cast("timestamp")
     shapes = datasets.select(F.col("dataset_id").alias("__d"), F.col("schema_hash").alias("shape")).dropDuplicates(["__d"])
     # An entry belongs to the shape its dataset has now.
     own = log.filter("success").join(shapes, F.col("dataset_id") == F.col("__d")).drop("__d")
-    entries = invalidated(own.drop("schema_hash").withColumnRenamed("shape", "schema_hash"), invalidations)
+    columns = ["id", "dataset_id", "schema_hash", "user_query", "intent", "planner_version", "generated_sql", "feedback_score", "created_at", "invalidated"]
+    # Three tiers read the flagged log, so it is written once, slim.
+    entries = durable(invalidated(own.drop("schema_hash").withColumnRenamed("shape", "schema_hash"), invalidations).select(*columns))
     asked = probes.join(shapes, F.col("dataset_id") == F.col("__d"), "left").drop("__d").withColumnRenamed("shape", "schema_hash")
 
     def attach(left: DataFrame, keys: list[str], tier: str, tag: str) -> DataFrame:
-        state = _tier(entries, keys, tier, at, ttl_days).select(
+        state = _tier(entries, keys, tier, at, ttl_days, newest).select(
             *[quoted(k).alias(f"__{k}") for k in keys], *[F.col(c).alias(f"{tag}_{c}") for c in ("status", "entry", "confidence")]
         )
         on = F.lit(True)
@@ -257,15 +259,17 @@ QUESTION_FEATURES = ["intent", "signature", "dataset_signature", "roles", "struc
 def retrieve(
     questions: DataFrame, records: DataFrame, kind: str, now: datetime, question_id: str = "question_id", top: int = 5
 ) -> DataFrame:
-    """The ``top`` best-scored records of the question's intent:
+    """The ``top`` best-scored records of each question, whatever their intent:
     (question_id, record_id, score, place).
 
     A score is a comparison of features plus a part of the record alone.
     Records with equal features differ only in the latter, so of each feature
     combination just the best ``top`` can be wanted, and questions are
     reduced to distinct combinations as well: what meets in the join is
-    combinations, however many rows share one.  Records of another intent are
-    not compared (a declared difference: without intent a match is weak).
+    combinations, however many rows share one.  Combinations meet where they
+    share at least one compared value: one equi join per feature.  A record
+    which shares none scores by itself alone; the best ``top`` of those are the
+    same for every question.
     """
     features, compared, alone, least = RECORD_KINDS[kind]
     at = F.lit(now).cast("timestamp")
@@ -275,8 +279,20 @@ def retrieve(
     asks = questions.select(quoted(question_id).alias("question_id"), *[ordered_set(f).alias(f"q_{f}") for f in QUESTION_FEATURES])
     key = F.sha2(F.to_json(F.struct(*[F.col(f"q_{f}") for f in QUESTION_FEATURES]), {"ignoreNullFields": "false"}), 256)
     asks = asks.withColumn("q_key", key)
-    pairs = asks.drop("question_id").dropDuplicates(["q_key"]).join(kept, F.col("q_intent") == F.col("r_intent"))
-    total = compared() + F.col("own")
+    distinct, kept = durable(asks.drop("question_id").dropDuplicates(["q_key"])), durable(kept.withColumn("r_key", F.struct("record_id")))
+    met = None
+    for feature in features:
+        asked_for = {"requested_role": "roles", "preferred": "tools"}.get(feature, feature)
+        values = lambda c: F.explode(c) if c.endswith(("_roles", "_tools")) else F.col(c)
+        left = distinct.select("q_key", values(f"q_{asked_for}").alias("value")).filter("value is not null").distinct()
+        right = kept.select("r_key", values(f"r_{feature}").alias("value")).filter("value is not null").distinct()
+        part = left.join(right, "value").select("q_key", "r_key")
+        met = part if met is None else met.unionByName(part)
+    # Records good enough by themselves may be wanted by any question.
+    alone_best = kept.filter(F.col("own") > least).orderBy(F.desc("own"), F.desc("created_at"), "record_id").limit(top).select("r_key")
+    everyone = distinct.select("q_key", F.lit(1).alias("one")).join(F.broadcast(alone_best.withColumn("one", F.lit(1))), "one").drop("one")
+    pairs = met.unionByName(everyone).distinct().join(distinct, "q_key").join(kept, "r_key")
+    total = F.coalesce(compared(), F.lit(0.0)) + F.col("own")
     scored = pairs.filter(total > least).select("q_key", "record_id", "created_at", F.round(F.least(total, F.lit(0.99)), 4).alias("score"))
     best = ranked(scored, [F.desc("score"), F.desc("created_at"), F.col("record_id")], ["q_key"], top)
     return asks.select("question_id", "q_key").join(best, "q_key").select("question_id", "record_id", "score", "place")

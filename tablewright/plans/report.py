@@ -61,6 +61,11 @@ def build_report(
     return {s: out[s] for s in sections if s in out}
 
 
+# Measures whose trend is a trend of revenue, or of the margin.
+REVENUE_NAMES = ("revenue", "sales", "total_revenue", "income")
+MARGIN_NAMES = ("profit_margin", "margin", "gross_margin", "net_margin")
+
+
 def findings_table(df: DataFrame, parts: dict[str, DataFrame], value: str | None) -> DataFrame:
     """The one-row input of the recommendation and health rules."""
     gap = F.struct("missing_percent", "column")
@@ -75,8 +80,9 @@ def findings_table(df: DataFrame, parts: dict[str, DataFrame], value: str | None
     weight = kpis.find_column([value] if value else [], kpis.REVENUE) or kpis.find_column([value] if value else [], kpis.ORDER_VALUE)
     customer = kpis.find_column(df.columns, kpis.CUSTOMER)
     share = kpis.concentration(df, customer[0], value).first()[0] if customer and weight else None
+    of = lambda names: (trend["trend"], trend["decline_percent"]) if trend and value and value.lower() in names else (None, None)
     row = (
-        "table", trend["trend"] if trend else None, trend["decline_percent"] if trend else None, None, None, None, gaps["c"],
+        "table", *of(REVENUE_NAMES), *of(MARGIN_NAMES), None, gaps["c"],
         round(gaps["p"], 2), gaps["n"], share, worst["c"], worst["p"], quality["quality_score"] if quality else None, worst["s"],
         trend["trend"] if trend else None, trend["confidence"] if trend else None, trend["decline_percent"] if trend else None,
     )

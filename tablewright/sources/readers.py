@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.names import unique_headers
+from ..functions.names import quoted, unique_headers
 from ..operators.cleaning import blank_to_null
 
 
@@ -39,15 +39,20 @@ def read_event_log(spark: SparkSession, path: str, schema: T.StructType | str, n
     skipped, an event id counts once, and ``newest`` keeps the latest rows."""
     wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     full = T.StructType([*wanted.fields, T.StructField("_corrupt_record", T.StringType())])
-    lines = spark.read.text(path).select(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("e"),
+    place = F.struct(F.col("_metadata.file_modification_time"), F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(place.alias("place"), F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("e"),
                                          F.ltrim("value").alias("raw"))
     events = lines.filter(F.startswith("raw", F.lit("{")) & F.col("e").isNotNull() & F.col("e._corrupt_record").isNull())
-    events = events.select(*[F.col("e").getField(f.name).alias(f.name) for f in wanted.fields])
+    columns = [f.name for f in wanted.fields]
+    events = events.select("place", *[F.col("e").getField(c).alias(c) for c in columns])
     if key is not None:
-        events = events.dropDuplicates([key])
+        # The event written first wins: by file time and name, then by line.
+        row = F.min_by(F.struct("place", *[quoted(c) for c in columns]), "place").alias("row")
+        nameless = events.filter(quoted(key).isNull())
+        events = events.filter(quoted(key).isNotNull()).groupBy(quoted(key).alias("__key")).agg(row).select("row.*").unionByName(nameless)
     if newest is not None:
-        events = events.orderBy(F.desc("created_at")).limit(newest)
-    return events
+        events = events.orderBy(F.desc("created_at"), *[quoted(c) for c in [key] if c], "place").limit(newest)
+    return events.select(*[quoted(c) for c in columns])
 
 
 def read_splits(spark: SparkSession, path: str, splits: tuple[str, ...] = ("train", "validation")) -> DataFrame:

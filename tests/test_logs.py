@@ -118,6 +118,8 @@ def test_json_shape(spark):
     doc = '{"a": "x, \\"y\\": 1", "b": [1, 2.5, true, null], "c": {"d": -3}}'
     shape = spark.createDataFrame([(doc,)], "v string").select(text.json_shape(F.col("v"))).first()[0].replace(" ", "")
     assert shape == '{"a":"str","b":["int","float","bool","null"],"c":{"d":"int"}}'
+    others = spark.createDataFrame([(i, d) for i, d in enumerate(['{"a":1e5,"b":-2.5E-3}', "17", '"x"', "[]", "no json"])], "i int, v string")
+    assert [r.s for r in others.orderBy("i").select(text.json_shape(F.col("v")).alias("s")).collect()] == ['{"a":"float","b":"float"}', '"int"', '"str"', "[]", None]
 
 
 # ---- query log and reuse -----------------------------------------------------

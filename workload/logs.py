@@ -77,7 +77,7 @@ asked AS (SELECT p.*, sets.schema_hash FROM (SELECT id AS probe_id, dataset_id,
 c AS (
   SELECT probe_id, a.dataset_id AS asked_for, 1 AS tier, f.* FROM asked a JOIN flagged f ON a.schema_hash = f.schema_hash AND a.user_query = f.user_query
   UNION ALL SELECT probe_id, a.dataset_id, 2, f.* FROM asked a JOIN flagged f ON a.schema_hash = f.schema_hash AND a.intent = f.intent AND (a.planner_version IS NULL OR a.planner_version = f.planner_version)),
-n AS (SELECT *, row_number() OVER (PARTITION BY probe_id, tier ORDER BY created_at DESC, id DESC) AS place FROM c QUALIFY place <= 5),
+n AS (SELECT *, row_number() OVER (PARTITION BY probe_id, tier ORDER BY created_at DESC, id DESC) AS place FROM c),
 k AS (SELECT *, NOT invalidated AND created_at >= {NOW_SQL} - INTERVAL 30 DAY AS fresh FROM n),
 t AS (SELECT probe_id, tier, bool_and(invalidated) AS all_invalid, min(place) FILTER (fresh) AS p FROM k GROUP BY 1, 2),
 s AS (SELECT t.*, CASE WHEN p IS NOT NULL THEN 'ok' WHEN all_invalid THEN 'invalidated' ELSE 'expired' END AS status, k.id, k.dataset_id, k.asked_for, k.generated_sql,
@@ -190,7 +190,7 @@ def corpus_gate_reasons(spark, folder):
 
 
 FAMILY = """sha256(to_json({'intent': intent, 'logical_structure': logical_structure, 'operators': operators,
-  'plan_shape': {'derived_columns_count': 0, 'filters_count': len(operators), 'group_by_count': 1, 'metrics_count': 0, 'keys': ['filters', 'group_by'], 'keep_top': false, 'window': false},
+  'plan_shape': {'action': 'null', 'filters': len(operators), 'keys': 2, 'tools': 0},
   'semantic_roles': semantic_roles, 'source_kind': 'experience', 'tool_graph': tool_sequence})::VARCHAR)"""
 SPLIT = "CASE WHEN h < 0.8 THEN 'train' WHEN h < 0.8::DOUBLE + 0.1::DOUBLE THEN 'validation' ELSE 'test' END"
 HASHED = "(('0x' || substr(sha256(f), 1, 12))::BIGINT)::DOUBLE / 281474976710655::DOUBLE AS h"
@@ -484,9 +484,9 @@ def experience_records(spark, folder):
 , r AS (SELECT event_id AS record_id, replace(created_at, '+00:00', '')::TIMESTAMP AS ts, intent, logical_structure AS s, semantic_roles, tool_sequence, success, score, critic_passed FROM ev),
 q AS (SELECT conv_id * 100 + turn AS question_id, ['filter', 'analytics', 'cleaning', 'operation', 'sentiment'][((conv_id + turn) % 5)::INT + 1] AS intent,
   ['role_src' || (conv_id % 20), 'lang_en'] AS roles, ['sql.validate'] AS tools FROM conversations),
-p AS (SELECT question_id, record_id, ts, least(0.99::DOUBLE, 0.25::DOUBLE + least(0.18::DOUBLE, 0.12::DOUBLE * len(list_intersect(semantic_roles, q.roles))) + CASE WHEN s = 'AND' THEN 0.08 ELSE 0 END::DOUBLE
+p AS (SELECT question_id, record_id, ts, least(0.99::DOUBLE, CASE WHEN q.intent = r.intent THEN 0.25 ELSE 0 END::DOUBLE + least(0.18::DOUBLE, 0.12::DOUBLE * len(list_intersect(semantic_roles, q.roles))) + CASE WHEN s = 'AND' THEN 0.08 ELSE 0 END::DOUBLE
   + least(0.12::DOUBLE, 0.12::DOUBLE * len(list_intersect(tool_sequence, q.tools))) + CASE WHEN success THEN 0.08 ELSE 0 END::DOUBLE - CASE WHEN NOT critic_passed THEN 0.05 ELSE 0 END::DOUBLE
-  + greatest(0, least(0.08::DOUBLE, score * 0.08::DOUBLE)) + greatest(0, 0.08::DOUBLE - least(0.08::DOUBLE, epoch(TIMESTAMP '2024-06-01' - ts) / 86400.0::DOUBLE / 365.0::DOUBLE * 0.08::DOUBLE))) AS score FROM q JOIN r USING (intent)),
+  + greatest(0, least(0.08::DOUBLE, score * 0.08::DOUBLE)) + greatest(0, 0.08::DOUBLE - least(0.08::DOUBLE, epoch(TIMESTAMP '2024-06-01' - ts) / 86400.0::DOUBLE / 365.0::DOUBLE * 0.08::DOUBLE))) AS score FROM q, r),
 k AS (SELECT question_id, record_id, ts, round(score, 4) AS score FROM p WHERE score > 0.04)
 SELECT question_id, place, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, ts DESC, record_id) AS place FROM k) WHERE place <= 5
 """)

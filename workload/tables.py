@@ -508,15 +508,15 @@ def bin_by_tokens(spark, folder):
 
 @query("""
 WITH m AS (SELECT min(c_acctbal) AS lo, (max(c_acctbal) - min(c_acctbal)) / 5 AS w, max(c_acctbal) AS hi FROM customer),
-e AS (SELECT i, round(lo + i * w, 2) AS a, CASE WHEN i = 4 THEN round(hi, 2) ELSE round(lo + (i + 1) * w, 2) END AS b FROM m, range(5) t(i))
+e AS (SELECT i, lo + i * w AS a, CASE WHEN i = 4 THEN hi ELSE lo + (i + 1) * w END AS b FROM m, range(5) t(i))
 SELECT i AS bin_number, count(*) AS n FROM (
-  SELECT (SELECT min(i) FROM e WHERE c_acctbal >= printf('%g', a)::DOUBLE AND c_acctbal <= printf('%g', b)::DOUBLE) AS i FROM customer) GROUP BY 1
+  SELECT (SELECT min(i) FROM e WHERE c_acctbal >= a AND c_acctbal <= b) AS i FROM customer) GROUP BY 1
 """)
 def bin_automatically(spark, folder):
     df = load(spark, folder, "customer")
     labels = binning.auto_ranges(df, "c_acctbal")
     numbered = F.coalesce(*[F.when(F.col("bin") == label, F.lit(i)) for i, label in enumerate(labels)])
-    return binning.bin_counts(df, "c_acctbal", labels).select(numbered.cast("long").alias("bin_number"), "n")
+    return binning.bin_counts(df, "c_acctbal").select(numbered.cast("long").alias("bin_number"), "n")
 
 
 @query("""
