@@ -80,10 +80,10 @@ def test_yes_no_columns(spark):
 
 
 def test_a_falling_quantity_is_no_falling_revenue(spark):
-    days = spark.range(200).select(F.date_add(F.lit("2024-01-01"), F.col("id").cast("int")).alias("day"), (400.0 - F.col("id")).alias("quantity"))
+    days = spark.range(200).select(F.date_add(F.lit("2024-01-01"), F.col("id").cast("int")).alias("day"), (10000 * F.pow(F.lit(0.97), F.col("id"))).alias("quantity"))
     for column, advised in (("quantity", False), ("revenue", True)):
         df = days.withColumnRenamed("quantity", column)
-        advice = report.build_report(df, ["trend", "recommendations"], value=column, period=F.col("day"))["recommendations"].collect()
+        advice = report.build_report(df, ["trend", "recommendations"], value=column, period=F.date_trunc("month", "day"))["recommendations"].collect()
         assert any(r.category == "Revenue" for r in advice) is advised
 
 
