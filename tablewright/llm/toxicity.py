@@ -235,14 +235,11 @@ def learn_lexicon(sample: DataFrame, least_share: float = 0.003, least_rows: int
         import pandas as pd
 
         for frame in batches:
-            out: list[tuple[str, int]] = []
+            counted: dict[str, list[int]] = {}
             for text, y in zip(frame["text"], frame["y"]):
                 words = {w for w in WORD.findall((text or "").lower()) if w.isalpha() and len(w) >= 3}
-                found = {f"={w}" for w in words} | {f"^{w[:n]}" for w in words for n in STEM_SIZES if len(w) > n}
-                out += [(f, int(y)) for f in found]
-            counted: dict[str, list[int]] = {}
-            for entry, y in out:
-                counted.setdefault(entry, [0, 0])[y] += 1
+                for entry in {f"={w}" for w in words} | {f"^{w[:n]}" for w in words for n in STEM_SIZES if len(w) > n}:
+                    counted.setdefault(entry, [0, 0])[int(y)] += 1
             yield pd.DataFrame([(e, clean, toxic) for e, (clean, toxic) in counted.items()], columns=["entry", "clean", "toxic"])
 
     toxic = max(1, sample.filter("y = 1").count())
