@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterable
 
 import numpy as np
@@ -40,6 +41,8 @@ FEATURES = ["bare", "quoted", "stems", "fuzzy", "fuzzy_quoted", "addressed", "de
 #: Weights the fit starts from and is drawn to: a hit counts, a quoted one less.
 PRIOR = np.array([-2.0, 2.0, 0.3, 2.0, 0.5, 0.1, 0.5, 0.3])
 STEM_SIZES = (4, 5, 6, 7, 8)
+#: Words (by hash) before a term, of 63 at most, which make it one by itself.
+DIVERSE = 8
 
 
 def errors_allowed(term: str) -> int:
@@ -228,7 +231,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
 def learn_lexicon(sample: DataFrame, least_share: float = 0.003, least_rows: int = 5, precision: float = 0.9) -> Lexicon:
     """The fixed terms with the terms and stems found in the sample: those in
     at least ``least_share`` of the toxic texts, at least ``least_rows``, and
-    of whose texts ``precision`` are toxic.  So there are at most about
+    of whose texts ``precision`` are toxic, behind DIVERSE different words: a
+    word which only goes with copies of one toxic text stands behind the same
+    word in all of them.  So there are at most about
     1 / least_share times a text's words of them."""
 
     def entries(batches):
@@ -237,21 +242,36 @@ def learn_lexicon(sample: DataFrame, least_share: float = 0.003, least_rows: int
         for frame in batches:
             counted: dict[str, list[int]] = {}
             for text, y in zip(frame["text"], frame["y"]):
-                words = {w for w in WORD.findall((text or "").lower()) if w.isalpha() and len(w) >= 3}
-                for entry in {f"={w}" for w in words} | {f"^{w[:n]}" for w in words for n in STEM_SIZES if len(w) > n}:
-                    counted.setdefault(entry, [0, 0])[int(y)] += 1
-            yield pd.DataFrame([(e, clean, toxic) for e, (clean, toxic) in counted.items()], columns=["entry", "clean", "toxic"])
+                words = WORD.findall((text or "").lower())
+                left: dict[str, int] = {}
+                for before, word in zip(["", *words], words):
+                    left[word] = left.get(word, 0) | (1 << zlib.crc32(before.encode()) % 63 if y else 0)
+                found: dict[str, int] = {}
+                for word, mask in left.items():
+                    if word.isalpha() and len(word) >= 3:
+                        for entry in (f"={word}", *(f"^{word[:n]}" for n in STEM_SIZES if len(word) > n)):
+                            found[entry] = found.get(entry, 0) | mask
+                for entry, mask in found.items():
+                    row = counted.setdefault(entry, [0, 0, 0])
+                    row[int(y)] += 1
+                    row[2] |= mask
+            yield pd.DataFrame([(e, *row) for e, row in counted.items()], columns=["entry", "clean", "toxic", "lefts"])
 
     toxic = max(1, sample.filter("y = 1").count())
     least = max(least_rows, int(least_share * toxic))
-    counted = sample.mapInPandas(entries, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    chosen = counted.filter((F.col("toxic") >= least) & (F.col("toxic") >= precision * (F.col("toxic") + F.col("clean")))).collect()
+    counted = sample.mapInPandas(entries, "entry string, clean long, toxic long, lefts long").groupBy("entry").agg(
+        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_or("lefts").alias("lefts"))
+    good = (F.col("toxic") >= least) & (F.col("toxic") >= precision * (F.col("toxic") + F.col("clean")))
+    chosen = counted.filter(good & (F.bit_count("lefts") >= min(least, DIVERSE))).collect()
     # The texts which hold a term tell it from words that merely go with it.
     strong = sorted((r["entry"] for r in chosen), key=lambda e: (len(e), e))
     stems: list[str] = []
     for entry in strong:
         if entry[0] == "^" and not any(entry[1:].startswith(s) for s in stems):
             stems.append(entry[1:])
+    # Of stems which find the same texts the longest says most.
+    texts_of = {r["entry"][1:]: r["toxic"] for r in chosen if r["entry"][0] == "^"}
+    stems = [max((t for t in texts_of if t.startswith(s) and texts_of[t] >= texts_of[s]), key=len) for s in stems]
     terms = {e[1:] for e in strong if e[0] == "=" and not any(e[1:].startswith(s) for s in stems)}
     # A stem all of whose texts have one longer word is that word.
     by_entry = {r["entry"]: r["toxic"] for r in chosen}
