@@ -279,6 +279,36 @@ def build_corpus(records: DataFrame, invalidations: DataFrame | None = None, pol
     return marked.filter("cap_reason is null").drop("cap_reason"), rejections
 
 
+def learning_status(events: DataFrame, strategies: DataFrame | None = None, policy: CorpusPolicy = CorpusPolicy()) -> tuple[DataFrame, DataFrame]:
+    """State of the learning log: one row (experience_count,
+    eligible_experience_count, rejected_experience_count,
+    candidate_strategy_count, trusted_strategy_count, last_plan_source,
+    privacy_gate_passed), and the rejections by reason.
+
+    Eligible are the records a corpus of all events and strategies would hold.
+    """
+    gated = event_records(events, policy)
+    if strategies is not None:
+        gated = gated.unionByName(strategy_records(strategies, policy))
+    corpus, rejections = build_corpus(gated, policy=policy)
+    rejections = durable(rejections)
+    latest = F.max_by("plan_source", F.struct("created_at", "event_id"))
+    seen = events.agg(F.count(F.lit(1)).alias("experience_count"), latest.alias("last_plan_source"))
+    kept = corpus.agg(F.count(F.lit(1)).alias("eligible_experience_count"))
+    private = F.count_if(F.startswith("reason", F.lit("unsafe")) | F.contains("reason", F.lit("privacy")))
+    lost = rejections.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rejected_experience_count"), (private == 0).alias("__private"))
+    if strategies is None:
+        listed = events.sparkSession.range(1).select(F.lit(0).cast("long").alias("candidate_strategy_count"), F.lit(0).cast("long").alias("trusted_strategy_count"))
+    else:
+        listed = strategies.agg(F.count(F.lit(1)).alias("candidate_strategy_count"), F.count_if(F.col("state") == "trusted").alias("trusted_strategy_count"))
+    row = seen.withColumn("k", F.lit(1))
+    for part in (kept, lost, listed):  # one row each
+        row = row.join(F.broadcast(part.withColumn("k", F.lit(1))), "k")
+    passed = F.col("__private") & (F.col("eligible_experience_count") > 0)
+    return row.select("experience_count", "eligible_experience_count", "rejected_experience_count", "candidate_strategy_count", "trusted_strategy_count",
+                      "last_plan_source", passed.alias("privacy_gate_passed")), rejections
+
+
 def corpus_distributions(corpus: DataFrame) -> DataFrame:
     """(dimension, key, n) for intent, tools, steps, predicates, source and
     split.  One pass: each row gives one cell per dimension, counted with

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -191,76 +191,81 @@ def _token_sets(texts: DataFrame) -> DataFrame:
 
 
 def similar_questions(
-    probes: DataFrame, log: DataFrame, probe_id: str, minimum: float = 0.95, native: bool = False
-) -> DataFrame:
+    probes: DataFrame, log: DataFrame, probe_id: str, minimum: float = 0.95, native: bool = False, scope: Sequence[str] = (),
+    scorer: Callable[[Column, Column], Column] | None = None, overlap: float | None = None,
+) -> DataFrame:
     """Best logged question for each probe with a score of at least
     ``minimum``: (probe_id, norm, score, matched …).
 
     ``probes`` has ``probe_id`` and ``user_query``; ``log`` has ``id``,
-    ``user_query``, ``feedback_score``, ``created_at``.  Both sides are reduced
-    to distinct normal texts first, so copies cost nothing.  An equal text wins
-    with 1.0.  For the rest, score ≥ s needs a word overlap of 2s-1, so two
-    texts must share one of their rarest words (prefix filter); frequent words
-    never form a block, and no pair above the bound is lost.
+    ``user_query``, ``feedback_score``, ``created_at``.  Both have the columns of
+    ``scope``, in which a question and its match agree (null with null).  Both
+    sides are reduced to distinct normal texts first, so copies cost nothing.
+    An equal text wins with 1.0.  For the rest, score ≥ s needs a word overlap
+    of 2s-1, so two texts must share one of their rarest words (prefix filter);
+    frequent words never form a block, and no pair above the bound is lost.
+    Another ``scorer`` of two texts comes with the word ``overlap`` (Jaccard)
+    which its ``minimum`` needs.
     """
-    floor = 2.0 * (minimum - 0.00005) - 1.0
+    if (scorer is None) != (overlap is None):
+        raise ValueError("a scorer comes with the overlap its minimum needs")
+    floor = 2.0 * (minimum - 0.00005) - 1.0 if overlap is None else overlap
     if floor <= 0:
         raise ValueError("the prefix filter needs a minimum above 0.5")
-    asked = probes.select(quoted(probe_id).alias("probe_id"), comparable(F.col("user_query")).alias("norm")).filter("norm <> ''")
+    score = scorer or (lambda a, b: similarity(a, b, native))
+    within = [f"__s{i}" for i in range(len(scope))]
+    scopes = [F.coalesce(F.concat(F.lit("="), quoted(c).cast("string")), F.lit("")).alias(w) for c, w in zip(scope, within)]
+    asked = probes.select(quoted(probe_id).alias("probe_id"), comparable(F.col("user_query")).alias("norm"), *scopes).filter("norm <> ''")
     past = log.select("id", "user_query", F.coalesce("feedback_score", F.lit(0)).alias("feedback"), "created_at",
-                      comparable(F.col("user_query")).alias("norm")).filter("norm <> ''")
+                      comparable(F.col("user_query")).alias("norm"), *scopes).filter("norm <> ''")
     place = F.struct("feedback", "created_at", -F.col("id"))
-    best = durable(past.groupBy("norm").agg(F.max_by(F.struct("id", "user_query", "feedback", "created_at"), place).alias("entry")))
-    distinct = durable(asked.select("norm").distinct())
-    equal = distinct.join(best, "norm").select("norm", F.lit(1.0).alias("score"), "entry")
+    best = durable(past.groupBy("norm", *within).agg(F.max_by(F.struct("id", "user_query", "feedback", "created_at"), place).alias("entry")))
+    distinct = durable(asked.select("norm", *within).distinct())
+    equal = distinct.join(best, ["norm", *within]).select("norm", *within, F.lit(1.0).alias("score"), "entry")
     if floor <= 1.0:
-        rest = distinct.join(best.select("norm"), "norm", "left_anti")
-        near = _near_pairs(rest, best, floor, minimum, native)
-        equal = equal.unionByName(near)
-    return asked.join(equal, "norm").select(
+        rest = distinct.join(best.select("norm", *within), ["norm", *within], "left_anti")
+        near = _near_pairs(rest.select("norm").distinct(), best.select("norm").distinct(), floor)
+        scored = near.withColumn("score", score(F.col("a_norm"), F.col("b_norm"))).filter(F.col("score") >= minimum)
+        asks = rest.withColumnRenamed("norm", "a_norm")
+        joined = scored.join(asks, "a_norm").join(best.withColumnRenamed("norm", "b_norm"), ["b_norm", *within])
+        won = F.struct("score", "entry.feedback", "entry.created_at", -F.col("entry.id"))
+        picked = joined.groupBy(F.col("a_norm").alias("norm"), *within).agg(F.max_by(F.struct("score", "entry"), won).alias("m"))
+        equal = equal.unionByName(picked.select("norm", *within, "m.score", "m.entry"))
+    return asked.join(equal, ["norm", *within]).select(
         "probe_id", "norm", "score", F.col("entry.id").alias("matched_id"), F.col("entry.user_query").alias("matched_query"),
         F.col("entry.feedback").alias("feedback_score"),
     )
 
 
-def _near_pairs(rest: DataFrame, best: DataFrame, floor: float, minimum: float, native: bool) -> DataFrame:
-    both = rest.select("norm", F.lit("new").alias("side")).unionByName(best.select("norm", F.lit("past").alias("side")))
-    sets = durable(_token_sets(both))
-    size = F.size("tokens")
-    prefix = F.slice(F.col("tokens"), F.lit(1), size - F.ceil(size * F.lit(floor) - 1e-9).cast("int") + 1)
-    sets = sets.select("norm", "side", "tokens", prefix.alias("prefix"), size.alias("size"))
+def _near_pairs(new: DataFrame, past: DataFrame, floor: float) -> DataFrame:
+    """(a_norm, b_norm) of the texts whose word sets overlap by ``floor``.
+
+    Only a text's hash, size and words travel to the join by words; the texts
+    and their whole word sets are brought in for the pairs which met.
+    """
+    both = new.select("norm", F.lit("new").alias("side")).unionByName(past.select("norm", F.lit("past").alias("side")))
+    sets = durable(_token_sets(both).withColumns({"size": F.size("tokens"), "text_id": F.struct(F.xxhash64("norm"), F.xxhash64(F.reverse("norm")))}))
+    prefix = F.slice(F.col("tokens"), F.lit(1), F.col("size") - F.ceil(F.col("size") * F.lit(floor) - 1e-9).cast("int") + 1)
     entry = lambda side, tag: sets.filter(F.col("side") == side).select(
-        F.col("norm").alias(f"{tag}_norm"), F.col("tokens").alias(f"{tag}_tokens"), F.col("prefix").alias(f"{tag}_prefix"),
-        F.col("size").alias(f"{tag}_size"), F.explode("prefix").alias("token"),
-    )
-    pairs = entry("new", "a").join(entry("past", "b"), "token")
-    # Kept once per pair: at the first word the two prefixes share.
-    first = F.get(F.array_intersect("a_prefix", "b_prefix"), F.lit(0)) == F.col("token")
-    sized = (F.col("b_size") >= F.col("a_size") * floor) & (F.col("a_size") >= F.col("b_size") * floor)
-    overlap = jaccard(F.col("a_tokens"), F.col("b_tokens"))
-    pairs = pairs.filter(sized & first & (overlap >= floor)).select("a_norm", "b_norm")
-    scored = pairs.withColumn("score", similarity(F.col("a_norm"), F.col("b_norm"), native)).filter(F.col("score") >= minimum)
-    joined = scored.join(best.withColumnRenamed("norm", "b_norm"), "b_norm")
-    place = F.struct("score", "entry.feedback", "entry.created_at", -F.col("entry.id"))
-    picked = joined.groupBy(F.col("a_norm").alias("norm")).agg(F.max_by(F.struct("score", "entry"), place).alias("m"))
-    return picked.select("norm", "m.score", "m.entry")
+        F.col("text_id").alias(f"{tag}_id"), F.col("size").alias(f"{tag}_size"), F.explode(prefix).alias("token"))
+    sized = (F.col("b_size") >= F.col("a_size") * floor - 1e-9) & (F.col("a_size") >= F.col("b_size") * floor - 1e-9)
+    met = entry("new", "a").join(entry("past", "b"), "token").filter(sized).select("a_id", "b_id").distinct()
+    whole = lambda side, tag: sets.filter(F.col("side") == side).select(
+        F.col("text_id").alias(f"{tag}_id"), F.col("norm").alias(f"{tag}_norm"), F.col("tokens").alias(f"{tag}_tokens"))
+    pairs = met.join(whole("new", "a"), "a_id").join(whole("past", "b"), "b_id")
+    return pairs.filter(jaccard(F.col("a_tokens"), F.col("b_tokens")) >= floor).select("a_norm", "b_norm")
 
 
 def word_overlap(left: DataFrame, right: DataFrame, key: str, text: str, minimum: float) -> DataFrame:
     """Jaccard of the word sets of texts which share a rare word, at least
     ``minimum``: (left, right, jaccard) over distinct normal texts."""
     tag = lambda df, side: df.select(comparable(quoted(text)).alias("norm"), F.lit(side).alias("side")).filter("norm <> ''").distinct()
-    sets = durable(_token_sets(tag(left, "new").unionByName(tag(right, "past"))))
-    size = F.size("tokens")
-    prefix = F.slice(F.col("tokens"), F.lit(1), size - F.ceil(size * F.lit(minimum) - 1e-9).cast("int") + 1)
-    side = lambda s, t: sets.filter(F.col("side") == s).select(
-        F.col("norm").alias(f"{t}_norm"), F.col("tokens").alias(f"{t}_tokens"), prefix.alias(f"{t}_prefix"), F.explode(prefix).alias("token"))
-    pairs = side("new", "a").join(side("past", "b"), "token")
-    first = F.get(F.array_intersect("a_prefix", "b_prefix"), F.lit(0)) == F.col("token")
-    overlap = jaccard(F.col("a_tokens"), F.col("b_tokens"))
-    return pairs.filter(first).select(F.col("a_norm").alias("left_text"), F.col("b_norm").alias("right_text"), overlap.alias("jaccard")).filter(
-        F.col("jaccard") >= minimum
-    )
+    a, b = tag(left, "new"), tag(right, "past")
+    near = _near_pairs(a, b, minimum - 1e-9)
+    # The exact figure, from the texts of the pairs that are left.
+    overlap = jaccard(F.array_distinct(words(F.col("a_norm"))), F.array_distinct(words(F.col("b_norm"))))
+    found = near.select(F.col("a_norm").alias("left_text"), F.col("b_norm").alias("right_text"), overlap.alias("jaccard"))
+    return found.filter(F.col("jaccard") >= minimum)
 
 
 def ranked(df: DataFrame, order, keys: Sequence[str], n: int) -> DataFrame:

@@ -119,17 +119,24 @@ def keep_allowed(df: DataFrame, payload: str, schema: T.StructType | str) -> Dat
     return df.withColumn(payload, F.to_json(F.from_json(quoted(payload), schema)))
 
 
+def finite(value: Column, kind: T.DataType) -> Column:
+    """NaN and infinities as null and decimals as doubles, at any depth of
+    arrays, maps and structs."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: finite(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: finite(x, kind.valueType))
+    if isinstance(kind, T.StructType) and kind.fields:
+        return F.when(value.isNotNull(), F.struct(*[finite(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
+    return value.cast("double") if isinstance(kind, T.DecimalType) else value
+
+
 def json_safe(df: DataFrame) -> DataFrame:
     """Rows as JSON text in column ``json``: NaN and infinities null, nulls
-    written, decimals as doubles."""
-    cells = []
-    for f in df.schema:
-        c = quoted(f.name)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = number(c)
-        elif isinstance(f.dataType, T.DecimalType):
-            c = c.cast("double")
-        cells.append(c.alias(f.name))
+    written, decimals as doubles, nested values included."""
+    cells = [finite(quoted(f.name), f.dataType).alias(f.name) for f in df.schema]
     return df.select(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}).alias("json"))
 
 

@@ -53,11 +53,13 @@ def exact_reuse(probes: DataFrame, log: DataFrame, probe_id: str) -> DataFrame:
     return probes.join(past, ["user_query", "dataset_id"]).select(probe_id, F.col("hit.id").alias("matched_id"), "hit.generated_sql")
 
 
-def best_with(probes: DataFrame, log: DataFrame, probe_id: str, column: str, minimum: float = 0.95, native: bool = False) -> DataFrame:
+def best_with(
+    probes: DataFrame, log: DataFrame, probe_id: str, column: str, minimum: float = 0.95, native: bool = False, scope: Sequence[str] = ()
+) -> DataFrame:
     """Best similar past question which has a value in ``column`` (its SQL or
-    its pipeline), with that value."""
+    its pipeline), with that value; only of the same ``scope``, if given."""
     usable = log.filter(F.col("success") & quoted(column).isNotNull())
-    matched = similar_questions(probes, usable, probe_id, minimum, native)
+    matched = similar_questions(probes, usable, probe_id, minimum, native, scope)
     return matched.join(usable.select(F.col("id").alias("matched_id"), quoted(column)), "matched_id").select(
         "probe_id", "matched_id", "score", quoted(column)
     )
@@ -289,9 +291,11 @@ def retrieve(
         part = left.join(right, "value").select("q_key", "r_key")
         met = part if met is None else met.unionByName(part)
     # Records good enough by themselves may be wanted by any question.
-    alone_best = kept.filter(F.col("own") > least).orderBy(F.desc("own"), F.desc("created_at"), "record_id").limit(top).select("r_key")
-    everyone = distinct.select("q_key", F.lit(1).alias("one")).join(F.broadcast(alone_best.withColumn("one", F.lit(1))), "one").drop("one")
-    pairs = met.unionByName(everyone).distinct().join(distinct, "q_key").join(kept, "r_key")
+    alone_best = kept.filter(F.col("own") > least).orderBy(F.desc("own"), F.desc("created_at"), "record_id").limit(top).select("record_id").collect()
+    if alone_best:
+        wanted = F.array(*[F.lit(r[0]).cast(records.schema["record_id"].dataType) for r in alone_best])
+        met = met.unionByName(distinct.select("q_key", F.explode(wanted).alias("record_id")).select("q_key", F.struct("record_id").alias("r_key")))
+    pairs = met.distinct().join(distinct, "q_key").join(kept, "r_key")
     total = F.coalesce(compared(), F.lit(0.0)) + F.col("own")
     scored = pairs.filter(total > least).select("q_key", "record_id", "created_at", F.round(F.least(total, F.lit(0.99)), 4).alias("score"))
     best = ranked(scored, [F.desc("score"), F.desc("created_at"), F.col("record_id")], ["q_key"], top)

@@ -3,12 +3,12 @@ lost executor only repeats its tasks."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import quoted
-from ..operators.projection import json_safe
+from ..operators.projection import finite, json_safe
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -17,19 +17,6 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.select(*[(F.to_json(quoted(f.name)) if isinstance(f.dataType, nested) else quoted(f.name)).alias(f.name) for f in df.schema])
 
 
-def finite(value: Column, kind: T.DataType) -> Column:
-    """NaN and infinities as null, at any depth of arrays, maps and structs."""
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
-    if isinstance(kind, T.ArrayType):
-        return F.transform(value, lambda x: finite(x, kind.elementType))
-    if isinstance(kind, T.MapType):
-        return F.transform_values(value, lambda _, x: finite(x, kind.valueType))
-    if isinstance(kind, T.StructType) and kind.fields:
-        return F.when(value.isNotNull(), F.struct(*[finite(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
-    return value
-
-
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     _flat(df).write.mode(mode).option("header", True).option("escape", '"').csv(path)
 

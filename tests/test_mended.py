@@ -99,3 +99,17 @@ def test_the_first_event_of_an_id_wins(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text("\n".join(lines), encoding="utf-8")
     found = readers.read_event_log(spark, str(tmp_path / "log.jsonl"), "event_id string, created_at string", key="event_id").collect()
     assert sorted((r.event_id or "", r.created_at) for r in found) == [("", "2022"), ("", "2023"), ("a", "2024-01-09")]
+
+
+def test_matches_stay_in_their_scope(spark):
+    log = spark.createDataFrame([(1, "o1", "total sales by region", 0, NOW), (2, "o2", "total sales by region", 5, NOW), (3, None, "total sales by region and the month of the year", 0, NOW)],
+                                "id long, organization_id string, user_query string, feedback_score int, created_at timestamp")
+    probes = spark.createDataFrame([(10, "o1", "Total sales by region"), (11, "o3", "total sales by region"), (12, None, "total sales by region and the month of the years")],
+                                   "probe_id long, organization_id string, user_query string")
+    found = matching.similar_questions(probes, log, "probe_id", 0.8, native=True, scope=["organization_id"]).collect()
+    assert {(r.probe_id, r.matched_id) for r in found} == {(10, 1), (12, 3)}
+    assert {r.probe_id for r in matching.similar_questions(probes, log, "probe_id", 0.8, native=True).collect()} == {10, 11, 12}
+    same_size = matching.similar_questions(probes, log, "probe_id", 1.0, scorer=lambda a, b: (F.length(a) == F.length(b)).cast("double"), overlap=0.9)
+    assert {r.probe_id for r in same_size.collect()} == {10, 11}
+    with pytest.raises(ValueError):
+        matching.similar_questions(probes, log, "probe_id", overlap=0.5)

@@ -119,6 +119,21 @@ def similar_questions_by_edits(spark, folder):
     return matching.similar_questions(probes(spark, folder, plain), plain.filter("success"), "probe_id", 0.9, native=True)
 
 
+@query(ASCII_LOG + f"""
+, probes AS ({PROBES.replace('FROM log', 'FROM plain')}), p AS (SELECT probe_id, organization_id, {norm('user_query')} AS n, {bag('user_query')} AS w FROM probes),
+l AS (SELECT *, {norm('user_query')} AS n, {bag('user_query')} AS w FROM plain WHERE success),
+j AS (SELECT p.probe_id, p.n, l.id, l.user_query, coalesce(l.feedback_score, 0) AS feedback, l.created_at, l.n AS m,
+  len(list_intersect(p.w, l.w)) / len(list_distinct(list_concat(p.w, l.w)))::DOUBLE AS j FROM p, l WHERE p.organization_id IS NOT DISTINCT FROM l.organization_id AND len(list_intersect(p.w, l.w)) / len(list_distinct(list_concat(p.w, l.w)))::DOUBLE >= 0.7),
+s AS (SELECT *, CASE WHEN n = m THEN 1.0 ELSE round(0.5 * (1.0::DOUBLE - levenshtein(n, m) / greatest(length(n), length(m))::DOUBLE) + 0.5 * j, 4) END::DOUBLE AS score FROM j)
+SELECT probe_id, n AS norm, score, id AS matched_id, user_query AS matched_query, feedback AS feedback_score FROM s WHERE score >= 0.9
+QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, feedback DESC, created_at DESC, id) = 1
+""")
+def similar_questions_in_scope(spark, folder):
+    # DuckDB counts bytes in an edit distance, so the texts are cut to ASCII.
+    plain = query_log(spark, folder).withColumn("user_query", F.regexp_replace("user_query", "[^ -~]", ""))
+    return matching.similar_questions(probes(spark, folder, plain), plain.filter("success"), "probe_id", 0.9, native=True, scope=["organization_id"])
+
+
 @query()
 def best_reusable_sql(spark, folder):
     return querylog.best_with(probes(spark, folder), query_log(spark, folder), "probe_id", "generated_sql", 0.9)
@@ -226,6 +241,14 @@ def corpus_rejections(spark, folder):
     return corpus.build_corpus(corpus.event_records(learning_events(spark, folder), SMALL_CAPS), policy=SMALL_CAPS)[1]
 
 
+@query(GATED + f"""
+SELECT (SELECT count(*) FROM ev) AS experience_count, count(DISTINCT f) AS eligible_experience_count, (SELECT count(*) FROM ev) - count(DISTINCT f) AS rejected_experience_count,
+  0::BIGINT AS candidate_strategy_count, 0::BIGINT AS trusted_strategy_count, 'teacher_execution' AS last_plan_source, count(*) > 0 AND (SELECT count(*) FROM (SELECT {REASON} AS reason FROM ev) WHERE reason LIKE 'unsafe%') = 0 AS privacy_gate_passed FROM g
+""")
+def learning_status(spark, folder):
+    return corpus.learning_status(learning_events(spark, folder))[0]
+
+
 def whole_corpus(spark, folder):
     best = corpus.best_of_family(corpus.event_records(learning_events(spark, folder)).filter("rejected is null"))
     return best.withColumn("split", corpus.stable_split(F.col("family_fingerprint")))

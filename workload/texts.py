@@ -269,13 +269,13 @@ def bag(c):
     return f"list_distinct(list_filter(string_split({norm(c)}, ' '), lambda x: x <> ''))"
 
 
-PROBES = """SELECT id AS probe_id, CASE WHEN id % 3 = 0 THEN user_query || '!' WHEN id % 3 = 1 THEN user_query || ' please' ELSE substr(user_query, 11) END AS user_query FROM log"""
+PROBES = """SELECT id AS probe_id, CASE WHEN id % 3 = 0 THEN user_query || '!' WHEN id % 3 = 1 THEN user_query || ' please' ELSE substr(user_query, 11) END AS user_query, organization_id FROM log"""
 
 
 def probes(spark, folder, log=None):
     q, i = F.col("user_query"), F.col("id")
     return (log or query_log(spark, folder)).select(
-        i.alias("probe_id"), F.when(i % 3 == 0, F.concat(q, F.lit("!"))).when(i % 3 == 1, F.concat(q, F.lit(" please"))).otherwise(F.substring(q, 11, 1 << 20)).alias("user_query")
+        i.alias("probe_id"), F.when(i % 3 == 0, F.concat(q, F.lit("!"))).when(i % 3 == 1, F.concat(q, F.lit(" please"))).otherwise(F.substring(q, 11, 1 << 20)).alias("user_query"), "organization_id",
     )
 
 
