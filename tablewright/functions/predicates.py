@@ -61,7 +61,8 @@ def literal_for(value, kind: T.DataType) -> Column:
 def compare(column: Column, kind: T.DataType, operator: str, value) -> Column:
     if operator not in COMPARISONS:
         raise ValueError(f"unsupported comparison {operator!r}")
-    if isinstance(kind, T.StringType) and as_number(value) is not None:
+    # Text equals text; only an order asked for a number reads text as numbers.
+    if isinstance(kind, T.StringType) and operator not in ("equals", "not_equals") and as_number(value) is not None:
         return COMPARISONS[operator](number(column), F.lit(as_number(value)))
     return COMPARISONS[operator](column, literal_for(value, kind))
 

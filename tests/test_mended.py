@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright.functions import predicates
 from tablewright.operators import binning, categories, corpus, matching, profile, querylog
 from tablewright.plans import report
 from tablewright.sources import readers, writers
@@ -113,3 +114,9 @@ def test_matches_stay_in_their_scope(spark):
     assert {r.probe_id for r in same_size.collect()} == {10, 11}
     with pytest.raises(ValueError):
         matching.similar_questions(probes, log, "probe_id", overlap=0.5)
+
+
+def test_text_equals_text(spark):
+    df = spark.createDataFrame([("00123",), ("123",), ("9",), ("x",)], "code string")
+    chosen = lambda operator, value: {r.code for r in df.filter(predicates.plan_condition(df, {"column": "code", "operator": operator, "value": value})).collect()}
+    assert chosen("equals", "123") == {"123"} and chosen("greater_than", 30) == {"00123", "123"}
