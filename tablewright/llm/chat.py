@@ -79,9 +79,11 @@ def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
         steps.append(state.filter("up IS NOT NULL").select("tree", "id", "up"))
         if steps[-1].isEmpty() or 1 << (len(steps) - 1) > total:
             break
+        # Messages which have reached their root stay as they are.
         other = state.select("tree", F.col("id").alias("up"), F.col("up").alias("next"), F.col("length").alias("more"), F.col("total").alias("added"))
-        joined = state.join(other, ["tree", "up"], "left")
-        state = durable(joined.select("tree", "id", F.col("next").alias("up"), (F.col("length") + F.coalesce("more", F.lit(0))).alias("length"), (F.col("total") + F.coalesce("added", F.lit(0.0))).alias("total")))
+        moved = state.filter("up IS NOT NULL").join(other, ["tree", "up"]).select(
+            "tree", "id", F.col("next").alias("up"), (F.col("length") + F.col("more")).alias("length"), (F.col("total") + F.col("added")).alias("total"))
+        state = durable(state.filter("up IS NULL").unionByName(moved, allowMissingColumns=False))
     parents = slim.select("tree", F.col("up").alias("id")).filter("id IS NOT NULL")
     leaves = state.filter("up IS NULL").join(parents, ["tree", "id"], "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("length")), F.desc("length"), "id")
