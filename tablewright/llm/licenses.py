@@ -61,11 +61,17 @@ class Templates:
             return []
         lowered = text.lower()
         words = WORD.findall(lowered)
-        if len(self.vocabulary.intersection(words)) < 2 or self.known.isdisjoint(zip(words, words[1:])):
+        if len(self.vocabulary.intersection(words)) < 2:
+            return []
+        shared = Counter(filter(self.known.__contains__, zip(words, words[1:])))
+        # A passage shares no more pairs than its whole text, and needs as many
+        # as the smallest passage in bounds has.
+        wanted = [(name, t) for name, t in self.all if (t & shared).total() >= self.similar / (2 - self.similar) * t.total() - 1e-9] if shared else []
+        if not wanted:
             return []
         sentences = [s for part in SENTENCE_END.split(lowered) if (s := WORD.findall(part))]
         found: dict[str, float] = {}
-        for name, template in self.all:
+        for name, template in wanted:
             size = template.total()
             low, high = self.similar / (2 - self.similar) * size - 1e-9, (2 - self.similar) / self.similar * size + 1e-9
             # A pair may straddle two sentences: each end's sentence counts as
