@@ -26,7 +26,6 @@ from .common import durable
 ESCAPES = {"\\": "\\\\", "<": "\\l", ">": "\\g", "\n": "\\n"}
 BACK = {v[1]: k for k, v in ESCAPES.items()}
 TURN = re.compile(r"<turn ([^<>\n]*)>\n([^<]*)\n</turn>\n")
-CONVERSATION = "tree string, leaf long, turns array<struct<role:string,text:string>>"
 
 
 def escape(text: str, signs: str = "\\<") -> str:
@@ -103,6 +102,7 @@ def formatted(messages: DataFrame, keep: int = 1, learned: str = "assistant") ->
     ``messages`` also has role and text; null ones are empty.  A branch's
     messages are brought together in one task: a conversation, not a tree.
     """
+    messages = durable(messages)
     path = branches(messages, keep)
     texts = messages.select("tree", "id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = path.join(texts, ["tree", "id"]).groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("at"), "role", "text"))).alias("turns"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import durable
 from . import chat, decision_list, decontamination, licenses, mixing, simhash, token_counts, toxicity, url_filter, warc
 
 
@@ -59,7 +60,8 @@ def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.element_at(F.array(F.lit("user"), F.lit("assistant")), F.col("id").cast("int") + 1).alias("role"), F.lit(said).alias("text"))
     rows = load(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    found = chat.read_back(chat.formatted(chat.threads(rows)))
+    # Written, then read back by a job of its own.
+    found = chat.read_back(durable(chat.formatted(chat.threads(rows))))
     conv_id = F.when(F.col("tree") != "", F.substring("tree", 2, 20).cast("long")).alias("conv_id")
     return found.select(conv_id, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
