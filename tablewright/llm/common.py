@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..session import checkpoint_folder, durable
 
-__all__ = ["durable", "shared_folder", "quoted", "with_arrow_columns", "null_safe_count", "TEXT_ROWS", "row_keys"]
+__all__ = ["durable", "shared_folder", "quoted", "with_arrow_columns", "TEXT_ROWS", "row_keys"]
 
 #: Texts handed to one call of a column function; bounds the arrays it holds.
 TEXT_ROWS = 256
@@ -64,10 +64,6 @@ def with_arrow_columns(df: DataFrame, source: str, added: dict[str, str], fill:
     return df.mapInArrow(run, T.StructType(fields))
 
 
-def null_safe_count(condition: Column) -> Column:
-    return F.coalesce(F.sum(F.when(condition, 1).otherwise(0)), F.lit(0)).cast("long")
-
-
 def row_keys(id_column: str, text_column: str) -> tuple[Column, Column]:
     """The two parts of a document's identity: rows which share both are
     repeats of one document; null ids fall apart by their texts."""

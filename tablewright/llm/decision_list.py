@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, quoted, with_arrow_columns
+from .common import quoted, with_arrow_columns
 
 SYMBOLS, SPACES, MARKS, DIGITS, UPPER = b"#*$%&|<>", b" \t\n\v\f\r", b"!?", b"0123456789", bytes(range(65, 91))
 WINDOW = 8
