@@ -267,12 +267,20 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     Documents without an id form components by their texts alone; the one with
     the smallest text hash stays where all ids of a component are null.
     """
+    found = near_duplicates(docs, doc_id, text, shingle, distance).select(F.col(quoted(doc_id)).alias("id"), "text_hash", "fingerprint_bits", "component_id")
+    nameless = F.when(F.col("component_id").isNull(), F.col("fingerprint_bits"))
+    return one_of_each(docs, found.select("id", "text_hash", F.struct("component_id", nameless.alias("bits")).alias("root")), doc_id, text)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The first document of each ``root`` of ``found`` (id, text_hash, root),
+    which has a row for each of ``docs``; of repeated rows one."""
+
     def identity(id_column: Column) -> Column:
         return F.coalesce(id_column.cast("string"), F.lit("(none)"))
 
-    found = near_duplicates(docs, doc_id, text, shingle, distance).select(F.col(quoted(doc_id)).alias("id"), "text_hash", "fingerprint_bits", "component_id")
     first = F.struct(F.col("id").isNull().alias("nameless"), "id", "text_hash")
-    groups = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint_bits"))).agg(F.min(first).alias("kept"))
+    groups = found.groupBy("root").agg(F.min(first).alias("kept"))
     kept = durable(groups.select(identity(F.col("kept.id")).alias("_identity"), F.col("kept.text_hash").alias("_text_hash")))
     id_column, text_hash = row_keys(doc_id, text)
     marked = docs.withColumns({"_identity": identity(id_column), "_text_hash": text_hash}).join(kept, ["_identity", "_text_hash"], "left_semi")
