@@ -238,14 +238,16 @@ def links_of_groups(group: np.ndarray, bits: np.ndarray, distance: int) -> tuple
     return links_of_sorted(((group & 7) << 48) | (group >> 3), bits, distance)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4,
+                    with_root: bool = False) -> DataFrame:
     """One row per document: its id, ``text_hash`` (xxhash64 of the text),
     ``fingerprint_bits`` and ``component_id``, the smallest id reachable by
     links of at most ``distance`` bits, itself included.
 
     Null and empty texts have fingerprint zero and are linked like any other.
     Repeated rows give repeated rows.  A null id is never a component's id
-    unless all its ids are null.
+    unless all its ids are null.  ``with_root`` adds ``root``, the fingerprint
+    which tells components apart where ids are repeated or null.
     """
     id_column, text_hash = row_keys(doc_id, text)
     slim = docs.select(id_column.alias("id"), text_hash.alias("text_hash"), F.col(quoted(text)).alias("text"))
@@ -256,8 +258,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     smallest = durable(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
     # Written first, so that the joins below are between plain shuffles, whose
     # hot fingerprint adaptive execution can split.
-    named = durable(rooted.join(smallest, "root").select(F.col("bits").alias("fingerprint_bits"), "component_id"))
-    return marked.join(named, "fingerprint_bits").select(F.col("id").alias(doc_id), "text_hash", "fingerprint_bits", "component_id")
+    root = ["root"] if with_root else []
+    named = durable(rooted.join(smallest, "root").select(F.col("bits").alias("fingerprint_bits"), "component_id", *root))
+    return marked.join(named, "fingerprint_bits").select(F.col("id").alias(doc_id), "text_hash", "fingerprint_bits", "component_id", *root)
 
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
@@ -267,9 +270,8 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     Documents without an id form components by their texts alone; the one with
     the smallest text hash stays where all ids of a component are null.
     """
-    found = near_duplicates(docs, doc_id, text, shingle, distance).select(F.col(quoted(doc_id)).alias("id"), "text_hash", "fingerprint_bits", "component_id")
-    nameless = F.when(F.col("component_id").isNull(), F.col("fingerprint_bits"))
-    return one_of_each(docs, found.select("id", "text_hash", F.struct("component_id", nameless.alias("bits")).alias("root")), doc_id, text)
+    found = near_duplicates(docs, doc_id, text, shingle, distance, with_root=True)
+    return one_of_each(docs, found.select(F.col(quoted(doc_id)).alias("id"), "text_hash", "root"), doc_id, text)
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

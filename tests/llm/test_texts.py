@@ -131,6 +131,16 @@ def test_near_duplicates_of_odd_rows(spark):
     assert sorted(r["text"] for r in simhash.keep_one_of_each(nameless).collect()) == ["b c d e f", text]
 
 
+def test_components_are_told_apart_without_ids(spark, monkeypatch):
+    """One id with two unrelated texts, and near copies without any id."""
+    bits = {"a b": 0, "far away": (1 << 40) - 1, "copy": 3, "other": 0b11111 << 50, "near": 0b11 << 50}
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, shingle=4: bits[text])
+    repeated = spark.createDataFrame([(1, "a b"), (1, "far away"), (2, "copy")], "doc_id long, text string")
+    assert sorted(r["text"] for r in simhash.keep_one_of_each(repeated).collect()) == ["a b", "far away"]
+    nameless = spark.createDataFrame([(None, "other"), (None, "near"), (None, "far away")], "doc_id long, text string")
+    assert simhash.keep_one_of_each(nameless).count() == 2
+
+
 def test_components_of_a_long_path(spark):
     pairs = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).unionByName(spark.createDataFrame([(900, 901), (901, 902), (900, 902), (7, 7)], "a long, b long"))
     roots = {r["node"]: r["root"] for r in components(pairs, "a", "b").collect()}
