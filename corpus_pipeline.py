@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import decision_list, decontamination, mixing, shingles, toxicity
+from tablewright.llm import decision_list, decontamination, mixing, simhash, toxicity
 from tablewright.llm.common import shared_folder
 
 
@@ -28,9 +28,9 @@ def of_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: texts whose sets of
-    five-word shingles have a Jaccard similarity of 0.8 or more."""
-    return shingles.keep_one_of_each(docs)
+    """One document of each group whose fingerprints of four-word shingles are
+    joined by links of at most four bits, the first by its id."""
+    return simhash.keep_one_of_each(docs, shingle=4, distance=4)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
