@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..session import checkpoint_folder, durable
 
-__all__ = ["durable", "shared_folder", "quoted", "with_arrow_columns", "TEXT_ROWS", "row_keys"]
+__all__ = ["durable", "shared_folder", "quoted", "with_arrow_columns", "TEXT_ROWS", "row_keys", "free_names"]
 
 #: Texts handed to one call of a column function; bounds the arrays it holds.
 TEXT_ROWS = 256
@@ -24,6 +24,18 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns which no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+
+    def free(name: str) -> str:
+        while name.lower() in taken:
+            name = f"_{name}"
+        return name
+
+    return [free(name) for name in wanted]
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the one which the cluster shares."""
     return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, quoted, row_keys, with_arrow_columns
+from .common import durable, free_names, quoted, row_keys, with_arrow_columns
 from .components import components
 
 SEED = 42
@@ -278,14 +278,14 @@ def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text:
     """The first document of each ``root`` of ``found`` (id, text_hash, root),
     which has a row for each of ``docs``; of repeated rows one."""
 
-    def identity(id_column: Column) -> Column:
-        return F.coalesce(id_column.cast("string"), F.lit("(none)"))
+    def identity(id_column: Column, text_hash: Column) -> dict[str, Column]:
+        return {nameless: id_column.isNull(), named: F.coalesce(id_column.cast("string"), F.lit("")), hashed: text_hash}
 
+    nameless, named, hashed, turn = free_names(docs, "nameless", "named", "hashed", "turn")
     first = F.struct(F.col("id").isNull().alias("nameless"), "id", "text_hash")
     groups = found.groupBy("root").agg(F.min(first).alias("kept"))
-    kept = durable(groups.select(identity(F.col("kept.id")).alias("_identity"), F.col("kept.text_hash").alias("_text_hash")))
-    id_column, text_hash = row_keys(doc_id, text)
-    marked = docs.withColumns({"_identity": identity(id_column), "_text_hash": text_hash}).join(kept, ["_identity", "_text_hash"], "left_semi")
-    # Repeated rows lie where the join has put them; no further shuffle.
-    turn = F.row_number().over(Window.partitionBy("_identity", "_text_hash").orderBy(F.lit(1)))
-    return marked.withColumn("_turn", turn).filter("_turn = 1").select(*[F.col(quoted(c)) for c in docs.columns])
+    kept = groups.select(*[c.alias(n) for n, c in identity(F.col("kept.id"), F.col("kept.text_hash")).items()])
+    # All but one of a task's repeated rows go before the texts are moved.
+    same = Window.partitionBy(nameless, named, hashed).orderBy(hashed)
+    marked = docs.withColumns(identity(*row_keys(doc_id, text))).withColumn(turn, F.row_number().over(same)).filter(F.col(turn) == 1)
+    return marked.join(durable(kept), [nameless, named, hashed], "left_semi").select(*[F.col(quoted(c)) for c in docs.columns])

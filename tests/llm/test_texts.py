@@ -9,8 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from tablewright.llm import decision_list, licenses, shingles, simhash, token_counts, toxicity, url_filter
+from tablewright.llm import decision_list, licenses, simhash, token_counts, toxicity, url_filter
 from tablewright.llm.components import components
 
 TEXTS = [None, "", " ", "\n\t", "word", "Ein Wort.", "a\n\n b\t\tc\r\n", "日本語のテキスト。中文 texte é😀😀", "</s> <0x41> <unk> ▁▁a ▁", "\x00", "the " * 3000, "ab" * 3000, "=" * 2100]
@@ -304,42 +303,15 @@ def test_segmenting_finds_the_likeliest_words():
     assert "".join(made.segment("qzxw" * 40)) == "qzxw" * 40
 
 
-# ---- near-duplicates by shingles ---------------------------------------------------
+# ---- one of each group ---------------------------------------------------------------
 
 
-def plain_jaccard(a, b):
-    cut = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))}
-    return len(cut(a) & cut(b)) / len(cut(a) | cut(b))
-
-
-@pytest.mark.parametrize("chunk", [3, 512])
-def test_edited_copies_are_kept_once(spark, monkeypatch, chunk):
-    """Edited copies around a similarity of 0.8, beyond any few bits of SimHash."""
-    monkeypatch.setattr(shingles, "BLOCK_NODES", chunk)
-    pick = random.Random(11)
-    texts = []
-    for base in range(25):
-        words = [f"b{base}w{pick.randrange(400)}" for _ in range(pick.choice([3, 5, 40, 150, 400]))]
-        texts.append(" ".join(words))
-        for _ in range(4):
-            edited = [w if pick.random() > 0.015 else "changed" for w in words]
-            texts.append(" ".join(edited).upper())
-    size = len(texts)
-    near = [(i, j) for i in range(size) for j in range(i) if plain_jaccard(texts[i], texts[j]) >= 0.8]
-    bits = [plain_fingerprint(t) for t in texts]
-    assert sum(bin(bits[i] ^ bits[j]).count("1") > 4 for i, j in near) > 20
-    root = list(range(size))
-    for i, j in near:
-        root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
-    kept = corpus_pipeline.without_near_duplicates(spark, docs_of(spark, texts, node="mine"), "")
-    assert kept.columns == ["doc_id", "text", "node"] and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
-
-
-def test_shingles_of_odd_rows(spark):
+def test_one_of_each_of_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(200))
     rows = [(5, text), (5, text), (3, text.upper()), (None, text), (9, None), (8, ""), (None, None), (7, "quite another text of a few words"), (4, "one"), (2, "ONE"), (5, "apart from the other five")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert sorted(r["doc_id"] for r in shingles.keep_one_of_each(docs).collect()) == [2, 3, 5, 7, 8]
-    assert shingles.keep_one_of_each(docs.limit(0)).count() == 0
-    nameless = spark.createDataFrame([(None, text), (None, text + " more"), (None, "b c d e f")], "doc_id long, text string")
-    assert shingles.keep_one_of_each(nameless).count() == 2
+    docs = spark.createDataFrame([(*r, "mine", i) for i, r in enumerate(rows)], "doc_id long, text string, named string, Turn int").repartition(3)
+    kept = simhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 5, 7, 8] and {r["named"] for r in kept.collect()} == {"mine"}
+    assert simhash.keep_one_of_each(docs.limit(0)).count() == 0
+    odd = [(None, text), (None, "b c d e f"), ("(none)", "g h i j k"), (None, "g h i j k l"), ("(none)", "l m n o p")]
+    assert simhash.keep_one_of_each(spark.createDataFrame(odd, "doc_id string, text string")).count() == 5
