@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import durable
-from . import chat, decision_list, decontamination, licenses, mixing, simhash, token_counts, toxicity, url_filter, warc
+from . import chat, decision_list, decontamination, exact_dedup, licenses, mixing, simhash, token_counts, toxicity, url_filter, warc
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -144,10 +144,21 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(load(spark, folder, "documents"), every_digest=True)
+
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, ''))::BIGINT AS points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY points DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY text_sha256)::BIGINT AS group_size,
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY points DESC, doc_id) = 1 AS kept, text_sha256 FROM d
+"""
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter, "op2_decontamination": op2_decontamination, "op3_toxicity": op3_toxicity, "op4_chat": op4_chat,
     "op5_warc": op5_warc, "op6_licenses": op6_licenses, "op7_quality_rules": op7_quality_rules, "op8_token_counts": op8_token_counts,
-    "op9_mixing": op9_mixing, "op10_simhash": op10_simhash,
+    "op9_mixing": op9_mixing, "op10_simhash": op10_simhash, "op13_exact_dedup": op13_exact_dedup,
 }
 
-ORACLES = {"op2_decontamination": OP2, "op4_chat": OP4, "op5_warc": OP5, "op9_mixing": OP9}
+ORACLES = {"op2_decontamination": OP2, "op4_chat": OP4, "op5_warc": OP5, "op9_mixing": OP9, "op13_exact_dedup": OP13}
