@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import durable
-from . import chat, decision_list, decontamination, exact_dedup, licenses, mixing, simhash, token_counts, toxicity, url_filter, warc
+from . import chat, decision_list, decontamination, exact_dedup, licenses, merkle, mixing, simhash, token_counts, toxicity, url_filter, warc
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -144,6 +144,48 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.col("text")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)
+    found = merkle.climb(merkle.build(load(spark, folder, "documents"), found={"text": tampered}))
+    proof = F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256")
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
+def field_sql(name: str) -> str:
+    return f"coalesce(strlen({name}::VARCHAR) || ':' || {name}::VARCHAR, '-')"
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text, bit by bit."""
+    codes = f"list_transform(string_split({text}, ''), lambda s: ascii(s)::BIGINT)"
+    step = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, k: xor(a >> 1, (a & 1) * 3988292384))"
+    return f"xor(list_reduce([4294967295::BIGINT] || {codes}, lambda c, b: {step}), 4294967295)"
+
+
+LEAF_FIELDS = " || ".join(field_sql(f) for f in merkle.FIELDS[:-1])
+
+OP12 = f"""
+WITH RECURSIVE d AS (SELECT *, CASE WHEN {crc32_sql('doc_id::VARCHAR')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS found FROM documents),
+l AS (SELECT doc_id, source, sha256({LEAF_FIELDS} || {field_sql('text')}) AS leaf, sha256({LEAF_FIELDS} || {field_sql('found')}) AS seen,
+             row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM d),
+tree AS (SELECT coalesce('s' || source, 'n') AS t, 0 AS lev, i, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM l
+  UNION ALL SELECT t, lev + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM tree WHERE n > 1 GROUP BY t, lev, i // 3, n),
+s AS (SELECT t, lev, h AS subroot, row_number() OVER (ORDER BY t) - 1 AS i FROM tree WHERE n = 1),
+top AS (SELECT 0 AS lev, i, subroot AS h, count(*) OVER () AS n FROM s
+  UNION ALL SELECT lev + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY lev, i // 3, n),
+nodes AS (SELECT t, lev, i, h, n FROM tree UNION ALL SELECT 'top', lev, i, h, n FROM top),
+sib AS (SELECT a.t, a.lev, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+        FROM nodes a JOIN nodes b ON a.t = b.t AND a.lev = b.lev AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY a.t, a.lev, a.i),
+low AS (SELECT doc_id, coalesce('s' || source, 'n') AS t, 0 AS lev, i, seen AS h, '' AS proof FROM l
+  UNION ALL SELECT doc_id, c.t, c.lev + 1, c.i // 3, sha256(sib.l || h || sib.r), proof || sib.l || sib.r FROM low c JOIN sib ON c.t = sib.t AND c.lev = sib.lev AND c.i = sib.i),
+high AS (SELECT doc_id, 0 AS lev, s.i, low.h, proof FROM low JOIN s ON low.t = s.t AND low.lev = s.lev
+  UNION ALL SELECT doc_id, c.lev + 1, c.i // 3, sha256(sib.l || h || sib.r), proof || sib.l || sib.r FROM high c JOIN sib ON sib.t = 'top' AND c.lev = sib.lev AND c.i = sib.i)
+SELECT l.doc_id, leaf, subroot, top.h AS root, sha256(proof) AS proof_sha256, high.h AS folded_root, high.h = top.h AS verified
+FROM l JOIN s ON s.t = coalesce('s' || source, 'n') JOIN high ON high.doc_id = l.doc_id JOIN top ON top.n = 1 AND top.lev = high.lev
+"""
+
+
 def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(load(spark, folder, "documents"), every_digest=True)
 
@@ -158,7 +200,7 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY point
 QUERIES = {
     "op1_url_filter": op1_url_filter, "op2_decontamination": op2_decontamination, "op3_toxicity": op3_toxicity, "op4_chat": op4_chat,
     "op5_warc": op5_warc, "op6_licenses": op6_licenses, "op7_quality_rules": op7_quality_rules, "op8_token_counts": op8_token_counts,
-    "op9_mixing": op9_mixing, "op10_simhash": op10_simhash, "op13_exact_dedup": op13_exact_dedup,
+    "op9_mixing": op9_mixing, "op10_simhash": op10_simhash, "op12_merkle_manifest": op12_merkle_manifest, "op13_exact_dedup": op13_exact_dedup,
 }
 
-ORACLES = {"op2_decontamination": OP2, "op4_chat": OP4, "op5_warc": OP5, "op9_mixing": OP9, "op13_exact_dedup": OP13}
+ORACLES = {"op2_decontamination": OP2, "op4_chat": OP4, "op5_warc": OP5, "op9_mixing": OP9, "op12_merkle_manifest": OP12, "op13_exact_dedup": OP13}
