@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import join_on
 from ..session import durable
-from . import chat, decision_list, decontamination, exact_dedup, licenses, merkle, mixing, simhash, token_counts, toxicity, url_filter, warc
+from . import chat, decision_list, decontamination, exact_dedup, licenses, merkle, mixing, repair, simhash, token_counts, toxicity, url_filter, warc
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -144,6 +145,29 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with a fault in some rows, told by their id and turn;
+    nulls are one space."""
+    said = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    kind = F.crc32(F.concat(said["conv_id"], F.lit(":"), said["turn"])) % 20
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace(said["text"], "[.!?]", "")).otherwise(said["text"])
+    role = F.when(F.col("kind") == 4, "user").otherwise(said["role"])
+    copies = F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    left = rows.withColumn("kind", kind).filter("kind <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy"))
+    return left.drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = load(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    found = durable(repair.repair(damaged(rows)))
+    facts = found.filter("part = 0").select("conv_id", *[F.col(f).alias(f) for f in repair.FACTS], "audit")
+    known = join_on(join_on(rows.select("conv_id").distinct(), facts, ["conv_id"]), repair.digests(found), ["conv_id"])
+    return known.select(
+        "conv_id", *[F.coalesce(f, F.lit(0)).cast("long").alias(f) for f in repair.FACTS], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     text = F.col("text")
     tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)
@@ -200,7 +224,7 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY point
 QUERIES = {
     "op1_url_filter": op1_url_filter, "op2_decontamination": op2_decontamination, "op3_toxicity": op3_toxicity, "op4_chat": op4_chat,
     "op5_warc": op5_warc, "op6_licenses": op6_licenses, "op7_quality_rules": op7_quality_rules, "op8_token_counts": op8_token_counts,
-    "op9_mixing": op9_mixing, "op10_simhash": op10_simhash, "op12_merkle_manifest": op12_merkle_manifest, "op13_exact_dedup": op13_exact_dedup,
+    "op9_mixing": op9_mixing, "op10_simhash": op10_simhash, "op11_conversation_repair": op11_conversation_repair, "op12_merkle_manifest": op12_merkle_manifest, "op13_exact_dedup": op13_exact_dedup,
 }
 
 ORACLES = {"op2_decontamination": OP2, "op4_chat": OP4, "op5_warc": OP5, "op9_mixing": OP9, "op12_merkle_manifest": OP12, "op13_exact_dedup": OP13}
