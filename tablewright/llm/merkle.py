@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..operators.ordered import row_index
 from .common import durable, quoted, shared_folder
 
-RUN, LEVELS = 3, 4
+RUN, LEVELS = 3, 6
 FAN = RUN**LEVELS
 #: Leaves which meet in one key of the climb.
 FANIN = 8_192
@@ -64,8 +64,8 @@ def _level_above(level: Column) -> Column:
 
 
 def _grouped(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
-    """One row per FAN neighbours: ``members`` with the path of each to the
-    next hop, and the ``hash`` of the node above them."""
+    """One row per FAN neighbours: ``members`` and the digests of ``level0`` up
+    to the level of the node above them."""
     own = [c for c in nodes.columns if c not in ("tree", "place")]
     member = F.struct("place", *own)
     groups = nodes.groupBy("tree", F.floor(F.col("place") / FAN).alias("above")).agg(F.sort_array(F.collect_list(member)).alias("members"), F.sum("leaves").alias("below"))
@@ -74,6 +74,12 @@ def _grouped(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
         here = F.col(f"level{j}")
         groups = groups.withColumn(f"level{j + 1}", F.when(F.col("steps") > j, _level_above(here)).otherwise(here))
 
+    return groups
+
+
+def _members(groups: DataFrame) -> DataFrame:
+    """The members of each group, each with its path to the node above."""
+
     def siblings(p: Column, j: int) -> Column:
         q = F.floor(p / RUN**j).cast("int")
         before = q % RUN
@@ -81,11 +87,9 @@ def _grouped(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
         left = F.array_join(F.slice(here, q - before + 1, before), "")
         return F.struct(left.alias("left"), F.array_join(F.slice(here, q + 2, F.lit(RUN - 1) - before), "").alias("right"))
 
-    def with_path(m: Column, p: Column) -> Column:
-        path = F.slice(F.array(*[siblings(p, j) for j in range(LEVELS)]), F.lit(1), F.col("steps"))
-        return F.struct(m.alias("member"), path.alias("path"))
-
-    return groups.select("tree", "above", "size", "below", F.element_at(f"level{LEVELS}", 1).alias("hash"), F.transform("members", with_path).alias("members"))
+    rows = groups.select("*", F.posexplode("members").alias("p", "member"))
+    path = F.slice(F.array(*[siblings(F.col("p"), j) for j in range(LEVELS)]), F.lit(1), F.col("steps"))
+    return rows.select("tree", "above", "below", (F.col("size") <= FAN).alias("last"), "member.*", path.alias("path"))
 
 
 def _folded(nodes: DataFrame, sizes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
@@ -94,9 +98,8 @@ def _folded(nodes: DataFrame, sizes: DataFrame) -> tuple[list[DataFrame], DataFr
     hops, roots = [], None
     while True:
         groups = durable(_grouped(nodes, sizes))
-        rows = groups.select("tree", "above", "below", (F.col("size") <= FAN).alias("last"), F.inline("members"))
-        hops.append(rows.select("tree", "above", "below", "last", "member.*", "path"))
-        above = groups.select("tree", F.col("above").alias("place"), "hash", F.col("below").alias("leaves"), "size")
+        hops.append(_members(groups))
+        above = groups.select("tree", F.col("above").alias("place"), F.element_at(f"level{LEVELS}", 1).alias("hash"), F.col("below").alias("leaves"), "size")
         ended = above.filter(F.col("size") <= FAN).select("tree", F.lit(len(hops)).alias("hop"), "hash", "leaves")
         roots = ended if roots is None else roots.unionByName(ended)
         sizes = durable(sizes.filter(F.col("size") > FAN).select("tree", F.ceil(F.col("size") / FAN).alias("size")))
@@ -190,23 +193,26 @@ WITH RECURSIVE climb MAX RECURSION LEVEL 200 AS (
          coalesce(c.subroot, n.subroot), n.up_tree, n.up_hop, n.up_place, pmod(c.pick, n.up_salts)
   FROM climb c JOIN {{nodes}} n ON c.tree = n.tree AND c.hop = n.hop AND c.place = n.place AND c.salt = n.salt
 )
-SELECT id, lower(hex(leaf)) AS leaf, lower(hex(subroot)) AS subroot, proof, folded AS folded_root FROM climb WHERE tree IS NULL
+SELECT id, lower(hex(leaf)) AS leaf, lower(hex(subroot)) AS subroot, {{proof}}, folded AS folded_root FROM climb WHERE tree IS NULL
 """
+PROOFS = {True: "proof", False: "sha2(lower(hex(proof)), 256) AS proof_sha256"}
 
 
-def climb(manifest: Manifest) -> DataFrame:
+def climb(manifest: Manifest, whole_proofs: bool = True) -> DataFrame:
     """One row per leaf: id, ``leaf``, ``subroot``, ``root``, ``proof`` (the
-    siblings from leaf to root, 32 bytes each, left to right on each level),
-    ``folded_root`` made from the digest found, and ``verified``."""
+    siblings from leaf to root, 32 bytes each, left to right on each level) or
+    ``proof_sha256`` of their hex digits, ``folded_root`` made from the digest
+    found, and ``verified``."""
     spark = manifest.nodes.sparkSession
     names = {key: f"merkle_{key}_{uuid.uuid4().hex}" for key in ("start", "nodes")}
     manifest.start.createOrReplaceTempView(names["start"])
     manifest.nodes.createOrReplaceTempView(names["nodes"])
     try:
         with _recursion_without_row_limit(spark):
-            found = durable(spark.sql(CLIMB.format(**names, fanin=FANIN)))
+            found = durable(spark.sql(CLIMB.format(**names, fanin=FANIN, proof=PROOFS[whole_proofs])))
     finally:
         for name in names.values():
             spark.catalog.dropTempView(name)
     root = F.lit(manifest.root).cast("string")
-    return found.select("id", "leaf", "subroot", root.alias("root"), "proof", "folded_root", (F.col("folded_root") == root).alias("verified"))
+    proof = "proof" if whole_proofs else "proof_sha256"
+    return found.select("id", "leaf", "subroot", root.alias("root"), proof, "folded_root", (F.col("folded_root") == root).alias("verified"))

@@ -171,9 +171,8 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     text = F.col("text")
     tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)
-    found = merkle.climb(merkle.build(load(spark, folder, "documents"), found={"text": tampered}))
-    proof = F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256")
-    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof, "folded_root", "verified")
+    found = merkle.climb(merkle.build(load(spark, folder, "documents"), found={"text": tampered}), whole_proofs=False)
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
 def field_sql(name: str) -> str:

@@ -68,7 +68,7 @@ def found_text():
 
 
 @pytest.mark.parametrize("levels, fanin, sizes", [
-    (4, 8192, {"hot": 400, None: 28, "one": 1, "é": 3, "z": 82, "": 2, **{f"s{i}": i for i in range(4, 9)}}),
+    (6, 8192, {"hot": 900, None: 28, "one": 1, "é": 3, "z": 82, "": 2, **{f"s{i}": i for i in range(4, 9)}}),
     (1, 5, {"hot": 100, None: 4, "one": 1, "z": 9, "\U0001f600": 10, "￮": 27}),
     (2, 3, {"alone": 90}),
     (4, 2, {f"s{i}": 1 for i in range(100)}),
