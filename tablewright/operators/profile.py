@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 from ..functions.names import alias_of, numeric_columns, quoted, resolve, text_columns
 from ..functions.parsing import is_missing, number, timestamp
+from ..session import durable
+from .bitfilter import BitFilter
 from .quantiles import quantiles
 
 # Words in a header which announce a date column.
@@ -66,13 +68,22 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return cells.select("cell.*").filter("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def distinct_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per column (by its place) and distinct non-null text, which a
+    hash of 128 bits stands for: no text is shuffled, however long."""
+    made = []
+    for i, c in enumerate(columns):
+        text = quoted(c).cast("string")
+        made.append(F.when(text.isNotNull(), F.struct(F.lit(i).alias("c"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"))))
+    return df.select(F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("cell")).select("cell.*").distinct()
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
     columns = list(columns or df.columns)
     if approximate:
         one = df.agg(*[F.approx_count_distinct(quoted(c)).alias(f"d{i}") for i, c in enumerate(columns)])
     else:
-        per_column = [F.count_if(F.col("column") == c).alias(f"d{i}") for i, c in enumerate(columns)]
-        one = value_counts(df, columns).agg(*per_column)
+        one = distinct_cells(df, columns).agg(*[F.count_if(F.col("c") == i).alias(f"d{i}") for i in range(len(columns))])
     return long_form(one, [{"column": F.lit(c), "distinct": F.col(f"d{i}")} for i, c in enumerate(columns)])
 
 
@@ -104,14 +115,16 @@ def row_groups(df: DataFrame, columns: Sequence[str] | None = None, out: str = "
 def twin_groups(df: DataFrame, out: str = "copies") -> DataFrame:
     """Distinct rows with two copies or more.
 
-    Only a 64-bit hash per row is shuffled at first; whole rows are compared
-    just where a hash occurs twice, so a table of mostly different rows is
-    never shuffled whole.  Hash collisions are told apart by the rows.
+    Only a 64-bit hash per row is shuffled at first.  The hashes which occur
+    twice become a broadcast filter of bits, so rows without a twin are dropped
+    where they are read and only suspects meet to be compared whole: a table of
+    mostly different rows is never shuffled.  Hash collisions are told apart by
+    the rows.
     """
-    hashed = df.withColumn("__hash", F.xxhash64(*[quoted(c) for c in df.columns]))
-    twice = hashed.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__hash")
-    suspects = hashed.join(twice, "__hash", "left_semi").drop("__hash")
-    return row_groups(suspects, df.columns, out).filter(F.col(out) > 1)
+    row_hash = F.xxhash64(*[quoted(c) for c in df.columns])
+    hashes = df.select(row_hash.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    twice = BitFilter(durable(hashes.filter("n > 1").select("key")))
+    return row_groups(twice.passing(df, row_hash), df.columns, out).filter(F.col(out) > 1)
 
 
 def duplicate_counts(df: DataFrame) -> DataFrame:
@@ -233,35 +246,33 @@ def ratio_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     """Share of numeric, date, boolean-like, unique and missing cells.
 
     Numeric, date and missing shares are of all rows; boolean and unique
-    shares of the filled ones.  Works on the (column, value, n) table, so a
-    value is parsed once however often it occurs.
+    shares of the filled ones.  Cells are parsed where they lie, in one scan;
+    only hashes of distinct values are shuffled.
     """
     columns = list(columns or df.columns)
-    kinds = {c: df.schema[c].dataType for c in columns}
-    cells = value_counts(df, columns)
-    text, n = F.col("value"), F.col("n")
-    numeric_kind = [c for c in columns if isinstance(kinds[c], (T.NumericType, T.BooleanType))]
-    date_kind = [c for c in columns if isinstance(kinds[c], (T.TimestampType, T.TimestampNTZType, T.DateType))]
-    is_number = F.col("column").isin(numeric_kind) | number(text).isNotNull()
-    is_date = F.col("column").isin(date_kind) | (~F.col("column").isin(numeric_kind) & timestamp(text).isNotNull())
-    part = lambda test: F.sum(F.when(test, n).otherwise(0))
-    measured = cells.groupBy("column").agg(
-        F.sum("n").alias("filled"), F.count(F.lit(1)).alias("distinct"), part(is_number).alias("numbers"),
-        part(is_date).alias("dates"), part(F.lower(F.trim(text)).isin(BOOLEAN_LIKE)).alias("booleans"),
-        F.try_divide(F.sum(F.length(text) * n), F.sum("n")).alias("mean_length"),
-    )
-    sizes = df.agg(F.count(F.lit(1)).alias("rows")).select(
-        "rows", F.explode(F.array(*[F.lit(c) for c in columns])).alias("column")
-    )
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    rows, filled = F.col("rows"), zero("filled")
-    return sizes.join(measured, "column", "left").select(
-        "column", rows, filled.alias("filled"), zero("distinct").alias("distinct"),
-        ratio(zero("numbers"), rows).alias("numeric_ratio"), ratio(zero("dates"), rows).alias("datetime_ratio"),
-        ratio(zero("booleans"), filled).alias("boolean_ratio"), ratio(zero("distinct"), filled).alias("unique_ratio"),
-        ratio(rows - filled, rows).alias("missing_ratio"), F.coalesce("mean_length", F.lit(0.0)).alias("mean_length"),
-    )
+    sums, rows = [F.count(F.lit(1)).alias("rows")], []
+    for i, c in enumerate(columns):
+        kind, text = df.schema[c].dataType, quoted(c).cast("string")
+        numeric = isinstance(kind, (T.NumericType, T.BooleanType))
+        dated = isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType))
+        is_date = F.lit(dated) if dated or numeric else timestamp(text).isNotNull()
+        sums += [
+            F.count(text).alias(f"n{i}"), F.count_if(text.isNotNull() & (F.lit(True) if numeric else number(text).isNotNull())).alias(f"f{i}"),
+            F.count_if(text.isNotNull() & is_date).alias(f"t{i}"), F.count_if(F.lower(F.trim(text)).isin(BOOLEAN_LIKE)).alias(f"b{i}"),
+            F.avg(F.length(text)).alias(f"m{i}"),
+        ]
+        filled, ratio = F.col(f"n{i}"), lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+        rows.append({
+            "column": F.lit(c), "rows": F.col("rows"), "filled": filled, "distinct": F.col(f"d{i}"), "numeric_ratio": ratio(F.col(f"f{i}"), F.col("rows")),
+            "datetime_ratio": ratio(F.col(f"t{i}"), F.col("rows")), "boolean_ratio": ratio(F.col(f"b{i}"), filled),
+            "unique_ratio": ratio(F.col(f"d{i}"), filled), "missing_ratio": ratio(F.col("rows") - filled, F.col("rows")),
+            "mean_length": F.coalesce(f"m{i}", F.lit(0.0)),
+        })
+    distinct = distinct_cells(df, columns).agg(*[F.count_if(F.col("c") == i).alias(f"d{i}") for i in range(len(columns))])
+    # One row each: the distinct counts are put beside the scan's row.
+    counts = distinct.select(F.struct(*[F.col(f"d{i}") for i in range(len(columns))])).scalar()
+    one = df.agg(*sums).withColumn("d", counts).select("*", "d.*")
+    return long_form(one, rows)
 
 
 def cardinality_bands(df: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.names import schema_fingerprint
 from ..operators.profile import distinct_counts, missing
-from ..operators.roles import KEY_SUFFIXES, column_roles, relationships, upgrade_foreign_keys
+from ..operators.relations import KEY_SUFFIXES, relationships, upgrade_foreign_keys
+from ..operators.roles import column_roles
 from .readers import read_table
 from .writers import file_fingerprints
 

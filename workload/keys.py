@@ -81,32 +81,52 @@ def duplicate_columns(spark, folder):
     return roles.duplicate_columns(df)
 
 
-TABLES = {"orders": ["o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"], "nation": ["n_regionkey"], "customer": ["c_nationkey"], "supplier": ["s_nationkey"]}
-KEYS = {"customer": "c_custkey", "orders": "o_orderkey", "part": "p_partkey", "supplier": "s_suppkey", "nation": "n_nationkey", "region": "r_regionkey"}
-
-
-def key_tables(spark, folder):
-    wanted = {t: [*TABLES.get(t, []), *([KEYS[t]] if t in KEYS else [])] for t in {**TABLES, **KEYS}}
-    return {t: load(spark, folder, t).select(*columns) for t, columns in wanted.items()}
-
-
-def _overlaps():
-    parts = []
-    for table, columns in TABLES.items():
-        for column in columns:
-            for target, key in KEYS.items():
-                if target != table:
-                    parts.append(
-                        f"SELECT '{table}' AS source_dataset, '{column}' AS source_column, '{target}' AS target_dataset, '{key}' AS target_column, "
-                        f"count(t.k) / count(*)::DOUBLE AS c FROM (SELECT DISTINCT {column} AS k FROM {table}) s LEFT JOIN (SELECT DISTINCT {key} AS k FROM {target}) t USING (k)"
-                    )
-    # Keys of one table which fill another's key column also look like links.
-    return "SELECT source_dataset, source_column, target_dataset, target_column, round(c, 4) AS confidence FROM (" + " UNION ALL ".join(parts) + ") WHERE c >= 0.8"
-
-
-@query(_overlaps())
+@query("""
+WITH t AS (SELECT row_number() OVER () AS r, o_custkey AS k, o_orderkey AS o FROM orders),
+v AS (SELECT r, i, CASE WHEN i % 4 = 3 AND o % (i + 50) = 0 THEN NULL WHEN i % 4 = 2 THEN (k % (i // 8 + 1))::VARCHAR ELSE ((k * 31 + o) % (i // 4 * 7 + 3))::VARCHAR END AS v
+      FROM t, (SELECT unnest(range(200)) AS i))
+SELECT 'c' || a.i AS column_a, 'c' || b.i AS column_b, round(avg((a.v IS NOT DISTINCT FROM b.v)::INT), 4) AS equal_ratio
+FROM v a JOIN v b ON a.r = b.r AND a.i < b.i GROUP BY a.i, b.i HAVING avg((a.v IS NOT DISTINCT FROM b.v)::INT) >= 0.98
+""")
+def duplicate_columns_wide(spark, folder):
+    """200 columns: groups of equal ones, of nearly equal ones, and others."""
+    k, o = F.col("o_custkey"), F.col("o_orderkey")
+
+    def column(i):
+        value = (k % (i // 8 + 1) if i % 4 == 2 else (k * 31 + o) % (i // 4 * 7 + 3)).cast("string")
+        return (F.when(o % (i + 50) != 0, value) if i % 4 == 3 else value).alias(f"c{i}")
+
+    return roles.duplicate_columns(load(spark, folder, "orders").select(*[column(i) for i in range(200)]))
+
+
+#: Whole tables; a key's name ends in "key" or "_id" here.
+TABLES = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal", "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "events": "event_id ts user_id event_type value props", "documents": "doc_id text lang source n_chars", "embeddings": "vec_id embedding label",
+    "pages": "page_id url html", "benchmark": "item_id text", "labels": "doc_id quality toxic", "conversations": "conv_id turn role text",
+}
+SUFFIXES = ("key", "_id")
+
+
+def _links():
+    cells = " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, {i} AS i, {c}::VARCHAR AS v FROM {t}" for t, columns in TABLES.items() for i, c in enumerate(columns.split()))
+    return f"""
+WITH d AS (SELECT t, c, i, v, count(*) AS n FROM ({cells}) GROUP BY t, c, i, v),
+e AS (SELECT t, c, i, sum(n) AS total, sum(n) FILTER (v IS NOT NULL) AS filled, count(v) AS n FROM d GROUP BY t, c, i),
+k AS (SELECT *, total > 1 AND round((n / total::DOUBLE) * (filled / total::DOUBLE) * 0.5, 4) >= 0.45 AS key_like,
+             i > 0 AND (c LIKE '%key' OR c LIKE '%\\_id' ESCAPE '\\' OR (c LIKE '%id' AND length(c) > 2)) AS candidate FROM e),
+s AS (SELECT a.t AS st, a.c AS sc, b.t AS tt, b.c AS tc, count(*) AS shared FROM (SELECT d.* FROM d JOIN k USING (t, c) WHERE candidate) a
+      JOIN d b ON a.v = b.v AND a.t <> b.t GROUP BY ALL)
+SELECT st AS source_dataset, sc AS source_column, tt AS target_dataset, tc AS target_column, round(shared / a.n::DOUBLE, 4) AS confidence
+FROM s JOIN k a ON a.t = st AND a.c = sc JOIN k b ON b.t = tt AND b.c = tc WHERE shared / a.n::DOUBLE >= 0.8 AND (b.key_like OR lower(sc) = lower(tc))"""
+
+
+@query(_links())
 def key_relationships(spark, folder):
-    return roles.relationships(key_tables(spark, folder), TABLES).filter(F.col("target_column").isin(list(KEYS.values())))
+    return roles.relationships({t: load(spark, folder, t) for t in TABLES}, suffixes=SUFFIXES)
 
 
 @query("""
