@@ -18,7 +18,14 @@ from ..session import durable
 
 #: Bits a key, and the bounds of a filter's bits: 4 million words at most.
 BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
-WORD, SET = "__word", "__set"
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or one like it which no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
 class BitFilter:
@@ -29,19 +36,21 @@ class BitFilter:
         self.bits = min(max(LEAST_BITS, 1 << max(wanted - 1, 0).bit_length()), MOST_BITS)
         place = F.pmod("key", F.lit(self.bits))
         one = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
-        self.words = durable(keys.groupBy(F.shiftright(place, 6).alias(WORD)).agg(F.bit_or(one).alias(SET)))
+        self.words = durable(keys.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(one).alias("bits")))
 
-    def _found(self, df: DataFrame, key: Column) -> tuple[DataFrame, Column]:
+    def _found(self, df: DataFrame, key: Column) -> tuple[DataFrame, Column, list[str]]:
+        word, bits = unused(df, "word"), unused(df, "bits")
         place = F.pmod(key, F.lit(self.bits))
-        bit = F.call_function("shiftright", F.col(SET), (place % 64).cast("int")).bitwiseAND(F.lit(1))
-        return df.withColumn(WORD, F.shiftright(place, 6)).join(F.broadcast(self.words), WORD, "left"), F.coalesce(bit == 1, F.lit(False))
+        bit = F.call_function("shiftright", F.col(bits), (place % 64).cast("int")).bitwiseAND(F.lit(1))
+        words = F.broadcast(self.words.toDF(word, bits))
+        return df.withColumn(word, F.shiftright(place, 6)).join(words, word, "left"), F.coalesce(bit == 1, F.lit(False)), [word, bits]
 
     def marked(self, df: DataFrame, key: str, out: str) -> DataFrame:
         """``df`` with ``out``: false only where ``key`` was not there."""
-        found, hit = self._found(df, quoted(key))
-        return found.withColumn(out, hit).drop(WORD, SET)
+        found, hit, helpers = self._found(df, quoted(key))
+        return found.withColumn(out, hit).drop(*helpers)
 
     def passing(self, df: DataFrame, key: Column) -> DataFrame:
         """The rows of ``df`` whose key may be there; no row is moved."""
-        found, hit = self._found(df, key)
-        return found.filter(hit).drop(WORD, SET)
+        found, hit, helpers = self._found(df, key)
+        return found.filter(hit).drop(*helpers)

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +13,8 @@ from pyspark.sql import types as T
 from ..functions.names import quoted
 from ..functions.text import SAFE_HEX, SAFE_TIME, hits, literal_patterns, safe_token, safe_tokens
 from ..session import durable
+from .graph import components
+from .ordered import order_names, row_index, running_total, sort_keys
 from .querylog import drop_invalidated
 
 # Fixed values.
@@ -166,18 +167,28 @@ def _tools_key() -> Column:
     return F.when(F.size("tool_sequence") > 0, F.array_join("tool_sequence", "|")).otherwise("<empty>")
 
 
+#: Candidates whose counts are taken by plain windows; more are scanned in chunks.
+WINDOW_ROWS = 50_000
+QUALITY = [("quality_score", True), ("created_at", True), ("source_id", True)]
+
+
 def capped(records: DataFrame, per_intent: int | None, per_tools: int | None) -> DataFrame:
     """Add ``cap_reason``: null for the records taken, else the cap they meet,
     when records are taken one by one in quality order.
 
-    The sequential rule is reproduced exactly without a sequence:
+    The sequential rule is reproduced exactly, mostly without a sequence:
 
     * of one (intent, tools) pair only the first min(caps) records can be
       taken, so the rest is set aside by a limit in each task;
     * of the candidates, one is taken for sure if it fits both caps even
       when every open record before it is taken, and refused for sure if
-      those taken before it fill a cap.  Each round settles at least the
-      first open record; a few rounds settle all;
+      those taken before it fill a cap.  Counts of records before a record are
+      scans in chunks, so an intent with most of the records is no task of its
+      own.  Rounds go on while at least half of the open records are settled
+      by each, so there are at most log2(candidates) of them;
+    * what is then left hangs together in long chains (each record waits for
+      the one before).  It is settled in order by connected group, a task
+      holding one number per intent and tools of its group;
     * a refused record met the intent cap if it comes after the record
       which filled that intent, else the tools cap.
     """
@@ -185,27 +196,11 @@ def capped(records: DataFrame, per_intent: int | None, per_tools: int | None) ->
         return records.withColumn("cap_reason", F.lit(None).cast("string"))
     unlimited = (1 << 31) - 1
     per_intent, per_tools = per_intent or unlimited, per_tools or unlimited
-    order = [F.desc("quality_score"), F.desc("created_at"), F.desc("source_id")]
     keyed = records.withColumn("__tools", _tools_key())
     slim = keyed.select("source_id", "intent", "__tools", "quality_score", "created_at")
-    pair = Window.partitionBy("intent", "__tools").orderBy(*order)
+    pair = Window.partitionBy("intent", "__tools").orderBy(*sort_keys(QUALITY))
     candidates = slim.withColumn("__row", F.row_number().over(pair)).filter(F.col("__row") <= min(per_intent, per_tools)).drop("__row")
-    state = durable(candidates.withColumn("taken", F.lit(0)).withColumn("open", F.lit(True)))
-    while True:
-        for key, tag in (("intent", "i"), ("__tools", "t")):
-            window = Window.partitionBy(key).orderBy(*order)
-            before = window.rowsBetween(Window.unboundedPreceding, -1)
-            state = state.withColumns({
-                f"most_{tag}": F.row_number().over(window), f"least_{tag}": F.coalesce(F.sum("taken").over(before), F.lit(0)),
-            })
-        fits = (F.col("most_i") <= per_intent) & (F.col("most_t") <= per_tools)
-        full = (F.col("least_i") >= per_intent) | (F.col("least_t") >= per_tools)
-        state = state.filter(~(F.col("open") & full)).withColumns({
-            "taken": F.when(F.col("open") & fits, 1).otherwise(F.col("taken")), "open": F.col("open") & ~fits,
-        }).drop("most_i", "least_i", "most_t", "least_t")
-        state = durable(state)
-        if state.filter("open").isEmpty():
-            break
+    state = _settled(durable(candidates.withColumns({"taken": F.lit(0), "open": F.lit(True)})), per_intent, per_tools)
     # The record after which an intent is full, if it got full.
     place = F.struct("quality_score", "created_at", "source_id")
     filled = state.groupBy("intent").agg(F.count(F.lit(1)).alias("__n"), F.min(place).alias("__last"))
@@ -215,6 +210,64 @@ def capped(records: DataFrame, per_intent: int | None, per_tools: int | None) ->
     return joined.withColumn("cap_reason", reason).select(*records.columns, "cap_reason")
 
 
+def _settled(state: DataFrame, per_intent: int, per_tools: int) -> DataFrame:
+    """The candidates which are taken."""
+    left = state.count()
+    small = left <= WINDOW_ROWS
+    while left:
+        for key, tag in (("intent", "i"), ("__tools", "t")):
+            # Records up to here and those taken, two counts in one number.
+            counted = running_total(state.withColumn("__both", F.lit(1 << 32) + F.col("taken")), "__both", QUALITY, [key], "__upto", small)
+            taken = F.col("__upto").bitwiseAND(F.lit((1 << 32) - 1)) - F.col("taken")
+            state = counted.withColumns({f"most_{tag}": F.shiftright("__upto", 32), f"least_{tag}": taken}).drop("__both", "__upto")
+        fits = (F.col("most_i") <= per_intent) & (F.col("most_t") <= per_tools)
+        full = (F.col("least_i") >= per_intent) | (F.col("least_t") >= per_tools)
+        state = state.filter(~(F.col("open") & full)).withColumns({
+            "taken": F.when(F.col("open") & fits, 1).otherwise(F.col("taken")), "open": F.col("open") & ~fits,
+        }).drop("most_i", "least_i", "most_t", "least_t")
+        state = durable(state)
+        before, left = left, state.filter("open").count()
+        if 2 * left > before:
+            return _in_order(state, per_intent, per_tools)
+    return state
+
+
+def _in_order(state: DataFrame, per_intent: int, per_tools: int) -> DataFrame:
+    """Settle the open records one after another in each connected group of
+    intents and tools.  Records taken already stand in the sequence of their
+    intent's and of their tools' group, as what comes after them sees them."""
+    sides = {"a": F.concat(F.lit("i"), "intent"), "b": F.concat(F.lit("t"), "__tools")}
+    waiting = durable(state.filter("open").withColumns(sides))
+    taken = state.filter("taken = 1").withColumns(sides)
+    groups = durable(components(waiting, "a", "b"))
+    line = ["root", "a", "b", *order_names(QUALITY)]
+    lines = waiting.join(groups.withColumnRenamed("node", "a"), "a").select(*line)
+    for side, other in (("a", "b"), ("b", "a")):
+        here = taken.join(groups.withColumnRenamed("node", side), side)
+        lines = lines.unionByName(here.withColumn(other, F.lit(None).cast("string")).select(*line))
+    stream = lines.repartition("root").sortWithinPartitions("root", *sort_keys(QUALITY))
+
+    def settle(batches):
+        root, counts = None, {}
+        for pdf in batches:
+            kept = []
+            for at, (group, a, b) in enumerate(zip(pdf["root"], pdf["a"], pdf["b"])):
+                if group != root:
+                    root, counts = group, {}
+                i, t = counts.get(a, 0), counts.get(b, 0)
+                if isinstance(a, str) and isinstance(b, str):
+                    if i >= per_intent or t >= per_tools:
+                        continue
+                    kept.append(at)
+                counts[a], counts[b] = i + 1, t + 1
+            yield pdf.iloc[kept][["source_id"]]
+
+    chosen = durable(stream.mapInPandas(settle, T.StructType([state.schema["source_id"]])))
+    columns = state.columns
+    found = waiting.select(*columns).join(chosen, "source_id", "left_semi").withColumns({"taken": F.lit(1), "open": F.lit(False)})
+    return taken.select(*columns).unionByName(found.select(*columns))
+
+
 # ---- the whole corpus --------------------------------------------------------
 
 RECORD = ["source_kind", "source_id", "intent", "semantic_roles", "operators", "logical_structure", "tool_sequence", "predicate_count",
@@ -279,6 +332,13 @@ def build_corpus(records: DataFrame, invalidations: DataFrame | None = None, pol
     return marked.filter("cap_reason is null").drop("cap_reason"), rejections
 
 
+def export_order(corpus: DataFrame, limit: int | None = None) -> DataFrame:
+    """The corpus as it is handed over: by split, best first, then by source;
+    the first ``limit`` records if one is given."""
+    ordered = corpus.orderBy("split", F.desc("quality_score"), "source_id")
+    return ordered if limit is None else ordered.limit(limit)
+
+
 def learning_status(events: DataFrame, strategies: DataFrame | None = None, policy: CorpusPolicy = CorpusPolicy()) -> tuple[DataFrame, DataFrame]:
     """State of the learning log: one row (experience_count,
     eligible_experience_count, rejected_experience_count,
@@ -478,34 +538,55 @@ def status_rollup(status: DataFrame) -> DataFrame:
     )
 
 
-STEP = 10_000  # confidence is kept in ten-thousandths
+STEP = 10_000  # confidence and quality are kept in ten-thousandths
 LOW, HIGH = 500, 9_900
+#: Steps folded by one row; more are folded level by level.
+FOLD_ROWS = 4_096
+#: Runs after which the rounded mean cannot move: |score - mean| / runs < 1/2.
+MEAN_RUNS = 2 * STEP
 
 
-def _confidence_steps(batches):
-    """Compose the steps of each skill inside one sorted partition.
+def folded_confidence(steps: DataFrame, start: float) -> DataFrame:
+    """(skill_id, confidence) after the steps (skill_id, place from 0, step).
 
-    A step adds d and clamps to [LOW, HIGH]; a chain of such steps is again
-    "add D, clamp to [L, H]", so a chunk is summed up by three numbers.
+    A step adds and clamps to [LOW, HIGH].  A chain of such steps is again
+    "add, clamp to [low, high]", so FOLD_ROWS consecutive ones become one, and
+    those again, until a skill has one left.
     """
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
-    key, d, low, high = None, 0, 0, 0
-    out = []
-    for pdf in batches:
-        steps = (pdf["delta"].to_numpy() * STEP).round().astype("int64").tolist()
-        for name, step in zip(pdf["skill_id"].tolist(), steps):
-            if name != key:
-                if key is not None:
-                    out.append((key, part, d, low, high))
-                key, d, low, high = name, 0, -(1 << 40), 1 << 40
-            d += step
-            low = min(HIGH, max(LOW, low + step))
-            high = min(HIGH, max(LOW, high + step))
-    if key is not None:
-        out.append((key, part, d, low, high))
-    yield pd.DataFrame(out, columns=["skill_id", "chunk", "add", "low", "high"])
+    clamp = lambda x, c: F.least(c["high"], F.greatest(c["low"], x + c["add"]))
+    first = F.struct(F.lit(0).cast("long").alias("add"), F.lit(-(1 << 40)).alias("low"), F.lit(1 << 40).alias("high"))
+
+    def then(state, c):
+        return F.struct((state["add"] + c["add"]).alias("add"), clamp(state["low"], c).alias("low"), clamp(state["high"], c).alias("high"))
+
+    chain = steps.select("skill_id", "place", F.col("step").alias("add"), F.lit(LOW).cast("long").alias("low"), F.lit(HIGH).cast("long").alias("high"))
+    longest = steps.agg(F.max("place")).first()[0] or 0
+    while True:
+        listed = chain.groupBy("skill_id", F.floor(F.col("place") / FOLD_ROWS).alias("block")).agg(F.sort_array(F.collect_list(F.struct("place", "add", "low", "high"))).alias("c"))
+        chain = listed.select("skill_id", F.col("block").alias("place"), F.aggregate("c", first, then).alias("s")).select("skill_id", "place", "s.*")
+        longest //= FOLD_ROWS
+        if not longest:
+            break
+    begin = F.lit(int(round(start * STEP))).cast("long")
+    return chain.select("skill_id", (clamp(begin, {n: F.col(n) for n in ("add", "low", "high")}) / F.lit(float(STEP))).alias("confidence"))
+
+
+def running_quality(scores: DataFrame) -> DataFrame:
+    """(skill_id, average_quality_score): the mean, rounded to four decimals
+    after each run but the first, of (skill_id, place from 0, observed).
+
+    The n-th run moves the mean by (score - mean) / n, which is less than half
+    of the last decimal once n exceeds MEAN_RUNS: the first MEAN_RUNS + 1 runs
+    of a skill give the result of all its runs.
+    """
+    first = scores.filter(F.col("place") <= MEAN_RUNS).groupBy("skill_id").agg(F.sort_array(F.collect_list(F.struct("place", "observed"))).alias("c"))
+
+    def then(mean, c):
+        n = c["place"] + 1
+        moved = F.floor((mean * c["place"] + c["observed"] * STEP) / n + 0.5)
+        return F.when(c["place"] == 0, c["observed"] * STEP).otherwise(moved.cast("double"))
+
+    return first.select("skill_id", (F.aggregate("c", F.lit(0.0), then) / STEP).alias("average_quality_score"))
 
 
 def skill_states(runs: DataFrame, start: float = 0.5) -> DataFrame:
@@ -513,24 +594,18 @@ def skill_states(runs: DataFrame, start: float = 0.5) -> DataFrame:
     (skill_id, at, run_id, success, score), in time order.
 
     Confidence moves by +.04/−.06 and (score−.5)·.08 per run, clamped to
-    .05–.99 and kept to four decimals.  A skill's runs are cut by range into
-    consecutive chunks, so a skill with most of the runs is shared by many
-    tasks; only a few numbers per (skill, chunk) are folded at the end.
-    Difference: the mean quality is rounded once, not after each run.
+    .05–.99 and kept to four decimals; the mean quality is rounded after each
+    run.  Runs are numbered by ranges, so a skill with most of the runs is
+    shared by many tasks.
     """
     delta = F.when(F.col("success"), 0.04).otherwise(-0.06) + F.coalesce((F.col("score") - 0.5) * 0.08, F.lit(0.0))
-    steps = runs.select("skill_id", "at", "run_id", delta.alias("delta"))
-    ranged = steps.repartitionByRange("skill_id", "at", "run_id").sortWithinPartitions("skill_id", "at", "run_id")
-    chunks = ranged.select("skill_id", "delta").mapInPandas(_confidence_steps, "skill_id string, chunk long, add long, low long, high long")
-    listed = chunks.groupBy("skill_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "add", "low", "high"))).alias("c"))
-    move = lambda x, c: F.least(c["high"], F.greatest(c["low"], x + c["add"]))
-    folded = listed.select("skill_id", (F.aggregate("c", F.lit(int(round(start * STEP))).cast("long"), move) / F.lit(float(STEP))).alias("confidence"))
     seen = F.when(F.col("score") > 0, F.col("score")).when(F.col("success"), 1.0).otherwise(0.0)
+    slim = runs.select("skill_id", "at", "run_id", F.rint(delta * STEP).cast("long").alias("step"), seen.cast("double").alias("observed"))
+    placed = durable(row_index(slim, ["at", "run_id"], ["skill_id"], "place").select("skill_id", (F.col("place") - 1).alias("place"), "step", "observed"))
     counts = runs.groupBy("skill_id").agg(
-        F.count_if("success").alias("success_count"), F.count_if(~F.col("success")).alias("failure_count"),
-        F.round(F.avg(seen), 4).alias("average_quality_score"), F.max("at").alias("last_seen_at"),
-    )
-    joined = counts.join(folded, "skill_id")
+        F.count_if("success").alias("success_count"), F.count_if(~F.col("success")).alias("failure_count"), F.max("at").alias("last_seen_at"))
+    joined = counts.join(running_quality(placed), "skill_id").join(folded_confidence(placed, start), "skill_id")
+    joined = joined.select("skill_id", "success_count", "failure_count", "average_quality_score", "last_seen_at", "confidence")
     return joined.withColumn("state", lifecycle(F.col("success_count"), F.col("failure_count"), F.col("average_quality_score")))
 
 

@@ -230,15 +230,40 @@ def corpus_stable_split(spark, folder):
 SMALL_CAPS = corpus.CorpusPolicy(per_intent=40, per_tools=60)
 
 
-@query()
+# Records are taken one by one in quality order, as the caps say.
+CAPPED = GATED.replace("WITH ev", "WITH RECURSIVE ev", 1) + f"""
+, b AS (SELECT *, count(*) OVER (PARTITION BY f) AS family_size, row_number() OVER (PARTITION BY f ORDER BY score DESC, created_at DESC, event_id DESC) AS place, {HASHED} FROM g),
+o AS (SELECT *, {SPLIT} AS split, array_to_string(tool_sequence, '|') AS tools, row_number() OVER (ORDER BY score DESC, created_at DESC, event_id DESC) AS k FROM b WHERE place = 1),
+w AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS ti, []::VARCHAR[] AS tt, '' AS reason
+  UNION ALL SELECT k, CASE WHEN reason = '' THEN list_append(ti, intent) ELSE ti END, CASE WHEN reason = '' THEN list_append(tt, tools) ELSE tt END, reason
+  FROM (SELECT o.k, ti, tt, intent, tools, CASE WHEN len(list_filter(ti, lambda x: x = intent)) >= 40 THEN 'intent_cap' WHEN len(list_filter(tt, lambda x: x = tools)) >= 60 THEN 'tool_graph_cap' ELSE '' END AS reason
+        FROM w JOIN o ON o.k = w.k + 1)),
+c AS (SELECT o.*, w.reason FROM o JOIN w USING (k))
+"""
+BUILT = "event_id AS source_id, intent, split, round(score, 6) AS quality_score, family_size"
+
+
+def small_corpus(spark, folder):
+    return corpus.build_corpus(corpus.event_records(learning_events(spark, folder), SMALL_CAPS), policy=SMALL_CAPS)
+
+
+@query(CAPPED + f"SELECT {BUILT} FROM c WHERE reason = ''")
 def corpus_build(spark, folder):
-    rows, _ = corpus.build_corpus(corpus.event_records(learning_events(spark, folder), SMALL_CAPS), policy=SMALL_CAPS)
-    return rows.select("source_id", "intent", "split", "quality_score", "family_size")
+    return small_corpus(spark, folder)[0].select("source_id", "intent", "split", r("quality_score", 6), "family_size")
 
 
-@query()
+@query(CAPPED + f"SELECT {BUILT} FROM c WHERE reason = '' ORDER BY split, score DESC, event_id LIMIT 60")
+def corpus_export(spark, folder):
+    ordered = corpus.export_order(small_corpus(spark, folder)[0], 60)
+    return ordered.select("source_id", "intent", "split", r("quality_score", 6), "family_size")
+
+
+@query(CAPPED + f"""
+SELECT reason, count(*) AS n FROM (SELECT {REASON} AS reason FROM ev UNION ALL SELECT 'duplicate_family' FROM b WHERE place > 1 UNION ALL SELECT reason FROM c WHERE reason <> '')
+WHERE reason IS NOT NULL GROUP BY 1
+""")
 def corpus_rejections(spark, folder):
-    return corpus.build_corpus(corpus.event_records(learning_events(spark, folder), SMALL_CAPS), policy=SMALL_CAPS)[1]
+    return small_corpus(spark, folder)[1]
 
 
 @query(GATED + f"""
@@ -325,14 +350,14 @@ def skill_runs(spark, folder):
 @query("""
 WITH RECURSIVE e AS (SELECT 'learned.' || event_type AS skill_id, ts, event_id, value > 8 AS success, round(least(1.0, value / 25), 3) AS score,
   row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
-d AS (SELECT skill_id, i, round((CASE WHEN success THEN 0.04 ELSE -0.06 END::DOUBLE + (score - 0.5) * 0.08::DOUBLE) * 10000)::BIGINT AS step FROM e),
-w AS (SELECT skill_id, 0::BIGINT AS i, 5000::BIGINT AS c FROM d WHERE i = 1
-  UNION ALL SELECT w.skill_id, d.i, least(9900, greatest(500, w.c + d.step)) FROM w JOIN d ON d.skill_id = w.skill_id AND d.i = w.i + 1),
-q AS (SELECT skill_id, count(*) FILTER (success) AS success_count, count(*) FILTER (NOT success) AS failure_count,
-  round(avg(CASE WHEN score > 0 THEN score WHEN success THEN 1 ELSE 0 END), 4) AS average_quality_score, max(ts) AS last_seen_at FROM e GROUP BY 1)
-SELECT q.*, (SELECT arg_max(c, i) / 10000.0::DOUBLE FROM w WHERE w.skill_id = q.skill_id) AS confidence,
-  CASE WHEN failure_count >= 3 AND failure_count > success_count THEN 'demoted' WHEN success_count >= 7 AND average_quality_score >= 0.9 THEN 'trusted'
-       WHEN success_count >= 4 AND average_quality_score >= 0.85 THEN 'validated' WHEN success_count >= 2 THEN 'candidate' ELSE 'bootstrap' END AS state FROM q
+d AS (SELECT skill_id, i, round((CASE WHEN success THEN 0.04 ELSE -0.06 END::DOUBLE + (score - 0.5) * 0.08::DOUBLE) * 10000)::BIGINT AS step, CASE WHEN score > 0 THEN score WHEN success THEN 1 ELSE 0 END::DOUBLE AS seen FROM e),
+w AS (SELECT skill_id, 0::BIGINT AS i, 5000::BIGINT AS c, 0.0::DOUBLE AS m FROM d WHERE i = 1
+  UNION ALL SELECT w.skill_id, d.i, least(9900, greatest(500, w.c + d.step)), CASE WHEN d.i = 1 THEN d.seen * 10000 ELSE floor((w.m * (d.i - 1) + d.seen * 10000) / d.i + 0.5) END
+  FROM w JOIN d ON d.skill_id = w.skill_id AND d.i = w.i + 1),
+q AS (SELECT skill_id, count(*) FILTER (success) AS success_count, count(*) FILTER (NOT success) AS failure_count, max(ts) AS last_seen_at FROM e GROUP BY 1),
+z AS (SELECT q.*, l.c / 10000.0::DOUBLE AS confidence, l.m / 10000.0::DOUBLE AS average_quality_score FROM q JOIN (SELECT skill_id, arg_max(c, i) AS c, arg_max(m, i) AS m FROM w GROUP BY 1) l USING (skill_id))
+SELECT *, CASE WHEN failure_count >= 3 AND failure_count > success_count THEN 'demoted' WHEN success_count >= 7 AND average_quality_score >= 0.9 THEN 'trusted'
+       WHEN success_count >= 4 AND average_quality_score >= 0.85 THEN 'validated' WHEN success_count >= 2 THEN 'candidate' ELSE 'bootstrap' END AS state FROM z
 """)
 def skill_states(spark, folder):
     return corpus.skill_states(skill_runs(spark, folder))
