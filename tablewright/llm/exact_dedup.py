@@ -8,7 +8,7 @@ been deleted.  They are told apart by what is cheap first:
 3. where length and prefix occur twice, SHA-256 of the whole.
 
 Each level hands the next one a filter of bits, set for the keys which occur
-twice.  It is broadcast, its size has a fixed upper bound (MOST_BITS), and a
+twice.  It is broadcast, its size has a fixed upper bound (32 MB of bits), and a
 key which shares its bit with another only costs that row the next level's
 work.  So texts are never moved: the levels shuffle numbers, and the last one
 digests of the texts still in question.
@@ -19,13 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.bitfilter import BitFilter
 from .common import durable, free_names, quoted, row_keys
 
 WHITE = r"[\x20\x09-\x0D]"
 #: Signs of the normalised text which the second level looks at.
 PREFIX = 128
-#: Bits a key of a filter, and the bounds of a filter's bits: 32 MB at most.
-BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 
 
 def normalised(text: Column) -> Column:
@@ -33,26 +32,6 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, "")
 
 
-class BitFilter:
-    """Which keys may be among those of ``keys`` (one long column ``key``)."""
-
-    def __init__(self, keys: DataFrame) -> None:
-        wanted = BITS_A_KEY * keys.count()
-        self.bits = min(max(LEAST_BITS, 1 << max(wanted - 1, 0).bit_length()), MOST_BITS)
-        place = F.pmod("key", F.lit(self.bits))
-        one = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
-        self.words = durable(keys.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(one).alias("set")))
-
-    def marks(self, df: DataFrame, key: str, out: str) -> DataFrame:
-        """``df`` with ``out``: false only for keys which were not there."""
-        word, bits = free_names(df, "word", "set")
-        place = F.pmod(F.col(key), F.lit(self.bits))
-        words = F.broadcast(self.words.select(F.col("word").alias(word), F.col("set").alias(bits)))
-        hit = F.call_function("shiftright", F.col(bits), (place % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
-        found = df.withColumn(word, F.shiftright(place, 6)).join(words, word, "left")
-        return found.withColumn(out, F.coalesce(hit, F.lit(False))).drop(word, bits)
-
-
 class Refinement:
     """The first two levels over ``docs``, ready to mark the texts in question."""
 
@@ -62,7 +41,7 @@ class Refinement:
         slim = durable(plain.select(*[c.alias(n) for n, c in self.levels("plain").items()]))
         lengths = slim.groupBy("length").count().filter("count > 1").select(F.xxhash64("length").alias("key"))
         self.by_length = BitFilter(durable(lengths))
-        open_rows = self.by_length.marks(slim.withColumn("key", F.xxhash64("length")), "key", "repeated").filter("repeated")
+        open_rows = self.by_length.marked(slim.withColumn("key", F.xxhash64("length")), "key", "repeated").filter("repeated")
         heads = open_rows.groupBy("length", "head").count().filter("count > 1").select(F.xxhash64("length", "head").alias("key"))
         self.by_head = BitFilter(durable(heads))
 
@@ -78,7 +57,7 @@ class Refinement:
         points = F.coalesce(F.length(text), F.lit(0)).alias("points")
         rows = self.docs.select(id_column.alias("id"), points, text_hash.alias("text_hash"), normalised(text).alias("plain"))
         rows = rows.withColumns(self.levels("plain")).withColumn("key", F.xxhash64("length", "head"))
-        rows = self.by_head.marks(rows, "key", "suspect")
+        rows = self.by_head.marked(rows, "key", "suspect")
         whole = F.sha2("plain", 256)
         digest = whole if every_digest else F.when(F.col("suspect"), whole)
         # The tag tells repeated rows apart; it is fixed once written.
@@ -123,7 +102,7 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     key, suspect, plain, nameless, named, hashed, turn = free_names(docs, "key", "suspect", "plain", "nameless", "named", "hashed", "turn")
     rows = docs.withColumn(plain, normalised(F.col(quoted(text))))
     rows = rows.withColumn(key, F.xxhash64(*made.levels(plain).values())).drop(plain)
-    rows = made.by_head.marks(rows, key, suspect)
+    rows = made.by_head.marked(rows, key, suspect)
     columns = [F.col(quoted(c)) for c in docs.columns]
     names = [nameless, named, hashed]
     same = Window.partitionBy(*names).orderBy(hashed)

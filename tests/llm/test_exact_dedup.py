@@ -8,6 +8,7 @@ from collections import defaultdict
 import pytest
 
 from tablewright.llm import exact_dedup
+from tablewright.operators import bitfilter
 
 
 def plain_classes(rows):
@@ -62,8 +63,8 @@ def test_rows_which_stay(spark):
 
 def test_a_full_filter_loses_nothing(spark, monkeypatch):
     """With one word of bits nearly everything is suspect; results are whole."""
-    monkeypatch.setattr(exact_dedup, "LEAST_BITS", 2)
-    monkeypatch.setattr(exact_dedup, "MOST_BITS", 4)
+    monkeypatch.setattr(bitfilter, "LEAST_BITS", 2)
+    monkeypatch.setattr(bitfilter, "MOST_BITS", 4)
     rows = odd_rows()
     found = exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), every_digest=True).collect()
     assert in_order([(r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in found]) == in_order(plain_classes(rows)[0])
@@ -82,6 +83,6 @@ def test_main_path_is_native(spark, part):
     docs = spark.createDataFrame(odd_rows(), "doc_id long, text string")
     made = exact_dedup.Refinement(docs)
     found = made.classes() if part == "classes" else exact_dedup.keep_one_of_each(docs)
-    plan = found._jdf.queryExecution().toString() + made.by_head.marks(docs.selectExpr("doc_id AS k"), "k", "s")._jdf.queryExecution().toString()
+    plan = found._jdf.queryExecution().toString() + made.by_head.marked(docs.selectExpr("doc_id AS k"), "k", "s")._jdf.queryExecution().toString()
     for word in ("Python", "Arrow", "Pandas", "Cartesian", "NestedLoop"):
         assert word not in plan
