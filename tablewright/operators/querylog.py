@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.names import quoted
 from ..session import durable
 from .matching import ranked, similar_questions
+from .retrieval import retrieve, retrieve_skills, skill_score  # noqa: F401
 
 
 def scoped_log(
@@ -190,140 +191,7 @@ def plan_reuse(
     )
 
 
-# ---- scored records ----------------------------------------------------------
-
-
-def _shared(name: str, most: float, question: str | None = None) -> Column:
-    empty = F.array().cast("array<string>")
-    a, b = F.coalesce(F.col(f"r_{name}"), empty), F.coalesce(F.col(f"q_{question or name}"), empty)
-    return F.least(F.lit(most), 0.12 * F.size(F.array_intersect(a, b)))
-
-
-def _same(name: str, weight: float, question: str | None = None) -> Column:
-    return F.when(F.col(f"r_{name}") == F.col(f"q_{question or name}"), weight).otherwise(0.0)
-
-
-def _if(test: Column, weight: float) -> Column:
-    return F.when(test, weight).otherwise(0.0)
-
-
-def age_boost(created: Column, now: Column) -> Column:
-    days = F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(created)) / F.lit(86400e6))
-    return F.coalesce(F.greatest(F.lit(0.0), 0.08 - F.least(F.lit(0.08), days / 365.0 * 0.08)), F.lit(0.0))
-
-
-def _clamped(value: Column, most: float) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(most), value))
-
-
-# Per kind of record: the columns a question is compared with, the score from
-# that comparison, the score of the record alone, and the least useful score.
-RECORD_KINDS = {
-    "experience": (
-        ["intent", "signature", "dataset_signature", "roles", "structure", "tools"],
-        lambda: _same("intent", 0.25) + _same("signature", 0.35) + _same("dataset_signature", 0.12) + _shared("roles", 0.18)
-        + _same("structure", 0.08) + _shared("tools", 0.12),
-        lambda now: _if(F.col("template_id").isNotNull(), 0.06) + _if(F.col("success"), 0.08) + _clamped(F.col("score") * 0.08, 0.08)
-        + age_boost(F.col("created_at"), now) - _if(F.col("failure_reason").isNotNull(), 0.05),
-        0.04,
-    ),
-    "template": (
-        ["intent", "structure", "roles", "tools"],
-        lambda: _same("intent", 0.3) + _same("structure", 0.16) + _shared("roles", 0.2) + _shared("tools", 0.14),
-        lambda now: F.least(F.lit(0.08), F.col("quality") * 0.08) + F.least(F.lit(0.08), F.col("support") * 0.02)
-        + _if(F.col("state").isin("validated", "trusted"), 0.08) + _if(F.col("state") == "trusted", 0.05),
-        0.05,
-    ),
-    "lesson": (
-        ["intent", "signature", "structure", "roles", "tools"],
-        lambda: _same("intent", 0.25) + _same("structure", 0.15) + _shared("roles", 0.18) + _shared("tools", 0.12) + _same("signature", 0.2),
-        lambda now: F.least(F.lit(0.08), F.col("quality") * 0.05),
-        0.04,
-    ),
-    "strategy": (
-        ["intent", "signature", "roles", "tools"],
-        lambda: _same("intent", 0.25) + _same("signature", 0.35) + _shared("roles", 0.18) + _shared("tools", 0.14),
-        lambda now: F.least(F.lit(0.1), F.col("quality") * 0.1) + F.least(F.lit(0.05), F.col("support") * 0.01)
-        + _if(F.col("state") == "promoted", 0.05),
-        0.04,
-    ),
-    "correction": (
-        ["intent", "dataset_signature", "requested_role", "preferred"],
-        lambda: _same("intent", 0.28) + _same("dataset_signature", 0.18)
-        + _if(F.array_contains("q_roles", F.col("r_requested_role")), 0.2) + _if(F.array_contains("q_tools", F.col("r_preferred")), 0.08),
-        lambda now: F.lit(0.0),
-        0.04,
-    ),
-}
-QUESTION_FEATURES = ["intent", "signature", "dataset_signature", "roles", "structure", "tools"]
-
-
-def retrieve(
-    questions: DataFrame, records: DataFrame, kind: str, now: datetime, question_id: str = "question_id", top: int = 5
-) -> DataFrame:
-    """The ``top`` best-scored records of each question, whatever their intent:
-    (question_id, record_id, score, place).
-
-    A score is a comparison of features plus a part of the record alone.
-    Records with equal features differ only in the latter, so of each feature
-    combination just the best ``top`` can be wanted, and questions are
-    reduced to distinct combinations as well: what meets in the join is
-    combinations, however many rows share one.  Combinations meet where they
-    share at least one compared value: one equi join per feature.  A record
-    which shares none scores by itself alone; the best ``top`` of those are the
-    same for every question.
-    """
-    features, compared, alone, least = RECORD_KINDS[kind]
-    at = F.lit(now).cast("timestamp")
-    ordered_set = lambda c: F.array_sort(F.array_distinct(c)) if c in ("roles", "tools") else F.col(c)
-    rows = records.select("record_id", "created_at", *[ordered_set(f).alias(f"r_{f}") for f in features], alone(at).alias("own"))
-    kept = ranked(rows, [F.desc("own"), F.desc("created_at"), F.col("record_id")], [f"r_{f}" for f in features], top).drop("place")
-    asks = questions.select(quoted(question_id).alias("question_id"), *[ordered_set(f).alias(f"q_{f}") for f in QUESTION_FEATURES])
-    key = F.sha2(F.to_json(F.struct(*[F.col(f"q_{f}") for f in QUESTION_FEATURES]), {"ignoreNullFields": "false"}), 256)
-    asks = asks.withColumn("q_key", key)
-    distinct, kept = durable(asks.drop("question_id").dropDuplicates(["q_key"])), durable(kept.withColumn("r_key", F.struct("record_id")))
-    met = None
-    for feature in features:
-        asked_for = {"requested_role": "roles", "preferred": "tools"}.get(feature, feature)
-        values = lambda c: F.explode(c) if c.endswith(("_roles", "_tools")) else F.col(c)
-        left = distinct.select("q_key", values(f"q_{asked_for}").alias("value")).filter("value is not null").distinct()
-        right = kept.select("r_key", values(f"r_{feature}").alias("value")).filter("value is not null").distinct()
-        part = left.join(right, "value").select("q_key", "r_key")
-        met = part if met is None else met.unionByName(part)
-    # Records good enough by themselves may be wanted by any question.
-    alone_best = kept.filter(F.col("own") > least).orderBy(F.desc("own"), F.desc("created_at"), "record_id").limit(top).select("record_id").collect()
-    if alone_best:
-        wanted = F.array(*[F.lit(r[0]).cast(records.schema["record_id"].dataType) for r in alone_best])
-        met = met.unionByName(distinct.select("q_key", F.explode(wanted).alias("record_id")).select("q_key", F.struct("record_id").alias("r_key")))
-    pairs = met.distinct().join(distinct, "q_key").join(kept, "r_key")
-    total = F.coalesce(compared(), F.lit(0.0)) + F.col("own")
-    scored = pairs.filter(total > least).select("q_key", "record_id", "created_at", F.round(F.least(total, F.lit(0.99)), 4).alias("score"))
-    best = ranked(scored, [F.desc("score"), F.desc("created_at"), F.col("record_id")], ["q_key"], top)
-    return asks.select("question_id", "q_key").join(best, "q_key").select("question_id", "record_id", "score", "place")
-
-
-def skill_score() -> Column:
-    """Score of a listed skill (``r_*``: id, roles, tool, hints, description,
-    confidence) for a question (``q_*``: intent, roles, tool_hints,
-    operation_hints, structure and three counts)."""
-    starts = lambda prefix: F.startswith("r_id", F.lit(prefix))
-    asks = lambda *kinds: F.col("q_intent").isin(*kinds)
-    described = F.lower("r_description")
-    chained = F.contains(described, F.lit("step")) | F.contains(described, F.lit("chain"))
-    measured = F.arrays_overlap("r_roles", F.array(*[F.lit(r) for r in ("rating_metric", "numeric_metric", "currency_metric")]))
-    value = (
-        _if(starts("filter.") & asks("filter", "analytics"), 0.18) + _if(starts("clean.") & asks("cleaning", "operation"), 0.18)
-        + _if(starts("analytics.") & asks("analytics", "filter"), 0.14) + _if(starts("transform.") & asks("cleaning", "operation"), 0.14)
-        + _if(starts("privacy.") & asks("operation"), 0.08) + _shared("roles", 0.28)
-        + _if(F.exists("q_tool_hints", lambda h: F.contains(F.lower("r_tool"), h)), 0.12)
-        + _if(F.arrays_overlap("r_hints", "q_operation_hints"), 0.12)
-        + _if(F.col("q_structure").isin("AND", "MIXED") & F.contains("r_id", F.lit("multi")), 0.08)
-        + _if((F.col("q_structure") == "SEQUENTIAL") & chained, 0.08) + _if((F.col("q_predicates") > 1) & starts("filter."), 0.06)
-        + _if((F.col("q_booleans") > 0) & F.array_contains("r_roles", "boolean_capability"), 0.08)
-        + _if((F.col("q_comparisons") > 0) & measured, 0.06) + _clamped(F.col("r_confidence") - 0.8, 0.1)
-    )
-    return F.when(value > 0.03, F.round(F.least(value, F.lit(0.99)), 4)).otherwise(0.0)
-
+# ---- quality of a run --------------------------------------------------------
 
 WEIGHTS = {  # fixed values: parts of a run's quality
     "plan_completeness": 0.25, "result_validation": 0.25, "semantic_binding": 0.15, "critic": 0.15, "execution": 0.10,

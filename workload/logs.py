@@ -10,7 +10,7 @@ from tablewright.functions import text
 from tablewright.operators import corpus, matching, querylog
 
 from .common import (
-    DATASETS, INVALIDATIONS, LEARNING_EVENTS, QUERY_LOG, datasets, invalidations, learning_events, load, query_log, r, rounded,
+    DATASETS, INTENTS, INVALIDATIONS, LEARNING_EVENTS, QUERY_LOG, datasets, invalidations, learning_events, load, query_log, r, rounded,
 )
 from .texts import PROBES, bag, norm, probes
 
@@ -550,6 +550,115 @@ def retrieve_experiences(spark, folder):
     return found.select("question_id", F.col("place").cast("long").alias("place"), "score")
 
 
+def asked_features(spark, folder):
+    conv, turn = F.col("conv_id"), F.col("turn")
+    sha = lambda c, n: F.substring(F.sha2(c, 256), 1, n)
+    tools = F.when(turn % 2 == 0, F.array(F.lit("sql.validate"), F.lit("sql.filter"))).otherwise(F.array(F.lit("clean.fill")))
+    return load(spark, folder, "conversations").select(
+        (conv * 100 + turn).alias("question_id"), F.get(F.array(*[F.lit(i) for i in INTENTS]), ((conv + turn) % 5).cast("int")).alias("intent"),
+        sha(F.get(F.array(F.lit("AND"), F.lit("SINGLE"), F.lit("XOR")), (conv % 3).cast("int")), 8).alias("signature"), sha(F.concat(F.lit("src"), (conv % 20).cast("string")), 16).alias("dataset_signature"),
+        F.array(F.concat(F.lit("role_src"), (conv % 20).cast("string")), F.lit("lang_en")).alias("roles"),
+        F.get(F.array(F.lit("AND"), F.lit("SINGLE"), F.lit("OR")), (turn % 3).cast("int")).alias("structure"), tools.alias("tools"),
+    )
+
+
+def learned_records(spark, folder):
+    tools = F.col("tool_sequence")
+    state = F.get(F.array(F.lit("promoted"), F.lit("validated"), F.lit("trusted")), F.size(tools) - 1)
+    return learning_events(spark, folder).select(
+        F.col("event_id").alias("record_id"), F.to_timestamp("created_at").alias("created_at"), "intent", F.substring(F.sha2("logical_structure", 256), 1, 8).alias("signature"),
+        F.col("dataset_semantic_signature").alias("dataset_signature"), F.col("semantic_roles").alias("roles"), F.col("logical_structure").alias("structure"), tools.alias("tools"),
+        F.col("score").alias("quality"), (F.size("operators") + F.size(tools)).alias("support"), state.alias("state"), F.get("semantic_roles", 0).alias("requested_role"), F.get(tools, 0).alias("preferred"),
+    )
+
+
+ASKED = EV + """
+, r AS (SELECT event_id AS record_id, replace(created_at, '+00:00', '')::TIMESTAMP AS ts, intent, substr(sha256(logical_structure), 1, 8) AS signature, substr(sha256(semantic_roles[1][6:]), 1, 16) AS dataset_signature,
+  semantic_roles AS roles, logical_structure AS structure, tool_sequence AS tools, score AS quality, len(operators) + len(tool_sequence) AS support, ['promoted', 'validated', 'trusted'][len(tool_sequence)] AS state FROM ev),
+q AS (SELECT conv_id * 100 + turn AS question_id, ['filter', 'analytics', 'cleaning', 'operation', 'sentiment'][((conv_id + turn) % 5)::INT + 1] AS intent,
+  substr(sha256(['AND', 'SINGLE', 'XOR'][(conv_id % 3)::INT + 1]), 1, 8) AS signature, substr(sha256('src' || (conv_id % 20)), 1, 16) AS dataset_signature, ['role_src' || (conv_id % 20), 'lang_en'] AS roles,
+  ['AND', 'SINGLE', 'OR'][(turn % 3)::INT + 1] AS structure, CASE WHEN turn % 2 = 0 THEN ['sql.validate', 'sql.filter'] ELSE ['clean.fill'] END AS tools FROM conversations)
+"""
+
+
+def _best(parts: list[str], least: str) -> str:
+    total = " + ".join(f"({p})::DOUBLE" for p in parts)
+    return ASKED + f"""
+, k AS (SELECT question_id, record_id, ts, round(least(0.99, score), 4) AS score FROM (SELECT question_id, record_id, ts, {total} AS score FROM q, r) WHERE score > {least})
+SELECT question_id, place, record_id, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, ts DESC, record_id) AS place FROM k) WHERE place <= 5"""
+
+
+def _same(name, weight):
+    return f"CASE WHEN r.{name} = q.{name} THEN {weight} ELSE 0 END"
+
+
+def _common(name, most):
+    return f"least({most}, 0.12 * len(list_intersect(r.{name}, q.{name})))"
+
+
+def best_records(spark, folder, kind):
+    found = querylog.retrieve(asked_features(spark, folder), learned_records(spark, folder), kind, RETRIEVE_NOW)
+    return found.select("question_id", F.col("place").cast("long").alias("place"), "record_id", "score")
+
+
+@query(_best([_same("intent", 0.3), _same("structure", 0.16), _common("roles", 0.2), _common("tools", 0.14), "least(0.08, quality * 0.08)", "least(0.08, support * 0.02)",
+              "CASE WHEN state IN ('validated', 'trusted') THEN 0.08 ELSE 0 END", "CASE WHEN state = 'trusted' THEN 0.05 ELSE 0 END"], "0.05"))
+def retrieve_templates(spark, folder):
+    return best_records(spark, folder, "template")
+
+
+@query(_best([_same("intent", 0.25), _same("structure", 0.15), _common("roles", 0.18), _common("tools", 0.12), _same("signature", 0.2), "least(0.08, quality * 0.05)"], "0.04"))
+def retrieve_lessons(spark, folder):
+    return best_records(spark, folder, "lesson")
+
+
+@query(_best([_same("intent", 0.25), _same("signature", 0.35), _common("roles", 0.18), _common("tools", 0.14), "least(0.1, quality * 0.1)", "least(0.05, support * 0.01)",
+              "CASE WHEN state = 'promoted' THEN 0.05 ELSE 0 END"], "0.04"))
+def retrieve_strategies(spark, folder):
+    return best_records(spark, folder, "strategy")
+
+
+@query(_best([_same("intent", 0.28), _same("dataset_signature", 0.18), "CASE WHEN list_contains(q.roles, r.roles[1]) THEN 0.2 ELSE 0 END", "CASE WHEN list_contains(q.tools, r.tools[1]) THEN 0.08 ELSE 0 END"], "0.04"))
+def retrieve_corrections(spark, folder):
+    return best_records(spark, folder, "correction")
+
+
+@query(f"""
+WITH s AS (SELECT DISTINCT (CASE WHEN p_size % 5 = 0 THEN 'filter.multi_' WHEN p_size % 5 = 1 THEN 'clean.' WHEN p_size % 5 = 2 THEN 'analytics.' WHEN p_size % 5 = 3 THEN 'transform.' ELSE 'privacy.' END || p_size) AS id,
+  CASE WHEN p_size % 3 = 0 THEN ['boolean_capability', 'numeric_metric'] WHEN p_size % 3 = 1 THEN ['date', 'city', 'rating_metric'] ELSE ['text'] END AS roles, 'pandas.' || CASE WHEN p_size % 2 = 0 THEN 'Filter' ELSE 'groupby' END AS tool,
+  CASE WHEN p_size % 4 = 0 THEN ['sum', 'top'] ELSE ['fill'] END AS hints, CASE WHEN p_size % 7 = 0 THEN 'A chain of Steps' ELSE 'One thing' END AS description, 0.75::DOUBLE + (p_size % 30) / 100.0::DOUBLE AS confidence FROM part),
+q AS (SELECT conv_id * 100 + turn AS question_id, ['filter', 'analytics', 'cleaning', 'operation', 'sentiment'][((conv_id + turn) % 5)::INT + 1] AS intent, CASE WHEN conv_id % 2 = 0 THEN ['date', 'boolean_capability', 'numeric_metric'] ELSE ['city', 'date', 'text', 'rating_metric'] END AS roles,
+  CASE WHEN turn % 2 = 0 THEN ['filter'] ELSE ['merge'] END AS tool_hints, CASE WHEN conv_id % 3 = 0 THEN ['top'] ELSE ['fill', 'x'] END AS operation_hints, ['AND', 'SEQUENTIAL', 'SINGLE'][(turn % 3)::INT + 1] AS structure, conv_id % 3 AS predicates, turn % 2 AS booleans, conv_id % 4 AS comparisons FROM conversations),
+p AS (SELECT question_id, id, (CASE WHEN id LIKE 'filter.%' AND intent IN ('filter', 'analytics') THEN 0.18 ELSE 0 END)::DOUBLE + (CASE WHEN id LIKE 'clean.%' AND intent IN ('cleaning', 'operation') THEN 0.18 ELSE 0 END)::DOUBLE
+  + (CASE WHEN id LIKE 'analytics.%' AND intent IN ('analytics', 'filter') THEN 0.14 ELSE 0 END)::DOUBLE + (CASE WHEN id LIKE 'transform.%' AND intent IN ('cleaning', 'operation') THEN 0.14 ELSE 0 END)::DOUBLE
+  + (CASE WHEN id LIKE 'privacy.%' AND intent = 'operation' THEN 0.08 ELSE 0 END)::DOUBLE + least(0.28, 0.12 * len(list_intersect(s.roles, q.roles)))::DOUBLE
+  + (CASE WHEN len(list_filter(tool_hints, lambda h: contains(lower(tool), h))) > 0 THEN 0.12 ELSE 0 END)::DOUBLE + (CASE WHEN len(list_intersect(hints, operation_hints)) > 0 THEN 0.12 ELSE 0 END)::DOUBLE
+  + (CASE WHEN structure IN ('AND', 'MIXED') AND contains(id, 'multi') THEN 0.08 ELSE 0 END)::DOUBLE + (CASE WHEN structure = 'SEQUENTIAL' AND (contains(lower(description), 'step') OR contains(lower(description), 'chain')) THEN 0.08 ELSE 0 END)::DOUBLE
+  + (CASE WHEN predicates > 1 AND id LIKE 'filter.%' THEN 0.06 ELSE 0 END)::DOUBLE + (CASE WHEN booleans > 0 AND list_contains(s.roles, 'boolean_capability') THEN 0.08 ELSE 0 END)::DOUBLE
+  + (CASE WHEN comparisons > 0 AND len(list_intersect(s.roles, ['rating_metric', 'numeric_metric', 'currency_metric'])) > 0 THEN 0.06 ELSE 0 END)::DOUBLE + greatest(0, least(0.1, confidence - 0.8))::DOUBLE AS score FROM q, s),
+k AS (SELECT question_id, id, round(least(0.99, score), 4) AS score FROM p WHERE score > 0.03)
+SELECT question_id, place, id AS skill_id, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS place FROM k) WHERE place <= 5
+""")
+def retrieve_skills(spark, folder):
+    size, conv, turn = F.col("p_size"), F.col("conv_id"), F.col("turn")
+    words = lambda *w: F.array(*[F.lit(x) for x in w])
+    chosen = lambda values, n: F.get(words(*values), n.cast("int"))
+    skills = load(spark, folder, "part").select(
+        F.concat(chosen(["filter.multi_", "clean.", "analytics.", "transform.", "privacy."], size % 5), size.cast("string")).alias("id"),
+        F.when(size % 3 == 0, words("boolean_capability", "numeric_metric")).when(size % 3 == 1, words("date", "city", "rating_metric")).otherwise(words("text")).alias("roles"),
+        F.concat(F.lit("pandas."), chosen(["Filter", "groupby"], size % 2)).alias("tool"), F.when(size % 4 == 0, words("sum", "top")).otherwise(words("fill")).alias("hints"),
+        F.when(size % 7 == 0, "A chain of Steps").otherwise("One thing").alias("description"), (F.lit(0.75) + (size % 30) / 100.0).alias("confidence"),
+    ).distinct()
+    asked = load(spark, folder, "conversations").select(
+        (conv * 100 + turn).alias("question_id"), chosen(INTENTS, (conv + turn) % 5).alias("intent"),
+        F.when(conv % 2 == 0, words("date", "boolean_capability", "numeric_metric")).otherwise(words("city", "date", "text", "rating_metric")).alias("roles"),
+        F.when(turn % 2 == 0, words("filter")).otherwise(words("merge")).alias("tool_hints"), F.when(conv % 3 == 0, words("top")).otherwise(words("fill", "x")).alias("operation_hints"),
+        chosen(["AND", "SEQUENTIAL", "SINGLE"], turn % 3).alias("structure"), (conv % 3).alias("predicates"), (turn % 2).alias("booleans"), (conv % 4).alias("comparisons"),
+    )
+    found = querylog.retrieve_skills(asked, skills)
+    return found.select("question_id", F.col("place").cast("long").alias("place"), "skill_id", "score")
+
+
 @query("""SELECT count(*) AS texts, count(*) FILTER (contains(lower(text), 'john smith')) AS leaks FROM documents""")
 def forbidden_literals(spark, folder):
     hit = F.col("text").rlike(text.literal_patterns(["John Smith"]))
