@@ -113,7 +113,11 @@ def restore_names(value, real_names: dict[str, str]):
 
 def schema_fingerprint(df: DataFrame) -> str:
     """SHA-256 over (name, type) pairs, whatever their order and case."""
-    pairs = sorted(f"{name.strip().lower()}:{kind.lower()}" for name, kind in df.dtypes)
+    return columns_fingerprint(df.dtypes)
+
+
+def columns_fingerprint(columns: Sequence[tuple[str, str]]) -> str:
+    pairs = sorted(f"{name.strip().lower()}:{kind.lower()}" for name, kind in columns)
     return hashlib.sha256("|".join(pairs).encode()).hexdigest()
 
 

@@ -678,6 +678,39 @@ def check_corpus(rows: DataFrame, expected: dict[str, int], text: str = "line",
     return joined.select("split", "expected", F.col("n").alias("found"), "leaks", blocker.alias("blocker"))
 
 
+def corpus_blockers(
+    rows: DataFrame, manifest: dict, report: dict, problems: DataFrame | None = None, text: str = "line", by: str = "split",
+    forbidden: Sequence[str] = tuple(FORBIDDEN_LITERALS),
+) -> DataFrame:
+    """Why a written corpus must not be used: one row (blocker) per reason.
+
+    ``rows`` are its lines with their split; ``manifest`` and ``report`` what
+    was written beside it; ``problems`` what ``verify_manifest`` found of its
+    checksums.  Without either of the two nothing else is looked at.
+    """
+    spark = rows.sparkSession
+    missing = [name for name, written in (("manifest", manifest), ("report", report)) if not written]
+    if missing:
+        return spark.createDataFrame([(f"missing_files:{','.join(missing)}",)], "blocker string")
+    readiness = manifest.get("readiness") or report.get("readiness") or {}
+    told = [
+        (not readiness.get("ready_for_prototype"), str(readiness.get("reason") or "not_ready")),
+        (manifest.get("eligible_examples") != report.get("eligible_examples"), "manifest_report_mismatch"),
+        (report.get("split_integrity_passed") is False, "split_integrity_failed"),
+    ]
+    known = spark.createDataFrame([(name,) for test, name in told if test], "blocker string")
+    wanted = spark.createDataFrame([(s, manifest.get(f"{s}_count")) for s in SPLITS], "split string, expected long")
+    found = leak_counts(rows, text, by, forbidden).withColumnRenamed(by, "split")
+    joined = durable(wanted.join(found, "split", "left").na.fill(0, ["n", "leaks"]))
+    leaking = joined.filter("leaks > 0").select(F.concat(F.lit("privacy_violation:"), "split").alias("blocker"))
+    other = joined.agg(F.count_if(~F.col("n").eqNullSafe(F.col("expected"))).alias("k")).filter("k > 0").select(F.lit("split_count_mismatch").alias("blocker"))
+    result = known.unionByName(leaking).unionByName(other)
+    if problems is not None:
+        changed = problems.filter("problem <> 'unexpected'").agg(F.count(F.lit(1)).alias("k")).filter("k > 0")
+        result = result.unionByName(changed.select(F.lit("sha_manifest_mismatch").alias("blocker")))
+    return result
+
+
 def target_reason(output: Column) -> Column:
     """Why the JSON text of a semantic target is not of the agreed shape, or
     null.  Types are read from the parsed variant, not guessed from text."""

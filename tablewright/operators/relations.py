@@ -147,21 +147,23 @@ class Columns:
     filled cells, an estimate of the distinct texts and the ends of their range."""
 
     def __init__(self, tables: dict[str, DataFrame]) -> None:
-        self.tables = tables
-        self.ids = {key: i for i, key in enumerate((t, c) for t, df in tables.items() for c in df.columns)}
-        self.keys = list(self.ids)
+        self.tables, self.spark = tables, next(iter(tables.values())).sparkSession
+        self._number({t: df.columns for t, df in tables.items()})
         parts = []
         for name, df in tables.items():
             sums = [F.count(F.lit(1)).alias("rows")]
             for i, c in enumerate(df.columns):
-                text, short = cell_text(c), F.substring(cell_text(c), 1, RANGE_SIGNS)
-                sums += [F.count(text).alias(f"n{i}"), F.approx_count_distinct(text, SPREAD).alias(f"d{i}"), F.min(short).alias(f"l{i}"), F.max(short).alias(f"h{i}")]
-            rows = [{"c": F.lit(self.ids[name, c]), "rows": F.col("rows"), "filled": F.col(f"n{i}"), "distinct": F.col(f"d{i}"), "low": F.col(f"l{i}"), "high": F.col(f"h{i}")}
-                    for i, c in enumerate(df.columns)]
+                sums += [measure.alias(f"{n}{i}") for n, measure in _facts(cell_text(c)).items()]
+            rows = [{"c": F.lit(self.ids[name, c]), "rows": F.col("rows"), **{n: F.col(f"{n}{i}") for n in _facts(F.lit(""))}} for i, c in enumerate(df.columns)]
             parts.append(long_form(df.agg(*sums), rows))
         # One row per column.
         self.facts = {r["c"]: r for r in reduce(DataFrame.unionByName, parts).collect()} if parts else {}
 
+    def _number(self, names: dict[str, Sequence[str]]) -> None:
+        self.names = names
+        self.ids = {key: i for i, key in enumerate((t, c) for t, columns in names.items() for c in columns)}
+        self.keys = list(self.ids)
+
     def may_be_key(self, c: int) -> bool:
         fact = self.facts[c]
         if fact["rows"] <= 1:
@@ -178,22 +180,51 @@ class Columns:
         a, b = self.facts[a], self.facts[b]
         return not a["filled"] or not b["filled"] or a["high"] < b["low"] or b["high"] < a["low"]
 
-    def cells(self, wanted: Iterable[int], cell, keep=None) -> DataFrame | None:
-        """One row per cell which is not null (and which ``keep`` takes) of the
-        wanted columns: ``c`` and the struct ``cell(text)``."""
+    def cells(self, wanted: Iterable[int], cell, levels: dict[int, int] | None = None) -> DataFrame | None:
+        """One row per cell which is not null (and sampled at its column's
+        level) of the wanted columns: ``c`` and the struct ``cell(text)``."""
         wanted, parts = set(wanted), []
         for name, df in self.tables.items():
             made = []
             for c in df.columns:
                 i, text = self.ids[name, c], cell_text(c)
                 if i in wanted:
-                    good = text.isNotNull() if keep is None else text.isNotNull() & keep(i, text)
+                    good = text.isNotNull() if not levels else text.isNotNull() & (_zeros(F.xxhash64(text)) >= levels[i])
                     made.append(F.when(good, F.struct(F.lit(i).alias("c"), cell(text).alias("cell"))))
             if made:
                 parts.append(df.select(F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("x")).select("x.c", "x.cell.*"))
         return reduce(DataFrame.unionByName, parts) if parts else None
 
 
+class LongColumns(Columns):
+    """The same for tables whose cells lie in one long table (dataset,
+    position, value), one row per cell, so that jobs and plans do not grow with
+    the number of tables."""
+
+    def __init__(self, names: dict[str, Sequence[str]], long: DataFrame) -> None:
+        self.spark = long.sparkSession
+        self._number(names)
+        places = [(t, p, self.ids[t, c]) for t, columns in names.items() for p, c in enumerate(columns)]
+        self.long = long.join(self.spark.createDataFrame(places, "dataset string, position int, c int"), ["dataset", "position"]).select("c", "value")
+        found = self.long.groupBy("c").agg(F.count(F.lit(1)).alias("rows"), *[m.alias(n) for n, m in _facts(F.col("value")).items()])
+        self.facts = {r["c"]: r for r in found.collect()}
+        nothing = {"rows": 0, "filled": 0, "distinct": 0, "low": None, "high": None}
+        self.facts |= {c: nothing for c in self.ids.values() if c not in self.facts}
+
+    def cells(self, wanted: Iterable[int], cell, levels: dict[int, int] | None = None) -> DataFrame | None:
+        wanted = sorted(set(wanted))
+        if not wanted:
+            return None
+        chosen = self.spark.createDataFrame([(c, (levels or {}).get(c, 0)) for c in wanted], "c int, level int")
+        rows = self.long.filter("value is not null").join(chosen, "c").filter(_zeros(F.xxhash64("value")) >= F.col("level"))
+        return rows.select("c", cell(F.col("value")).alias("cell")).select("c", "cell.*")
+
+
+def _facts(text: Column) -> dict[str, Column]:
+    short = F.substring(text, 1, RANGE_SIGNS)
+    return {"filled": F.count(text), "distinct": F.approx_count_distinct(text, SPREAD), "low": F.min(short), "high": F.max(short)}
+
+
 def _hash(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("h"))
 
@@ -211,7 +242,7 @@ LINK = "source_dataset string, source_column string, target_dataset string, targ
 
 
 def relationships(
-    tables: dict[str, DataFrame], candidates: dict[str, Sequence[str]] | None = None, minimum: float = 0.8, suffixes: Sequence[str] = KEY_SUFFIXES
+    tables: dict[str, DataFrame] | Columns, candidates: dict[str, Sequence[str]] | None = None, minimum: float = 0.8, suffixes: Sequence[str] = KEY_SUFFIXES
 ) -> DataFrame:
     """Foreign keys: candidate columns whose values lie in a key-like or
     same-named column of another table.
@@ -231,10 +262,9 @@ def relationships(
 
     The driver sees numbers per column and per pair of columns.
     """
-    spark = next(iter(tables.values())).sparkSession
+    found = tables if isinstance(tables, Columns) else Columns(tables)
     if candidates is None:
-        candidates = {t: [c for i, c in enumerate(df.columns) if foreign_key_name(c, i, suffixes)] for t, df in tables.items()}
-    found = Columns(tables)
+        candidates = {t: [c for i, c in enumerate(columns) if foreign_key_name(c, i, suffixes)] for t, columns in found.names.items()}
     sources = [found.ids[t, c] for t, cs in candidates.items() for c in cs if (t, c) in found.ids]
     pairs = _possible(found, sources, minimum)
     shared = _shared(found, pairs)
@@ -248,7 +278,7 @@ def relationships(
         return fact["rows"] > 1 and round(distinct.get(c, 0) / fact["rows"] * (fact["filled"] / fact["rows"]) * 0.5, 4) >= KEY_LIKENESS
 
     links = [(*found.keys[s], *found.keys[t], round(share, 4)) for (s, t), share in sorted(pairs.items()) if _same_name(found, s, t) or is_key(t)]
-    return spark.createDataFrame(links, LINK)
+    return found.spark.createDataFrame(links, LINK)
 
 
 def _same_name(found: Columns, s: int, t: int) -> bool:
@@ -261,7 +291,7 @@ def _possible(found: Columns, sources: Sequence[int], minimum: float) -> list[tu
     targets = [c for key, c in found.ids.items() if found.may_be_key(c) or key[1].strip().lower() in names]
     fits = [(s, t) for s in sources for t in targets if found.keys[s][0] != found.keys[t][0] and not found.apart(s, t) and (found.may_be_key(t) or _same_name(found, s, t))]
     levels = {c: found.level(c) for c in {c for p in fits for c in p}}
-    samples = found.cells(levels, _hash, lambda c, text: _zeros(F.xxhash64(text)) >= levels[c]) if fits else None
+    samples = found.cells(levels, _hash, levels) if fits else None
     if samples is None:
         return []
     samples = durable(samples.distinct())
@@ -282,14 +312,13 @@ def _shared(found: Columns, pairs: Sequence[tuple[int, int]]) -> dict[tuple[int,
     """Of each pair, the exact share of the source's values in the target."""
     if not pairs:
         return {}
-    spark = next(iter(found.tables.values())).sparkSession
     sources = {s for s, _ in pairs}
     values = durable(found.cells(sources, _long_hash).distinct().withColumnRenamed("c", "s"))
     sizes = {r["s"]: r["n"] for r in values.groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect()}
     looked = values.select("h", "g").distinct()
     looked = F.broadcast(looked) if sum(sizes.values()) <= BROADCAST_VALUES else looked
     cells = found.cells({t for _, t in pairs}, _long_hash).join(looked, ["h", "g"], "left_semi").distinct().withColumnRenamed("c", "t")
-    wanted = F.broadcast(spark.createDataFrame(list(pairs), "s int, t int"))
+    wanted = F.broadcast(found.spark.createDataFrame(list(pairs), "s int, t int"))
     met = values.join(cells, ["h", "g"]).join(wanted, ["s", "t"], "left_semi").groupBy("s", "t").agg(F.count(F.lit(1)).alias("n"))
     return {(r["s"], r["t"]): r["n"] / sizes[r["s"]] for r in met.collect()}
 

@@ -111,8 +111,8 @@ TABLES = {
 SUFFIXES = ("key", "_id")
 
 
-def _links():
-    cells = " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, {i} AS i, {c}::VARCHAR AS v FROM {t}" for t, columns in TABLES.items() for i, c in enumerate(columns.split()))
+def links_sql(tables=None):
+    cells = " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, {i} AS i, {c}::VARCHAR AS v FROM {t}" for t, columns in (tables or TABLES).items() for i, c in enumerate(columns.split()))
     return f"""
 WITH d AS (SELECT t, c, i, v, count(*) AS n FROM ({cells}) GROUP BY t, c, i, v),
 e AS (SELECT t, c, i, sum(n) AS total, sum(n) FILTER (v IS NOT NULL) AS filled, count(v) AS n FROM d GROUP BY t, c, i),
@@ -124,7 +124,7 @@ SELECT st AS source_dataset, sc AS source_column, tt AS target_dataset, tc AS ta
 FROM s JOIN k a ON a.t = st AND a.c = sc JOIN k b ON b.t = tt AND b.c = tc WHERE shared / a.n::DOUBLE >= 0.8 AND (b.key_like OR lower(sc) = lower(tc))"""
 
 
-@query(_links())
+@query(links_sql())
 def key_relationships(spark, folder):
     return roles.relationships({t: load(spark, folder, t) for t in TABLES}, suffixes=SUFFIXES)
 
