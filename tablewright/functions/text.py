@@ -138,16 +138,41 @@ def stable_hash(**fields: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}), 256)
 
 
+#: Signs which could be taken for structure, written so that they cannot be:
+#: the mark itself first, then escaped backslashes and escaped quotes.
+MARKED = (("\u0001", "\u0001a"), ("\\\\", "\u0001b"), ('\\"', "\u0001c"))
+
+
 def json_shape(document: Column) -> Column:
     """Structure of a JSON text without its values: every string, number,
-    truth value and null becomes its kind.  Text which is no JSON has none."""
-    # Keys are set aside first, so that the quotes left are those of values.
-    text = F.regexp_replace(document, r'"((?:[^"\\]|\\.)*)"\s*:', "\u0001$1\u0002:")
-    text = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', '"str"')
-    kinds = {r"-?\d+(?:\.\d+(?:[eE][+-]?\d+)?|[eE][+-]?\d+)": "float", r"-?\d+": "int", "true|false": "bool", "null": "null"}
-    for written, kind in kinds.items():
-        text = F.regexp_replace(text, rf"(?<=^|[:\[,])\s*(?:{written})\s*(?=[,\]}}]|$)", f'"{kind}"')
-    return F.when(F.try_parse_json(document).isNotNull(), F.translate(text, "\u0001\u0002", '""'))
+    truth value and null becomes its kind.  Text which is no JSON has none.
+
+    Every second piece between quotes is a string; it is a key if a colon
+    follows.  The other pieces are structure and are cut at its signs.
+    """
+    text = document
+    for sign, mark in MARKED:
+        text = F.replace(text, F.lit(sign), F.lit(mark))
+    pieces = F.split(text, '"')
+
+    def kind(word: Column) -> Column:
+        known = F.when(word.isin("", *",:{}[]"), word).when(word.isin("true", "false"), '"bool"').when(word == "null", '"null"')
+        return known.when(word.rlike("[.eE]"), '"float"').otherwise('"int"')
+
+    def structure(piece: Column) -> Column:
+        bare = F.translate(piece, " \t\r\n", "")
+        for sign in ",:{}[]":
+            bare = F.replace(bare, F.lit(sign), F.lit(f"\n{sign}\n"))
+        return F.array_join(F.transform(F.split(bare, "\n"), kind), "")
+
+    def shown(piece: Column, i: Column) -> Column:
+        key = F.startswith(F.ltrim(F.get(pieces, i + 1), F.lit(" \t\r\n")), F.lit(":"))
+        return F.when(i % 2 == 0, structure(piece)).when(key, F.concat(F.lit('"'), piece, F.lit('"'))).otherwise(F.lit('"str"'))
+
+    shape = F.array_join(F.transform(pieces, shown), "")
+    for sign, mark in reversed(MARKED):
+        shape = F.replace(shape, F.lit(mark), F.lit(sign))
+    return F.when(F.try_parse_json(document).isNotNull(), shape)
 
 
 # ---- tagging of logged questions -----------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.functions import text
-from tablewright.operators import categories, insights, matching
+from tablewright.operators import categories, insights, matching, renaming
 from tablewright.sources.readers import explode_records
 
 from .common import QUERY_LOG, load, query_log, r
@@ -168,6 +168,19 @@ def rename_known_names(spark, folder):
     return load(spark, folder, "pages").select("page_id", text.renamed(F.col("html"), {"nav": "C2", "article": "C1"}).alias("html"))
 
 
+@query("""SELECT o_orderkey, 'Paid by C' || o_custkey || ', not "C' || (o_custkey + 1) || '"; x' || c_name AS note FROM orders JOIN customer ON c_custkey = o_custkey
+  WHERE o_custkey < (SELECT max(c_custkey) FROM customer)""")
+def rename_all_customers(spark, folder):
+    """As many names as there are customers."""
+    customers = load(spark, folder, "customer").select("c_custkey", F.col("c_name").alias("name"))
+    names = customers.select("name", F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("alias"))
+    near = customers.select((F.col("c_custkey") - 1).alias("c_custkey"), F.upper("name").alias("next_name"))
+    orders = load(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    notes = orders.join(customers, "c_custkey").join(near, "c_custkey").select(
+        "o_orderkey", F.concat(F.lit("Paid by "), "name", F.lit(', not "'), "next_name", F.lit('"; x'), "name").alias("note"))
+    return renaming.rename_names(notes, "note", names)
+
+
 @query(r"""
 SELECT count(*) FILTER (regexp_full_match(o_orderpriority, '[a-z0-9][a-z0-9_.:-]*')) AS safe_words,
   count(*) FILTER (regexp_full_match(lower(o_orderpriority), '[a-z0-9][a-z0-9_.:-]*')) AS safe_lower FROM orders
@@ -184,9 +197,15 @@ def stable_record_hash(spark, folder):
     return load(spark, folder, "part").select("p_partkey", text.stable_hash(size=F.col("p_size"), brand=F.col("p_brand"), missing=F.lit(None).cast("string")).alias("hash"))
 
 
-@query("""SELECT '{"a":"str","k":"int","l":["int","float"],"x":"null"}' AS shape, count(*) AS n FROM events""")
+@query("""
+WITH d AS (SELECT event_id, event_type, value, (props ->> '$.k') AS k, user_id % 3 AS m FROM events)
+SELECT '{"a":"str","k":"int","l":["int",' || CASE m WHEN 0 THEN '"float"' WHEN 1 THEN '{"' || event_type || '":"bool"}' ELSE '' END || '],"x":' || CASE WHEN value > 20 THEN '"null"' ELSE '"str"' END || '}' AS shape, count(*) AS n
+FROM d GROUP BY 1
+""".replace("ELSE '' END || ']", "ELSE '[]' END || ']"))
 def json_shapes(spark, folder):
-    doc = F.concat(F.lit('{"a":"'), F.col("event_type"), F.lit('","k":'), F.get_json_object("props", "$.k"), F.lit(',"l":[1,2.5],"x":null}'))
+    m = F.col("user_id") % 3
+    last = F.when(m == 0, F.col("value").cast("decimal(20,3)").cast("string")).when(m == 1, F.concat(F.lit('{"'), "event_type", F.lit('" : true}'))).otherwise("[ ]")
+    doc = F.concat(F.lit('{"a":"\\\\\\": {'), F.col("event_type"), F.lit('","k":'), F.get_json_object("props", "$.k"), F.lit(',"l":[1, '), last, F.lit('],"x":'), F.when(F.col("value") > 20, "null").otherwise('"}"'), F.lit("}"))
     return load(spark, folder, "events").groupBy(text.json_shape(doc).alias("shape")).agg(F.count(F.lit(1)).alias("n"))
 
 
