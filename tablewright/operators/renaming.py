@@ -23,7 +23,7 @@ def folded(text: str) -> str:
 
 
 def is_word(sign: str) -> bool:
-    return sign.isalnum() or sign == "_"
+    return sign.isalnum() or sign == "_"  # also no sign at all is none
 
 
 class Names:
@@ -47,7 +47,8 @@ class Names:
             for length in self.lengths.get(start[0], ()):
                 end = at + length
                 name = low[at:end]
-                if name in self.aliases and (at == 0 or not is_word(low[at - 1])) and (end == len(low) or not is_word(low[end])):
+                free = (at == 0 or not is_word(low[at - 1])) and not is_word(low[end : end + 1])
+                if free and end <= len(low) and name in self.aliases:
                     found.append((-length, name, at))
         held, taken = bytearray(len(text)), []
         for size, name, at in sorted(found):
