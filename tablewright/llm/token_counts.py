@@ -196,12 +196,15 @@ def token_counts(docs: DataFrame, model_path: str, text: str = "text") -> DataFr
     from the model file on the driver, and broadcast: its size is that of the
     vocabulary.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(MergeTable(model_path))
+    # Plain values are shipped; the task's function carries the classes.
+    shipped = docs.sparkSession.sparkContext.broadcast(vars(MergeTable(model_path)))
     held: list[Counter] = []
 
     def fill(texts: list[str | None]) -> dict[str, list]:
         if not held:
-            held.append(Counter(shipped.value))
+            table = MergeTable.__new__(MergeTable)
+            vars(table).update(shipped.value)
+            held.append(Counter(table))
         return {"n_bytes": [len(t.encode()) if t else 0 for t in texts], "n_tokens": held[0].counts(texts)}
 
     return with_arrow_columns(docs, text, {"n_bytes": "bigint", "n_tokens": "bigint"}, fill)

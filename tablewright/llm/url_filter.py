@@ -190,11 +190,17 @@ def judge(pages: DataFrame, made: Filter, url: str = "url") -> DataFrame:
     A null url, or one without ``://``, has an empty host and path; no rule
     fits it and the model judges it by its prior.
     """
-    shipped = pages.sparkSession.sparkContext.broadcast(made)
+    # Plain values are shipped; the task's function carries the classes.
+    plain = ([(r.text, r.verdict) for r in made.rules], made.words, made.total, made.weights, made.prior, made.unknown)
+    shipped = pages.sparkSession.sparkContext.broadcast(plain)
+    held: list[Filter] = []
 
     def fill(pairs: list[str | None]) -> dict[str, list]:
+        if not held:
+            rules, *rest = shipped.value
+            held.append(Filter([Rule(*r) for r in rules], *rest))
         split = [split_pair(p) for p in pairs]
-        judged = [shipped.value.judge(host, path) for host, path in split]
+        judged = [held[0].judge(host, path) for host, path in split]
         return {"host": [h for h, _ in split], "path": [p for _, p in split], "rule": [j[0] for j in judged], "verdict": [j[1] for j in judged], "score": [j[2] for j in judged]}
 
     target = F.col(quoted(url))
