@@ -23,6 +23,8 @@ from .common import durable, quoted
 
 #: Documents expected in a bucket of keys.
 BUCKET = 4_000
+#: Bands of weights for each doubling of a weight.
+BANDS = 4
 #: Source tables up to this length are broadcast.
 BROADCAST_SOURCES = 100_000
 ODD_SIGNS = "#*$%&|<>!"
@@ -48,13 +50,17 @@ def uniform(doc_id: Column, text: Column, seed: int) -> Column:
 
 
 def drawn(docs: DataFrame, doc_id: str, text: str, source: str, seed: int, weight: Column | None = None) -> DataFrame:
-    """``docs`` with _id, _name (source, never null), _size, _w and _key."""
-    id_column, body = F.col(quoted(doc_id)), F.col(quoted(text))
-    name = F.coalesce(F.concat(F.lit("="), F.col(quoted(source))), F.lit(""))
-    chance = docs.withColumns({"_id": F.coalesce(id_column.cast("string"), F.md5(F.coalesce(body, F.lit("")))), "_name": name, "_size": word_count(body)})
+    """_row (the row of ``docs``), _own (its id), _id, _name (source, never
+    null), _size, _w and _key; no column of ``docs`` is touched."""
+    body = F.col(quoted(text))
+    chance = quality_weight(body) if weight is None else weight.cast("double")
+    packed = docs.select(
+        F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row"), F.col(quoted(doc_id)).alias("_own"), body.alias("_text"),
+        F.coalesce(F.concat(F.lit("="), F.col(quoted(source))), F.lit("")).alias("_name"), chance.alias("_w"))
+    named = {"_id": F.coalesce(F.col("_own").cast("string"), F.md5(F.coalesce("_text", F.lit("")))), "_size": word_count(F.col("_text"))}
     # A weight of zero would never be drawn, one below zero has no meaning.
-    chance = chance.withColumn("_w", F.greatest(quality_weight(body) if weight is None else weight.cast("double"), F.lit(1e-9)))
-    return chance.withColumn("_key", -F.log(uniform(id_column, body, seed)) / F.col("_w"))
+    rows = packed.withColumns({**named, "_w": F.greatest("_w", F.lit(1e-9))})
+    return rows.withColumn("_key", -F.log(uniform(F.col("_own"), F.col("_text"), seed)) / F.col("_w")).drop("_text")
 
 
 def targets(sources: DataFrame, weights: Sequence[float], budget: float, most: float) -> DataFrame:
@@ -77,8 +83,10 @@ def targets(sources: DataFrame, weights: Sequence[float], budget: float, most: f
 
 
 def plan(slim: DataFrame, weights: Sequence[float], budget: float, most: float) -> DataFrame:
-    """One row per source of ``slim`` (_id, _name, _size, _w, _key)."""
-    sources = slim.groupBy("_name").agg(F.sum("_size").alias("_source_size"), F.count(F.lit(1)).alias("_n"), F.avg("_w").alias("_mean_w"))
+    """One row per source of ``slim`` (_id, _name, _size, _w, _key): its target and where it is met."""
+    bands = slim.groupBy("_name", F.floor(F.log2("_w") * BANDS).alias("_band")).agg(F.sum("_size").alias("_size"), F.count(F.lit(1)).alias("_n"), F.avg("_w").alias("_w"))
+    spread = F.array_sort(F.collect_list(F.struct("_band", "_n", "_w"))).alias("_spread")
+    sources = bands.groupBy("_name").agg(F.sum("_size").alias("_source_size"), F.sum("_n").alias("_n"), spread)
     aimed = targets(sources, weights, budget, most)
     epochs = F.when(F.col("_source_size") > 0, F.floor(F.col("_target") / F.col("_source_size"))).otherwise(0)
     rest = F.col("_target") - F.col("_epochs") * F.col("_source_size")
@@ -94,11 +102,15 @@ def plan(slim: DataFrame, weights: Sequence[float], budget: float, most: float)
     start = F.col("_before") + F.coalesce(F.sum("_words").over(Window.partitionBy("_name").orderBy("_key", "_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # The document which crosses the rest is taken if more of it lies below.
     cut = grouped.withColumn("_start", start).filter(F.col("_start") + F.col("_words") / 2.0 < F.col("_rest")).groupBy("_name").agg(F.max(F.struct("_key", "_id")).alias("_cut"))
-    return durable(aimed.join(cut, "_name", "left").select("_name", "_source_size", "_target", "_epochs", "_mean_w", "_buckets", "_last", F.col("_cut._key").alias("_cut_key"), F.col("_cut._id").alias("_cut_id")))
+    return durable(aimed.join(cut, "_name", "left").select("_name", "_source_size", "_target", "_epochs", "_n", "_spread", "_buckets", "_last", F.col("_cut._key").alias("_cut_key"), F.col("_cut._id").alias("_cut_id")))
 
 
 def bucket() -> Column:
-    even = F.lit(1.0) - F.exp(-F.col("_key") * F.col("_mean_w"))
+    """The share of a source's documents whose key is expected below this one,
+    as a bucket.  Documents are told apart by bands of their weights, so a
+    bucket is as full as another whatever the weights are."""
+    below = lambda n, b: n + b["_n"] * (F.lit(1.0) - F.exp(-F.col("_key") * b["_w"]))
+    even = F.aggregate("_spread", F.lit(0.0), below) / F.col("_n")
     return F.least(F.floor(even * F.col("_buckets")), F.col("_buckets") - 1)
 
 
@@ -124,7 +136,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1
     source are one source, the last in order; repeated rows share a key and are
     taken or left together.  An empty table gives an empty result.
     """
-    slim = durable(drawn(docs, doc_id, text, source, seed, weight).select(F.col(quoted(doc_id)).alias("_own"), "_id", "_name", "_size", "_w", "_key"))
+    slim = durable(drawn(docs, doc_id, text, source, seed, weight).select("_own", "_id", "_name", "_size", "_w", "_key"))
     result = decided(slim, plan(slim, weights, budget, most))
     return result.select(F.col("_own").alias(doc_id), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").cast("long").alias("taken"))
 
@@ -138,6 +150,6 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budge
     """
     rows = drawn(docs, doc_id, text, source, seed)
     slim = durable(rows.select("_id", "_name", "_size", "_w", "_key"))
-    columns = [F.col(quoted(c)) for c in docs.columns if c.lower() not in ("taken_words", "repeats")]
+    columns = [F.col(f"_row.{quoted(c)}") for c in docs.columns if c.lower() not in ("taken_words", "repeats")]
     result = decided(rows, plan(slim, weights, budget, most)).filter("_taken > 0")
     return result.select(*columns, F.col("_taken").cast("long").alias("taken_words"), (F.col("_taken") / F.col("_size")).cast("long").alias("repeats"))
