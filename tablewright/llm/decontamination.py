@@ -19,7 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, quoted, row_keys
+from ..operators.bitfilter import BitFilter
+from .common import durable, free_names, quoted, row_keys
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -77,8 +78,11 @@ class Windows:
         parts = [self.runs_of(items.filter(F.least(F.size("words"), F.lit(window)) == n), n) for n in self.lengths]
         runs = reduce(DataFrame.unionByName, parts) if parts else items.select(F.lit(0).cast("long").alias("run")).limit(0)
         self.runs = durable(runs.distinct().withColumn("known", F.lit(True)))
+        self.filter = None
         if self.runs.count() + self.windows.count() <= BROADCAST_RUNS:
             self.runs, self.windows = F.broadcast(self.runs), F.broadcast(self.windows)
+        else:
+            self.filter = BitFilter(self.runs.select(F.col("run").alias("key")))
 
     @staticmethod
     def runs_of(items: DataFrame, length: int) -> DataFrame:
@@ -102,9 +106,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     empty = F.array().cast("array<struct<length:int,low:int,run:bigint,around:string>>")
     base = F.array(F.struct(F.lit(0).alias("length"), F.lit(0).alias("low"), F.lit(None).cast("long").alias("run"), F.lit(None).cast("string").alias("around")))
     words = docs.select(id_column.alias("id"), text_hash.alias("text_hash"), word_array(F.col(quoted(text))).alias("words"))
-    # Each document's first row is its own; the others are its anchors.
-    scanned = words.select("id", "text_hash", F.size("words").alias("n_words"), F.explode_outer(F.concat(base, empty, *[anchors(F.col("words"), n) for n in known.lengths])).alias("a"))
-    found = scanned.select("id", "text_hash", "n_words", "a.*").join(known.runs, "run", "left").filter("length = 0 OR known")
+    listed = F.concat(empty, *[anchors(F.col("words"), n) for n in known.lengths])
+    if known.filter is None:
+        # Each document's first row is its own; the others are its anchors.
+        scanned = words.select("id", "text_hash", F.size("words").alias("n_words"), F.explode_outer(F.concat(base, listed)).alias("a"))
+        found = scanned.select("id", "text_hash", "n_words", "a.*").join(known.runs, "run", "left").filter("length = 0 OR known").drop("known")
+    else:
+        # Own rows pass by; of the anchors only those a filter lets through go
+        # on, and the comparison of windows below is exact.
+        own = words.select("id", "text_hash", F.size("words").alias("n_words"), F.explode(base).alias("a")).select("id", "text_hash", "n_words", "a.*")
+        scanned = words.select("id", "text_hash", F.size("words").alias("n_words"), F.explode(listed).alias("a")).select("id", "text_hash", "n_words", "a.*")
+        found = own.unionByName(known.filter.passing(scanned, F.col("run")))
 
     def places(n: int) -> Column:
         around = F.split("around", " ")
@@ -112,7 +124,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         one = lambda k: F.struct((F.col("low") + k).alias("start"), F.array_join(F.slice(around, k + 1, F.lit(n)), " ").alias("window"))
         return F.when(F.col("length") == n, F.transform(F.sequence(F.lit(0), last), one))
 
-    nowhere = F.array(F.struct(F.lit(0).alias("start"), F.lit(None).cast("string").alias("window")))
+    # No window has this name, and own rows spread over the tasks by it.
+    name = F.concat(F.lit("own "), F.xxhash64("id", "text_hash").cast("string"))
+    nowhere = F.array(F.struct(F.lit(0).alias("start"), name.alias("window")))
     placed = found.select("id", "text_hash", "n_words", "length", F.explode_outer(F.coalesce(*[places(n) for n in known.lengths], nowhere)).alias("w"))
     hits = placed.select("id", "text_hash", "n_words", "length", "w.*").join(known.windows, ["length", "window"], "left").filter("length = 0 OR items IS NOT NULL")
     span = F.when(F.col("length") > 0, F.struct("start", (F.col("start") + F.col("length")).alias("end")))
@@ -120,20 +134,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         F.max("n_words").cast("long").alias("n_words"), F.sum((F.col("length") == 0).cast("int")).alias("copies"),
         F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
-    counted = grouped.withColumn("spans", merged("spans")).withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)"))
+    counted = merged(grouped, "spans", window).withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)"))
     verdict = (F.col("n_hit") > 0) & (hit_parts * F.col("n_hit") >= F.col("n_words"))
     return counted.withColumn("contaminated", verdict).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
         F.col("id").alias(doc_id), "text_hash", "n_words", "n_hit", "items", "spans", "contaminated")
 
 
-def merged(spans: str) -> Column:
-    """Sorted [start, end) pairs with those that touch or overlap made one."""
-    return F.expr(f"""
-      aggregate({spans}, cast(array() AS array<struct<start:int,end:int>>), (done, s) ->
-        CASE WHEN size(done) > 0 AND element_at(done, -1).end >= s.start
-             THEN concat(slice(done, 1, size(done) - 1),
-                         array(named_struct('start', element_at(done, -1).start, 'end', greatest(element_at(done, -1).end, s.end))))
-             ELSE concat(done, array(named_struct('start', s.start, 'end', s.end))) END)""")
+def merged(rows: DataFrame, spans: str, longest: int) -> DataFrame:
+    """``rows`` with the sorted [start, end) pairs of ``spans`` which touch or
+    overlap made one.
+
+    Of one start the longest span counts.  A span of at most ``longest`` words
+    can only be reached by the ``longest`` ones before it, so each looks at
+    that many and the work grows with the number of spans.
+    """
+    columns = rows.columns
+    of_start = F.filter(spans, lambda s, i: ~s["start"].eqNullSafe(F.get(F.col(spans), i + 1)["start"]))
+    rows = rows.withColumn("all_spans", of_start)
+    reach = lambda i, n: F.array_max(F.transform(F.slice("all_spans", F.greatest(i - n + 1, F.lit(0)) + 1, F.least(i + 1, F.lit(n))), lambda s: s["end"]))
+    fresh = lambda s, i: (i == 0) | (s["start"] > reach(i - 1, longest))
+    rows = rows.withColumn("starts", F.filter(F.transform("all_spans", lambda s, i: F.when(fresh(s, i), i)), lambda i: i.isNotNull()))
+    last = lambda k: F.coalesce(F.get(F.col("starts"), k + 1), F.size("all_spans")) - 1
+    made = F.transform("starts", lambda i, k: F.struct(F.get(F.col("all_spans"), i)["start"].alias("start"), reach(last(k), longest).alias("end")))
+    return rows.withColumn(spans, made).select(*columns)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -142,16 +165,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     if remove not in ("documents", "spans"):
         raise ValueError("remove is documents or spans")
     found = contamination(docs, benchmark, doc_id, text, **options)
-    key = F.coalesce(F.col(quoted(doc_id)).cast("string"), F.lit("(none)"))
-    marked = docs.withColumns({"_identity": key, "_text_hash": row_keys(doc_id, text)[1]})
+    nameless, named, hashed, cut = free_names(docs, "nameless", "named", "hashed", "cut")
+    names = [nameless, named, hashed]
+
+    def identity(id_column: Column, text_hash: Column) -> list[Column]:
+        return [id_column.isNull(), F.coalesce(id_column.cast("string"), F.lit("")), text_hash]
+
+    marked = docs.withColumns(dict(zip(names, identity(*row_keys(doc_id, text)))))
     columns = [F.col(quoted(c)) for c in docs.columns]
     chosen = found.filter("contaminated" if remove == "documents" else "n_hit > 0")
-    chosen = durable(chosen.select(key.alias("_identity"), F.col("text_hash").alias("_text_hash"), "spans").dropDuplicates(["_identity", "_text_hash"]))
+    keys = [c.alias(n) for n, c in zip(names, identity(F.col(quoted(doc_id)), F.col("text_hash")))]
+    chosen = durable(chosen.select(*keys, F.col("spans").alias(cut)).dropDuplicates(names))
     if remove == "documents":
-        return marked.join(chosen.drop("spans"), ["_identity", "_text_hash"], "left_anti").select(*columns)
-    joined = marked.join(chosen, ["_identity", "_text_hash"], "left")
+        return marked.join(chosen.drop(cut), names, "left_anti").select(*columns)
+    joined = marked.join(chosen, names, "left")
     pieces = F.regexp_extract_all(F.col(quoted(text)), F.lit(r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), F.lit(1))
     tail = F.regexp_extract(F.col(quoted(text)), r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)\z", 1)
-    kept = F.filter(pieces, lambda p, i: ~F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"])))
-    cut = F.when(F.col("spans").isNull(), F.col(quoted(text))).otherwise(F.concat(F.array_join(kept, ""), tail))
-    return joined.select(*[cut.alias(c) if c == text else F.col(quoted(c)) for c in docs.columns])
+    words, = free_names(joined, "words")
+    joined = joined.withColumn(words, F.when(F.col(cut).isNotNull(), pieces))
+    # What lies between the end of one span and the start of the next.
+    before = lambda i: F.when(i > 0, F.get(F.col(cut), i - 1)["end"]).otherwise(0)
+    kept = F.flatten(F.transform(cut, lambda s, i: F.slice(words, before(i) + 1, s["start"] - before(i))))
+    rest = F.slice(words, F.element_at(cut, -1)["end"] + 1, F.size(words))
+    done = F.when(F.col(cut).isNull(), F.col(quoted(text))).otherwise(F.concat(F.array_join(F.concat(kept, rest), ""), tail))
+    return joined.select(*[done.alias(c) if c == text else F.col(quoted(c)) for c in docs.columns])
