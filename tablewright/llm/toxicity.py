@@ -30,7 +30,9 @@ ADDRESS = frozenset("you your yours yourself youre u ur".split())
 OPENING, CLOSING = "\"'“„«‹‘`", "\"'”“»›’`"
 # ------------------------------------------------------------------------------
 
-WORD = re.compile(r"[^\W_]+(?:['’][^\W\d_]+)*")
+#: A word may begin with a sign that looks like a letter, or hold some.
+WORD = re.compile(r"(?:(?<!\w)[@$](?=[^\W\d_]))?[^\W_]+(?:['’@$][^\W\d_]+)*")
+SIGNS = re.compile(r"[@$]+")
 #: Letters written as signs that look like them.
 LOOKALIKES = str.maketrans("013457@$", "oieastas")
 CONTEXT = 6
@@ -148,6 +150,9 @@ class Scorer:
             found = self.lexicon.match(word)
             if not found and not word.isalpha() and (plain := word.translate(LOOKALIKES)) != word:
                 found = "fuzzy" if self.lexicon.match(plain) else ""
+            if not found and SIGNS.search(word):
+                # Two words with a sign between them, as in an address.
+                found = max((self.lexicon.match(part) for part in SIGNS.split(word)), key=["", "fuzzy", "stem", "exact"].index)
             if len(self.known) > 500_000:
                 self.known.clear()
             self.known[word] = found
@@ -272,7 +277,8 @@ def learn_lexicon(sample: DataFrame, least_share: float = 0.003, least_rows: int
     # Of stems which find the same texts the longest says most.
     texts_of = {r["entry"][1:]: r["toxic"] for r in chosen if r["entry"][0] == "^"}
     stems = [max((t for t in texts_of if t.startswith(s) and texts_of[t] >= texts_of[s]), key=len) for s in stems]
-    terms = {e[1:] for e in strong if e[0] == "=" and not any(e[1:].startswith(s) for s in stems)}
+    # Whole words stay beside the stems they begin with: a stem allows no error.
+    terms = {e[1:] for e in strong if e[0] == "="}
     # A stem all of whose texts have one longer word is that word.
     by_entry = {r["entry"]: r["toxic"] for r in chosen}
     whole = {s: max((w[1:] for w in by_entry if w[0] == "=" and w[1:].startswith(s)), key=lambda w: by_entry[f"={w}"], default="") for s in stems}
