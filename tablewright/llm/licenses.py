@@ -32,7 +32,6 @@ TEMPLATES = {
 # ------------------------------------------------------------------------------
 
 WORD = re.compile(r"[^\W_]+")
-SENTENCE_END = re.compile(r"[.!?:]\s+|\n+")
 SIMILAR = 0.8
 
 
@@ -69,29 +68,43 @@ class Templates:
         wanted = [(name, t) for name, t in self.all if (t & shared).total() >= self.similar / (2 - self.similar) * t.total() - 1e-9] if shared else []
         if not wanted:
             return []
-        sentences = [s for part in SENTENCE_END.split(lowered) if (s := WORD.findall(part))]
         found: dict[str, float] = {}
+        pairs = list(zip(words, words[1:]))
         for name, template in wanted:
-            size = template.total()
-            low, high = self.similar / (2 - self.similar) * size - 1e-9, (2 - self.similar) / self.similar * size + 1e-9
-            # A pair may straddle two sentences: each end's sentence counts as
-            # touched when it shares a word pair or a word at its border.
-            edge = {w for pair in template for w in pair}
-            touched = [any(p in template for p in zip(s, s[1:])) or s[0] in edge or s[-1] in edge for s in sentences]
-            for first, hit in enumerate(touched):
-                if not hit:
-                    continue
-                run: list[str] = []
-                for last in range(first, len(sentences)):
-                    run += sentences[last]
-                    if len(run) - 1 > high:
-                        break
-                    if touched[last] and len(run) - 1 >= low:
-                        value = dice(Counter(zip(run, run[1:])), template)
-                        if value >= self.similar and value > found.get(name, 0.0):
-                            found[name] = value
+            value = self.best_passage(pairs, template, found.get(name, 0.0))
+            if value >= self.similar and value > found.get(name, 0.0):
+                found[name] = value
         return sorted(found.items(), key=lambda x: (-x[1], x[0]))
 
+    def best_passage(self, pairs: list[tuple[str, str]], template: Counter, least: float) -> float:
+        """The greatest coefficient of any run of words, if above ``least``.
+
+        A run which begins or ends with a pair the template lacks is beaten by
+        the run without it, so runs lead from one shared pair to another.  The
+        size bounds end a run, and a start with too few shared pairs ahead of
+        it within them is passed over.
+        """
+        size, best = template.total(), least
+        places = [i for i, pair in enumerate(pairs) if pair in template]
+        low, high = self.similar / (2 - self.similar) * size - 1e-9, (2 - self.similar) / self.similar * size + 1e-9
+        reach = 0
+        for first, start in enumerate(places):
+            while reach < len(places) and places[reach] - start + 1 <= high:
+                reach += 1
+            if reach - first < low:
+                continue
+            seen: dict[tuple[str, str], int] = {}
+            shared = 0
+            for at in places[first:reach]:
+                pair = pairs[at]
+                seen[pair] = seen.get(pair, 0) + 1
+                if seen[pair] <= template[pair]:
+                    shared += 1
+                    best = max(best, 2.0 * shared / (at - start + 1 + size))
+            if best >= 1.0:
+                break
+        return best
+
 
 def scan_licenses(docs: DataFrame, text: str = "text", templates: dict[str, list[str]] | None = None, similar: float = SIMILAR) -> DataFrame:
     """``docs`` with ``license`` (the most similar, ties by name; null if none
