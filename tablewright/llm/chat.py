@@ -61,16 +61,28 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return found
 
 
+def told_once(messages: DataFrame) -> DataFrame:
+    """``messages`` with one row for each (tree, id): of repeated ones the
+    first by parent, score, role and text.  Rows are moved only if any repeat."""
+    if messages.groupBy("tree", "id").count().filter("count > 1").isEmpty():
+        return messages
+    order = [c for c in ("parent", "score", "role", "text") if c in messages.columns]
+    same = Window.partitionBy("tree", "id").orderBy(*order)
+    # All but one of a task's repeated rows go before the rest is moved.
+    return messages.select("tree", "id", *order, F.row_number().over(same).alias("turn")).filter("turn = 1").drop("turn")
+
+
 def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
     """(tree, leaf, rank, id, depth) of the messages on the ``keep`` best
     branches of each tree; depth is 0 at the leaf.
 
-    ``messages`` has tree (string), id and parent (long) and score (double),
-    (tree, id) being unique.  A parent which does not exist makes a root.
+    ``messages`` has tree (string), id and parent (long) and score (double); of
+    rows with one (tree, id) one counts.  A parent which does not exist makes a
+    root.
     Branches are ranked by mean score, longer before shorter, then by id.
     Messages on a ring of parents have no root and are left out.
     """
-    slim = messages.select("tree", "id", F.col("parent").alias("up"), F.coalesce("score", F.lit(0.0)).alias("total"))
+    slim = told_once(messages).select("tree", "id", F.col("parent").alias("up"), F.coalesce("score", F.lit(0.0)).alias("total"))
     known = slim.select("tree", F.col("id").alias("up"), F.lit(True).alias("known"))
     state = durable(slim.join(known, ["tree", "up"], "left").select("tree", "id", F.when(F.col("known"), F.col("up")).alias("up"), F.lit(1).cast("long").alias("length"), "total"))
     total, steps = state.count(), []
@@ -103,6 +115,8 @@ def formatted(messages: DataFrame, keep: int = 1, learned: str = "assistant") ->
     messages are brought together in one task: a conversation, not a tree.
     """
     messages = durable(messages)
+    once = told_once(messages)
+    messages = messages if once is messages else durable(once)
     path = branches(messages, keep)
     texts = messages.select("tree", "id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = path.join(texts, ["tree", "id"]).groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("at"), "role", "text"))).alias("turns"))
