@@ -21,6 +21,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,8 +42,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 ARCHIVE_BYTES = 16 << 20
 #: A table of revisits up to this length is broadcast.
 BROADCAST_REVISITS = 100_000
-PARSED = "archive string, offset bigint, version int, url string, ip string, date string, mime string, page bigint, head binary, payload binary, payload_bytes bigint, payload_digest string, record_id string"
-READ = "record_type string, record_id string, refers_to string, page bigint, url string, date string, payload_bytes bigint, payload_digest string"
+PARSED = "archive string, offset bigint, version int, url string, ip string, date string, mime string, page string, head binary, payload binary, payload_bytes bigint, payload_digest string, record_id string"
+READ = "record_type string, record_id string, refers_to string, page string, url string, date string, payload_bytes bigint, payload_digest string"
 
 
 def payload_digest(payload: bytes) -> str:
@@ -128,7 +129,7 @@ def parse_arcs(arcs: DataFrame, blocks: bool = True) -> DataFrame:
             head, payload = split_head(block)
             page = header_field(head, b"x-page-id")
             record = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive}#{at}')}"
-            yield (archive, at, version, fields["URL"], fields["IP-address"], fields["Archive-date"], fields["Content-type"], int(page) if page else None,
+            yield (archive, at, version, fields["URL"], fields["IP-address"], fields["Archive-date"], fields["Content-type"], None if page is None else unquote(page),
                    head if blocks else None, payload if blocks else None, len(payload), payload_digest(payload), record)
 
     return from_archives(arcs, rows, PARSED)
@@ -192,14 +193,14 @@ def write_arcs(pages: DataFrame, folder: str, page_id: str, url: str, html: str,
 
     def record(row: dict) -> bytes:
         payload = (row["html"] or "").encode("utf-8", "surrogatepass")
-        page = b"" if row["page"] is None else b"X-Page-Id: %d\r\n" % row["page"]
+        page = b"" if row["page"] is None else b"X-Page-Id: %s\r\n" % quote(row["page"], safe="").encode()
         head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n%sContent-Length: %d\r\n\r\n" % (page, len(payload))
         target = (row["url"] or "-").replace("\r", "%0D").replace("\n", "%0A").encode("utf-8", "surrogatepass")
         size = len(head) + len(payload)
         middle = b"200 - - 0 pages.arc " if version == 2 else b""
         return b"%s 0.0.0.0 20000101000000 text/html %s%d\n%s%s\n" % (target, middle, size, head, payload)
 
-    slim = pages.select(F.col(quoted(page_id)).cast("long").alias("page"), F.col(quoted(url)).alias("url"), F.col(quoted(html)).alias("html"))
+    slim = pages.select(F.col(quoted(page_id)).cast("string").alias("page"), F.col(quoted(url)).alias("url"), F.col(quoted(html)).alias("html"))
     write_archives(slim, record, opening, folder)
 
 
@@ -279,7 +280,7 @@ def read_warcs(warcs: DataFrame) -> DataFrame:
             if kind == "response" and payload_digest(payload) != digest:
                 raise ValueError(f"digest of {fields['warc-record-id']} in {path}")
             page = header_field(head, b"x-page-id")
-            yield (kind, fields["warc-record-id"].strip("<>"), fields.get("warc-refers-to", "").strip("<>") or None, int(page) if page else None,
+            yield (kind, fields["warc-record-id"].strip("<>"), fields.get("warc-refers-to", "").strip("<>") or None, None if page is None else unquote(page),
                    fields.get("warc-target-uri"), fields.get("warc-date"), size, digest)
 
     return from_archives(warcs, rows, READ)
@@ -292,13 +293,15 @@ def archived_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
 
     A null html is an empty payload; a page without an id comes last in the
     order of ids; repeated rows are records of their own; no pages give no rows.
+    Ids of any type travel as text and come back as they were.
     """
     spark = pages.sparkSession
+    page = F.col("page").cast(pages.schema[page_id].dataType)
     old, new = shared_folder(spark, "arc"), shared_folder(spark, "warc")
     write_arcs(pages, old, page_id, url, html, version)
-    convert(read_archives(spark, old), new, [F.col("page").isNull(), F.col("page")], least)
-    found = durable(read_warcs(read_archives(spark, new)))
+    convert(read_archives(spark, old), new, [page.isNull(), page], least)
+    found = durable(read_warcs(read_archives(spark, new)).withColumn("page", page))
     responses = found.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page").alias("first_page"))
     joined = found.filter("record_type = 'revisit'").join(responses, "refers_to", "left")
     columns = [F.col("page").alias(page_id), "payload_bytes", "payload_digest", "record_type"]
-    return found.filter("record_type = 'response'").select(*columns, F.lit(None).cast("long").alias("refers_to")).unionByName(joined.select(*columns, F.col("first_page").alias("refers_to")))
+    return found.filter("record_type = 'response'").select(*columns, F.lit(None).cast(pages.schema[page_id].dataType).alias("refers_to")).unionByName(joined.select(*columns, F.col("first_page").alias("refers_to")))
