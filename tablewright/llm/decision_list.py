@@ -239,5 +239,7 @@ def judge(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame
 def keep_good(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:
     """The rows of ``docs`` which are kept, as they are."""
     prefix = "_quality_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
     judged = text_statistics(docs, text, prefix)
     return judged.filter(~base_failed(prefix) & rules.keeps(prefix)).select(*[F.col(quoted(c)) for c in docs.columns])
