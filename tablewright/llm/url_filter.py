@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, quoted, with_arrow_columns
+from .common import durable, free_names, quoted, with_arrow_columns
 
 # ---- fixed values: host words which mark a page as blocked for learning -------
 BLOCK_TERMS = ["ads", "adult", "bets", "casino", "escort", "gambling", "malware", "phishing", "pills", "poker", "porn", "sex", "slots", "spam", "track", "tracker", "viagra", "warez", "xxx"]
@@ -27,8 +27,9 @@ COMMON_WORDS = ["blog", "cheap", "cdn", "farm", "forum", "free", "mail", "mobile
 
 LETTERS = re.compile(r"[a-z]+|[0-9]+|[^\x00-\x7f]+")
 LONGEST = 24
-#: Words and tokens rarer than this share are left to the unknown-word model,
-#: so the tables have at most 1 / share rows whatever the input's size.
+#: Words rarer than this share are left to the unknown-word model, tokens rarer
+#: than this to a table which is joined; what travels to the tasks has at most
+#: 1 / share rows whatever the input's size.
 WORD_SHARE, TOKEN_SHARE = 1e-5, 1e-5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -74,7 +75,8 @@ class Filter:
     total: int
     weights: dict[str, float] = field(default_factory=dict)
     prior: float = 0.0
-    unknown: float = 0.0
+    #: Weights (token, weight) of the tokens which are too rare for ``weights``.
+    rare: DataFrame | None = None
 
     def __post_init__(self) -> None:
         self.by_host: dict[str, list[Rule]] = {}
@@ -126,13 +128,10 @@ class Filter:
         path_words = [w for run in LETTERS.findall(path.lower()) for w in (self.segment(run) if run.isalpha() and run.isascii() else ["#"] if run.isdigit() else [run])]
         return self.host_words(host) + ["/" + w for w in path_words]
 
-    def score(self, host: str, path: str) -> float:
-        """Log odds of blocked to allowed."""
-        return self.prior + sum(self.weights.get(t, self.unknown) for t in self.tokens(host, path))
-
-    def judge(self, host: str, path: str) -> tuple[str | None, str, float]:
-        rule, value = self.rule_for(host, path), self.score(host, path)
-        return (rule.text, rule.verdict, value) if rule else (None, "block" if value > 0 else "allow", value)
+    def score(self, host: str, path: str) -> tuple[float, list[str]]:
+        """Log odds of blocked to allowed, and the tokens without a weight."""
+        tokens = self.tokens(host, path)
+        return self.prior + sum(self.weights.get(t, 0.0) for t in tokens), [t for t in tokens if t not in self.weights]
 
 
 def word_counts(pages: DataFrame, html: str) -> tuple[dict[str, int], int]:
@@ -171,13 +170,12 @@ def learn(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "ht
     token = marked.select("n", "blocked", F.explode(F.split("tokens", " ")).alias("token")).filter("token <> ''")
     counted = durable(token.groupBy("token").agg(F.sum(F.when(F.col("blocked"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("blocked"), 0).otherwise(F.col("n"))).alias("good")))
     bad, good, kinds = counted.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = counted.filter(F.col("bad") + F.col("good") >= TOKEN_SHARE * (bad + good)).collect()
-    odds = lambda b, g: math.log((b + 1) / (bad + kinds + 1)) - math.log((g + 1) / (good + kinds + 1))
-    # Terms of the fixed list never count against a page's being blocked.
-    made.weights = {r["token"]: odds(r["bad"], r["good"]) for r in frequent}
-    for term in BLOCK_TERMS:
-        made.weights[term] = max(made.weights.get(term, 0.0), math.log(20.0))
-    made.unknown = 0.0
+    # The same odds in SQL for the rare tokens, which stay in a table.
+    odds = F.log((F.col("bad") + 1) / F.lit(float(bad + kinds + 1))) - F.log((F.col("good") + 1) / F.lit(float(good + kinds + 1)))
+    weighed = counted.select("token", odds.alias("weight"), (F.col("bad") + F.col("good") >= TOKEN_SHARE * (bad + good)).alias("frequent"))
+    made.weights = {r["token"]: r["weight"] for r in weighed.filter("frequent").collect()}
+    rare = weighed.filter(~F.col("frequent")).select("token", "weight")
+    made.rare = None if rare.isEmpty() else rare
     made.prior = math.log((pages_by.get(True, 0) + 1) / (pages_by.get(False, 0) + 1))
     made.cut.clear()
     return made
@@ -191,7 +189,7 @@ def judge(pages: DataFrame, made: Filter, url: str = "url") -> DataFrame:
     fits it and the model judges it by its prior.
     """
     # Plain values are shipped; the task's function carries the classes.
-    plain = ([(r.text, r.verdict) for r in made.rules], made.words, made.total, made.weights, made.prior, made.unknown)
+    plain = ([(r.text, r.verdict) for r in made.rules], made.words, made.total, made.weights, made.prior)
     shipped = pages.sparkSession.sparkContext.broadcast(plain)
     held: list[Filter] = []
 
@@ -199,13 +197,28 @@ def judge(pages: DataFrame, made: Filter, url: str = "url") -> DataFrame:
         if not held:
             rules, *rest = shipped.value
             held.append(Filter([Rule(*r) for r in rules], *rest))
-        split = [split_pair(p) for p in pairs]
-        judged = [held[0].judge(host, path) for host, path in split]
-        return {"host": [h for h, _ in split], "path": [p for _, p in split], "rule": [j[0] for j in judged], "verdict": [j[1] for j in judged], "score": [j[2] for j in judged]}
+        out: dict[str, list] = {name: [] for name in added}
+        for pair in pairs:
+            host, path = split_pair(pair)
+            rule, (score, unknown) = held[0].rule_for(host, path), held[0].score(host, path)
+            found = (host, path, rule and rule.text, rule and rule.verdict, score, " ".join(unknown))
+            for name, value in zip(added, found):
+                out[name].append(value)
+        return out
 
     target = F.col(quoted(url))
-    taken = {"host", "path", "rule", "verdict", "score", "_pair"}
-    columns = [F.col(quoted(c)) for c in pages.columns if c.lower() not in taken]
-    paired = pages.select(*columns, F.concat(host_of(target), path_of(target)).alias("_pair"))
-    added = {"host": "string", "path": "string", "rule": "string", "verdict": "string", "score": "double"}
-    return with_arrow_columns(paired, "_pair", added, fill).drop("_pair")
+    rest, = free_names(pages, "rest")
+    added = {"host": "string", "path": "string", "rule": "string", "verdict": "string", "score": "double", rest: "string"}
+    columns = [F.col(quoted(c)) for c in pages.columns if c.lower() not in added]
+    pair, extra = free_names(pages, "pair", "extra")
+    paired = pages.select(*columns, F.concat(host_of(target), path_of(target)).alias(pair))
+    judged = with_arrow_columns(paired, pair, added, fill)
+    if made.rare is not None:
+        # Tokens without a weight are looked up in the table of rare ones, once
+        # for each different address which holds some.
+        asked = judged.filter(F.col(rest) != "").select(pair, rest).distinct()
+        looked = asked.select(pair, F.explode(F.split(rest, " ")).alias("token")).join(made.rare, "token")
+        found = durable(looked.groupBy(pair).agg(F.sum("weight").alias(extra)))
+        judged = judged.join(found, pair, "left").withColumn("score", F.col("score") + F.coalesce(extra, F.lit(0.0))).drop(extra)
+    verdict = F.coalesce("verdict", F.when(F.col("score") > 0, "block").otherwise("allow"))
+    return judged.withColumn("verdict", verdict).drop(pair, rest)

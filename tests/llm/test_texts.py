@@ -1,5 +1,6 @@
 """Token counts, fingerprints, statistics and scores against plain versions."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -305,6 +306,42 @@ def test_segmenting_finds_the_likeliest_words():
     assert "".join(made.segment("qzxw" * 40)) == "qzxw" * 40
 
 
+def test_segments_equal_every_way_to_cut():
+    made = url_filter.Filter([], {"a": 40, "b": 3, "ab": 9, "aba": 2, "ba": 5, "abba": 1, "bb": 1}, 500)
+    chance = lambda w: math.log(made.words[w] / 500) if w in made.words else math.log(10 / 500) - len(w) * math.log(10)
+    pick = random.Random(3)
+    for name in ["".join(pick.choice("abc") for _ in range(pick.randrange(1, 9))) for _ in range(60)]:
+        ways = []
+        for mask in range(1 << (len(name) - 1)):
+            cuts = [0, *(i + 1 for i in range(len(name) - 1) if mask >> i & 1), len(name)]
+            ways.append([name[a:b] for a, b in zip(cuts, cuts[1:])])
+        found = made.segment(name)
+        assert "".join(found) == name and sum(map(chance, found)) == pytest.approx(max(sum(map(chance, way)) for way in ways))
+
+
+@pytest.mark.parametrize("share", [0.0, 0.02, 2.0])
+def test_scores_equal_counting_by_hand(spark, monkeypatch, share):
+    """Whatever is too rare to travel is looked up, so the share changes nothing."""
+    monkeypatch.setattr(url_filter, "TOKEN_SHARE", share)
+    pick = random.Random(7)
+    hosts = ["freecasino.org", "news.org", "casino-win.net", "shop.example.net", "m.news.org", "trackers.org", "wiki42.net", "xn--é.org"]
+    urls = [f"http://{pick.choice(hosts)}/{pick.choice(['en', 'de/free', 'win', '7/8', ''])}" for _ in range(120)] + [None, "none", "http://news.org/" + "win/" * 3000]
+    pages = spark.createDataFrame([(i, u, "<b>free casino</b> news win shop", "mine", "mine") for i, u in enumerate(urls)], "page_id long, url string, html string, pair string, rest string").repartition(3)
+    made = url_filter.learn(pages, [])
+    rows = {r["page_id"]: r for r in url_filter.judge(pages, made).collect()}
+    words = url_filter.Filter([], made.words, made.total)
+    tokens = [words.tokens(rows[i]["host"], rows[i]["path"]) for i in range(len(urls))]
+    blocked = [bool(set(url_filter.BLOCK_TERMS) & set(words.host_words(rows[i]["host"]))) for i in range(len(urls))]
+    counts = {flag: Counter(t for ts, b in zip(tokens, blocked) if b == flag for t in ts) for flag in (True, False)}
+    kinds = len(counts[True] | counts[False])
+    odds = {t: math.log((counts[True][t] + 1) / (counts[True].total() + kinds + 1)) - math.log((counts[False][t] + 1) / (counts[False].total() + kinds + 1)) for t in counts[True] | counts[False]}
+    prior = math.log((sum(blocked) + 1) / (len(urls) - sum(blocked) + 1))
+    for i, ts in enumerate(tokens):
+        score = prior + sum(odds[t] for t in ts)
+        assert rows[i]["score"] == pytest.approx(score) and rows[i]["verdict"] == ("block" if score > 0 else "allow") and (rows[i]["pair"], rows[i]["rest"]) == ("mine", "mine")
+    assert len(rows) == len(urls) and (made.rare is None) == (share == 0)
+
+
 # ---- one of each group ---------------------------------------------------------------
 
 
