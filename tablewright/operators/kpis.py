@@ -84,7 +84,7 @@ def kpis(df: DataFrame, order: Sequence | None = None, period: Column | None = N
     one = df.agg(*sums)
     total, filled = (lambda c: F.col(f"`sum:{c}`")), (lambda c: F.col(f"`n:{c}`"))
 
-    known: dict[tuple, dict] = {}
+    known: dict[tuple, Column] = {}
     profit_parts = (revenue[0], cost[0]) if revenue and cost and not direct else None
     if period is not None and when is not None:
         # All series in one pass over the table, all trends in one job.
@@ -95,12 +95,15 @@ def kpis(df: DataFrame, order: Sequence | None = None, period: Column | None = N
         cells = F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).alias("value")) for n in names])
         long = per.select("period", F.inline(cells)) if names else None
         if long is not None:
-            for row in insights.trend(long, "value", ["period"], group_by=["measure"], small=True).collect():
-                known[names[row["measure"]]] = row.asDict()
+            found = insights.trend(long, "value", ["period"], group_by=["measure"], small=True)
+            # At most one row per figure, as one scalar of the plan.
+            rows = F.map_from_entries(F.collect_list(F.struct("measure", F.struct(*[quoted(c) for c in found.columns]).alias("row"))))
+            trends = found.agg(rows.alias("rows")).scalar()
+            known = {key: F.try_element_at(trends, F.lit(name)) for name, key in names.items()}
 
     def trend_of(value: str | tuple[str, str], field: str = "trend", function: str = "sum") -> Column:
-        """Field of the trend of a column, or of the difference of two.  One
-        row per series comes to the driver, once."""
+        """Field of the trend of a column, or of the difference of two: the
+        one row of a series is a scalar of the plan, nothing is collected."""
         if when is None or (order is None and period is None):
             return F.lit(None)
         if (value, function) not in known:
@@ -110,9 +113,8 @@ def kpis(df: DataFrame, order: Sequence | None = None, period: Column | None = N
                 found = insights.trend(series, "value", ["period"])
             else:
                 found = insights.trend(rows, "__measure", order)
-            row = found.first()
-            known[value, function] = row.asDict() if row else {}
-        return F.lit(known[value, function].get(field))
+            known[value, function] = found.select(F.struct(*[quoted(c) for c in found.columns])).scalar()
+        return known[value, function].getField(field)
 
     sure = lambda *parts: round(min(parts), 4)
     rows: list[dict] = []

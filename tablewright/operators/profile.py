@@ -330,7 +330,7 @@ def column_sample(df: DataFrame, column: str, n: int = 500, seed: int = 0) -> Da
     and seed.  Profiles here read all values; this is for a quick look."""
     name = resolve(column, df.columns)
     values = df.select(quoted(name)).filter(quoted(name).isNotNull())
-    return values.orderBy(F.xxhash64(quoted(name), F.lit(seed)), quoted(name)).limit(n)
+    return values.orderBy(F.md5(F.concat(quoted(name).cast("string"), F.lit(f":{seed}"))), quoted(name)).limit(n)
 
 
 # Words which make a column a yes/no column, and words for a gap.

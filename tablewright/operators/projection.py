@@ -39,15 +39,23 @@ def merge_columns(df: DataFrame, columns: Sequence[str], separator: str = " ", n
     return df.withColumn(new_column or "_".join(columns), F.concat_ws(separator, *parts))
 
 
+#: Columns which the widest row may ask for.
+MOST_PARTS = 500
+
+
 def split_column(df: DataFrame, column: str, delimiter: str, parts: int | None = None) -> DataFrame:
     """``column_part1 … n`` by a literal delimiter; n is that of the widest
-    row (one small aggregate) unless given.  Absent parts are null."""
+    row (one small aggregate) unless given.  Absent parts are null.  A row of
+    more than MOST_PARTS parts is refused rather than made a plan of that
+    width; ``parts`` keeps the first ones of any row."""
     _need(df, [column])
     if not delimiter:
         raise ValueError("a delimiter is needed")
     pieces = F.split(quoted(column).cast("string"), re.escape(delimiter))
     if parts is None:
         parts = df.agg(F.max(F.size(pieces))).first()[0] or 1
+        if parts > MOST_PARTS:
+            raise ValueError(f"the widest row of {column!r} has {parts} parts, more than {MOST_PARTS}; say how many are wanted")
     return df.select("*", *[F.get(pieces, F.lit(i)).alias(f"{column}_part{i + 1}") for i in range(max(parts, 1))])
 
 

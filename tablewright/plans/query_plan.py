@@ -23,11 +23,15 @@ WINDOWS = ("rank", "dense_rank", "running_total", "moving_average")
 def run_plan(df: DataFrame, plan: dict) -> DataFrame:
     if not plan:
         raise ValueError("the plan is empty")
+    given = df
     for derived in plan.get("derived_columns") or []:
         df = add_derived(df, derived)
     group = resolve_all(plan.get("group_by") or [], df.columns)
     metrics = [_metric(df, m) for m in plan.get("metrics") or []]
-    conditions = [plan_condition(df, f) for f in plan.get("filters") or []]
+    # A mean to compare with is taken from the table as it was given, where the
+    # column is there already: derived columns neither add nor drop rows.
+    known = {c.lower() for c in given.columns}
+    conditions = [plan_condition(given if str(f.get("column")).strip().lower() in known else df, f) for f in plan.get("filters") or []]
 
     rows = df.filter(all_of(conditions)) if conditions else df
     if metrics:

