@@ -83,7 +83,8 @@ def sentiment(text: Column, positive: Sequence[str] = POSITIVE_WORDS, negative:
 
 # ---- personal data -------------------------------------------------------
 
-# (?U) gives word signs and boundaries their Unicode meaning.
+# Patterns of what is masked.  (?U) gives word signs and
+# boundaries their Unicode meaning.
 EMAIL = r"(?iU)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 URL = r"(?i)https?://\S+|www\.\S+"
 PHONE = r"(?U)(?<!\w)(?:\+?\d[\d\s().-]{7,}\d)(?!\w)"
@@ -118,6 +119,7 @@ def renamed(text: Column, aliases: Mapping[str, str]) -> Column:
 
 # ---- tokens and hashes ---------------------------------------------------
 
+# Forms of texts without personal data.
 SAFE_TOKEN = r"^[a-z0-9][a-z0-9_.:-]*$"
 SAFE_HEX = r"^[a-f0-9]{16,}$"
 SAFE_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?[+-]\d{2}:\d{2}$"

@@ -1,8 +1,7 @@
 """Standard values for truth words, countries, cities, regions and genders.
 
-A value is standardised once: distinct values are grouped first (map-side
-combine), the expression runs on those, and the mapping is joined back, as a
-broadcast when it has been counted small.
+A value is standardised where it lies, by an expression of its column; what a
+column holds is decided from its distinct values.
 """
 
 from __future__ import annotations

@@ -37,6 +37,7 @@ def _shown(value: Column) -> Column:
     return value.cast("double").cast("string")
 
 
+# Texts, marks and spans of the advice.
 def default_rules() -> list[Column]:
     revenue = F.coalesce("revenue_decline", F.lit(0.0))
     by_trend = F.coalesce(F.col("margin_trend") == "Decreasing", F.lit(False))
