@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.names import UnknownColumn, resolve
 from tablewright.functions.predicates import cleaning_condition, role_condition
-from tablewright.operators import ordered
+from tablewright.operators import ordered, projection
 from tablewright.operators.roles import check_conditions
 from tablewright.plans import structured
 from tablewright.plans.query_plan import run_plan, select_where
@@ -157,3 +157,23 @@ def test_moving_average_over_block_borders(spark, rows):
 def test_group_value_matches_null_keys(spark, rows):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "k string, v int")
     assert rows(ordered.group_value(df, ["k"], {"n": F.count(F.lit(1))}), "v", "n") == [(1, 2), (2, 2), (3, 1)]
+
+
+def test_means_come_from_the_table_as_given(spark):
+    """The scalar of a comparison does not run through the derived columns."""
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 9.0), ("b", 4.0)], "g string, v double")
+    condition = {"window_function": "sum", "partition_by": ["g"], "column": "v", "operator": "greater_than", "value": 5}
+    plan = {"derived_columns": [{"alias": "size", "case": {"condition": condition, "then": "big", "else": "small"}}], "filters": [{"column": "v", "operator": "above_average"}]}
+    found = run_plan(df, plan)
+    assert [(r["v"], r["size"]) for r in found.collect()] == [(9.0, "big")]
+    # One join puts the groups' sums on the rows; the mean needs none.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_too_wide_a_split_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(projection, "MOST_PARTS", 3)
+    df = spark.createDataFrame([("a,b,c,d",), ("x",)], "t string")
+    with pytest.raises(ValueError):
+        projection.split_column(df, "t", ",")
+    assert projection.split_column(df, "t", ",", 2).columns == ["t", "t_part1", "t_part2"]
+    assert projection.split_column(df.filter("t = 'x'"), "t", ",").columns == ["t", "t_part1"]
