@@ -31,6 +31,8 @@ from .common import durable, quoted, shared_folder
 
 RUN, LEVELS = 3, 6
 FAN = RUN**LEVELS
+#: Tables of sources up to this length are broadcast.
+BROADCAST_SOURCES = 100_000
 #: Leaves which meet in one key of the climb.
 FANIN = 8_192
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -69,7 +71,9 @@ def _grouped(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
     own = [c for c in nodes.columns if c not in ("tree", "place")]
     member = F.struct("place", *own)
     groups = nodes.groupBy("tree", F.floor(F.col("place") / FAN).alias("above")).agg(F.sort_array(F.collect_list(member)).alias("members"), F.sum("leaves").alias("below"))
-    groups = groups.join(sizes, "tree").withColumns({"steps": _steps(F.col("size")), "level0": F.transform("members", lambda m: m["hash"])})
+    # Few sources are broadcast, so that a hot one's groups are not brought together.
+    few = sizes.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    groups = groups.join(F.broadcast(sizes) if few else sizes, "tree").withColumns({"steps": _steps(F.col("size")), "level0": F.transform("members", lambda m: m["hash"])})
     for j in range(LEVELS):
         here = F.col(f"level{j}")
         groups = groups.withColumn(f"level{j + 1}", F.when(F.col("steps") > j, _level_above(here)).otherwise(here))
