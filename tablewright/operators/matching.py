@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -181,13 +182,21 @@ def _place(parts) -> list[Column]:
 # ---- near texts --------------------------------------------------------------
 
 
-def _token_sets(texts: DataFrame) -> DataFrame:
-    """(norm) → words, rarest first."""
-    listed = texts.select("norm", "side", words(F.col("norm")).alias("tokens"))
-    exploded = listed.select("norm", "side", F.explode("tokens").alias("token"))
+#: 64-bit words of a text's sign.
+SIGN_WORDS = 4
+
+
+def _word_lists(texts: DataFrame) -> DataFrame:
+    """(text_id, side) → hashes of its words, rarest first, their number and
+    the text's sign: a bit per place is set if an odd number of words fall on
+    it.  Texts do not travel, only their ids and hashes of words."""
+    exploded = texts.select("text_id", "side", F.explode(F.transform(words(F.col("norm")), lambda w: F.xxhash64(w))).alias("token"))
     frequency = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
-    placed = exploded.join(frequency, "token").groupBy("norm", "side").agg(F.array_sort(F.collect_list(F.struct("uses", "token"))).alias("t"))
-    return placed.select("norm", "side", F.transform("t", lambda t: t["token"]).alias("tokens"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("token", F.lit(64)).cast("int"))
+    word = F.pmod(F.shiftright("token", 6), F.lit(SIGN_WORDS))
+    signs = [F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"sign{i}") for i in range(SIGN_WORDS)]
+    listed = exploded.join(frequency, "token").groupBy("text_id", "side").agg(F.array_sort(F.collect_list(F.struct("uses", "token"))).alias("t"), *signs)
+    return listed.withColumns({"tokens": F.transform("t", lambda t: t["token"]), "size": F.size("t")}).drop("t")
 
 
 def similar_questions(
@@ -240,20 +249,27 @@ def similar_questions(
 def _near_pairs(new: DataFrame, past: DataFrame, floor: float) -> DataFrame:
     """(a_norm, b_norm) of the texts whose word sets overlap by ``floor``.
 
-    Only a text's hash, size and words travel to the join by words; the texts
-    and their whole word sets are brought in for the pairs which met.
+    Only a text's hash, size, sign and rarest words travel to the join by
+    words.  Two sets differ in at least as many words as their signs differ in
+    bits, so pairs whose signs are too far apart are dropped where they meet;
+    no near pair is.  The texts are brought in for the pairs left.
     """
     both = new.select("norm", F.lit("new").alias("side")).unionByName(past.select("norm", F.lit("past").alias("side")))
-    sets = durable(_token_sets(both).withColumns({"size": F.size("tokens"), "text_id": F.struct(F.xxhash64("norm"), F.xxhash64(F.reverse("norm")))}))
+    texts = durable(both.withColumn("text_id", F.struct(F.xxhash64("norm"), F.xxhash64(F.reverse("norm")))))
+    # The words which a near text must share one of.
     prefix = F.slice(F.col("tokens"), F.lit(1), F.col("size") - F.ceil(F.col("size") * F.lit(floor) - 1e-9).cast("int") + 1)
+    signs = [f"sign{i}" for i in range(SIGN_WORDS)]
+    sets = durable(_word_lists(texts).select("text_id", "side", "size", *signs, prefix.alias("prefix")))
     entry = lambda side, tag: sets.filter(F.col("side") == side).select(
-        F.col("text_id").alias(f"{tag}_id"), F.col("size").alias(f"{tag}_size"), F.explode(prefix).alias("token"))
+        *[F.col(n).alias(f"{tag}_{n}") for n in ("text_id", "size", *signs)], F.explode("prefix").alias("token"))
     sized = (F.col("b_size") >= F.col("a_size") * floor - 1e-9) & (F.col("a_size") >= F.col("b_size") * floor - 1e-9)
-    met = entry("new", "a").join(entry("past", "b"), "token").filter(sized).select("a_id", "b_id").distinct()
-    whole = lambda side, tag: sets.filter(F.col("side") == side).select(
-        F.col("text_id").alias(f"{tag}_id"), F.col("norm").alias(f"{tag}_norm"), F.col("tokens").alias(f"{tag}_tokens"))
-    pairs = met.join(whole("new", "a"), "a_id").join(whole("past", "b"), "b_id")
-    return pairs.filter(jaccard(F.col("a_tokens"), F.col("b_tokens")) >= floor).select("a_norm", "b_norm")
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in signs])
+    most = (F.col("a_size") + F.col("b_size")) * F.lit((1.0 - floor) / (1.0 + floor)) + 1e-6
+    met = entry("new", "a").join(entry("past", "b"), "token").filter(sized & (apart <= most)).select("a_text_id", "b_text_id").distinct()
+    whole = lambda side, tag: texts.filter(F.col("side") == side).select(
+        F.col("text_id").alias(f"{tag}_text_id"), F.col("norm").alias(f"{tag}_norm"))
+    pairs = met.join(whole("new", "a"), "a_text_id").join(whole("past", "b"), "b_text_id")
+    return pairs.filter(jaccard(words(F.col("a_norm")), words(F.col("b_norm"))) >= floor).select("a_norm", "b_norm")
 
 
 def word_overlap(left: DataFrame, right: DataFrame, key: str, text: str, minimum: float) -> DataFrame:
