@@ -131,6 +131,8 @@ SPREAD, RANGE_SIGNS = 0.02, 64
 KEY_LIKENESS = 0.45
 #: Sources' values which are broadcast at most.
 BROADCAST_VALUES = 500_000
+#: Cells of which one task looks for the distinct ones or their counterparts.
+TASK_CELLS = 1_000_000
 
 
 def value_overlap(source: DataFrame, source_column: str, target: DataFrame, target_column: str) -> DataFrame:
@@ -220,6 +222,30 @@ class LongColumns(Columns):
         return rows.select("c", cell(F.col("value")).alias("cell")).select("c", "cell.*")
 
 
+def _dealt(found: Columns, wanted: Iterable[int], also: int = 0) -> tuple[DataFrame | None, int]:
+    """The cells of the wanted columns as 128-bit hashes, dealt by them into as
+    many parts as hold TASK_CELLS each (``also`` counts with them), and how
+    many these are.  Nothing is held where the cells lie, so a task's memory
+    does not follow the size of its file."""
+    wanted = list(wanted)
+    cells = found.cells(wanted, _long_hash)
+    parts = max(1, math.ceil((sum(found.facts[c]["filled"] for c in wanted) + also) / TASK_CELLS))
+    return None if cells is None else cells.repartition(parts, "h", "g"), parts
+
+
+def _distinct(found: Columns, wanted: Iterable[int]) -> DataFrame | None:
+    """The distinct cells of the wanted columns.  Those of columns of few
+    values, TASK_CELLS in all, are first brought together where they lie; the
+    others are dealt at once, as hardly fewer would be left of them there or
+    too many for a task."""
+    few, many, held = [], [], 0.0
+    for c in sorted(set(wanted), key=lambda c: found.facts[c]["distinct"]):
+        held += found.facts[c]["distinct"] * (1 + ERRORS * SPREAD)
+        (few if held <= TASK_CELLS and found.facts[c]["distinct"] * 4 <= found.facts[c]["filled"] else many).append(c)
+    parts = [cells.distinct() for cells in (found.cells(few, _long_hash) if few else None, _dealt(found, many)[0] if many else None) if cells is not None]
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
 def _facts(text: Column) -> dict[str, Column]:
     short = F.substring(text, 1, RANGE_SIGNS)
     return {"filled": F.count(text), "distinct": F.approx_count_distinct(text, SPREAD), "low": F.min(short), "high": F.max(short)}
@@ -256,10 +282,13 @@ def relationships(
        stays unless it misses ``minimum`` by ERRORS standard errors;
     3. for pairs left, the source's distinct values are looked up in the
        targets' cells, exactly, by 128-bit hashes; cells which no source has
-       are dropped where they lie;
+       are dropped where they lie if the values are few;
     4. for targets of pairs which really overlap, the exact number of distinct
        values decides whether they are key-like.
 
+    Hashes are dealt into parts by the counts of job 1, so that a task holds
+    TASK_CELLS of them, however large the tables or their files are.
+
     The driver sees numbers per column and per pair of columns.
     """
     found = tables if isinstance(tables, Columns) else Columns(tables)
@@ -270,8 +299,8 @@ def relationships(
     shared = _shared(found, pairs)
     pairs = {p: share for p, share in shared.items() if share >= minimum}
     asked = {t for s, t in pairs if not _same_name(found, s, t)}
-    counts = found.cells(asked, _long_hash)
-    distinct = {r["c"]: r["n"] for r in counts.distinct().groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()} if counts is not None else {}
+    counts = _distinct(found, asked)
+    distinct = {r["c"]: r["n"] for r in counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()} if counts is not None else {}
 
     def is_key(c: int) -> bool:
         fact = found.facts[c]
@@ -313,11 +342,15 @@ def _shared(found: Columns, pairs: Sequence[tuple[int, int]]) -> dict[tuple[int,
     if not pairs:
         return {}
     sources = {s for s, _ in pairs}
-    values = durable(found.cells(sources, _long_hash).distinct().withColumnRenamed("c", "s"))
+    values = durable(_distinct(found, sources).withColumnRenamed("c", "s"))
     sizes = {r["s"]: r["n"] for r in values.groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect()}
-    looked = values.select("h", "g").distinct()
-    looked = F.broadcast(looked) if sum(sizes.values()) <= BROADCAST_VALUES else looked
-    cells = found.cells({t for _, t in pairs}, _long_hash).join(looked, ["h", "g"], "left_semi").distinct().withColumnRenamed("c", "t")
+    targets, looked = {t for _, t in pairs}, sum(sizes.values())
+    if looked <= BROADCAST_VALUES:
+        cells = found.cells(targets, _long_hash).join(F.broadcast(values.select("h", "g").distinct()), ["h", "g"], "left_semi")
+    else:
+        cells, parts = _dealt(found, targets, looked)
+        values = values.repartition(parts, "h", "g")
+    cells = cells.distinct().withColumnRenamed("c", "t")
     wanted = F.broadcast(found.spark.createDataFrame(list(pairs), "s int, t int"))
     met = values.join(cells, ["h", "g"]).join(wanted, ["s", "t"], "left_semi").groupBy("s", "t").agg(F.count(F.lit(1)).alias("n"))
     return {(r["s"], r["t"]): r["n"] / sizes[r["s"]] for r in met.collect()}

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tablewright.functions.text import words
-from tablewright.operators import matching
+from tablewright.operators import matching, relations
 
 
 def test_texts_far_apart_do_not_travel_as_pairs(spark, rows):
@@ -15,12 +15,12 @@ def test_texts_far_apart_do_not_travel_as_pairs(spark, rows):
     listed = [f"w{i}" for i in range(60)]
     texts = sorted({" ".join(["rare", *pick.sample(listed, pick.randrange(1, 40))]) for _ in range(150)})
     texts += [t + " more" for t in texts[::3]]
-    new, past = (spark.createDataFrame([(t,) for t in texts[i::2]], "norm string") for i in (0, 1))
+    new, past = (spark.createDataFrame([(t,) for t in side], "norm string") for side in (texts[:150], texts))
     floor = 0.8
     found = matching._near_pairs(new, past, floor)
     sets = {t: set(t.split()) for t in texts}
-    near = sorted((a, b) for a in texts[0::2] for b in texts[1::2] if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= floor)
-    assert near and rows(found) == near
+    near = sorted((a, b) for a in texts[:150] for b in texts if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= floor)
+    assert len(near) > 150 and rows(found) == near
     # The bound is a condition of the join by words, below the exchange of pairs.
     assert "bit_count" in found._jdf.queryExecution().optimizedPlan().toString()
 
@@ -36,3 +36,25 @@ def test_signs_never_differ_by_more_than_the_words(spark):
         for b in lists:
             apart = sum((x ^ y).bit_count() for x, y in zip(bits(a), bits(b)))
             assert apart <= len(set(a["norm"].split()) ^ set(b["norm"].split()))
+
+
+def test_a_task_holds_a_bounded_number_of_cells(spark, rows, monkeypatch):
+    """Keys of 3,000 values, a part of them hot: links are exact whatever the
+    number of parts, and the parts follow the number of cells."""
+    monkeypatch.setattr(relations, "TASK_CELLS", 500)
+    monkeypatch.setattr(relations, "BROADCAST_VALUES", 50)
+    owners = spark.range(3000).select(F.col("id").alias("owner_key"), (F.col("id") % 7).alias("kind_id")).coalesce(1)
+    things = spark.range(4000).select(F.col("id").alias("thing_key"), F.when(F.col("id") % 3 == 0, 5).when(F.col("id") % 3 == 1, F.col("id") % 3100).alias("owner_id")).coalesce(1)
+    kinds = spark.range(7).select(F.col("id").alias("kind_key"))
+    tables = {"owners": owners, "things": things, "kinds": kinds}
+    used = [i % 3100 for i in range(4000) if i % 3 == 1] + [5]
+    share = len({u for u in used if u < 3000}) / len(set(used))
+    found = relations.relationships(tables, {"owners": ["kind_id"], "things": ["owner_id"]}, suffixes=("_id",))
+    links = {tuple(r)[:4]: r["confidence"] for r in found.collect()}
+    assert links["things", "owner_id", "owners", "owner_key"] == round(share, 4) and links["owners", "kind_id", "kinds", "kind_key"] == 1.0
+    columns = relations.Columns(tables)
+    wanted = [columns.ids["owners", "owner_key"], columns.ids["owners", "kind_id"]]
+    distinct = relations._distinct(columns, wanted)
+    assert rows(distinct.groupBy("c").count()) == [(wanted[0], 3000), (wanted[1], 7)]
+    dealt, parts = relations._dealt(columns, wanted)
+    assert parts == 12 and max(dealt.groupBy(F.spark_partition_id()).agg(F.countDistinct("c", "h", "g").alias("n")).select("n").toPandas()["n"]) < 1000
