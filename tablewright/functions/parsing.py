@@ -25,6 +25,23 @@ DATE_SHAPES = {
     r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$": ["MMMM d, yyyy"],
 }
 
+# Texts which may be read as a whole number or a double; a failed parse is
+# slow, so others are not tried.
+WHOLE_SHAPE = r"^\W*\d+\W*$"
+NUMBER_SHAPE = r"(?is)^[\x00-\x20]*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?[df]?[\x00-\x20]*$|0x|inf|nan)"
+# The beginnings of all shapes above and of ISO text.
+DATE_START = r"^(?:\d{4}[-/]|\d{1,2}[-/ ]|[A-Za-z]{3,9} \d)"
+
+
+def whole(value: Column) -> Column:
+    """The bigint which ``try_cast`` makes of text."""
+    return F.when(value.rlike(WHOLE_SHAPE), value.try_cast("bigint"))
+
+
+def double(value: Column) -> Column:
+    """The double which ``try_cast`` makes of text."""
+    return F.when(value.rlike(NUMBER_SHAPE), value.try_cast("double"))
+
 
 def number(value: Column, kind: T.DataType | None = None) -> Column:
     """Double or null; NaN and the infinities count as missing."""
@@ -46,7 +63,7 @@ def timestamp(value: Column, kind: T.DataType | None = None, shapes=DATE_SHAPES)
     parsed = F.when(text.rlike(r"^\d{4}-\d"), text.try_cast("timestamp"))
     for shape, formats in shapes.items():
         parsed = parsed.when(text.rlike(shape), F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]))
-    return parsed
+    return F.when(text.rlike(DATE_START), parsed) if shapes is DATE_SHAPES else parsed
 
 
 def truth(value: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Sequence
+from copy import copy
 from functools import reduce
 from itertools import combinations
 
@@ -203,12 +204,20 @@ class LongColumns(Columns):
     position, value), one row per cell, so that jobs and plans do not grow with
     the number of tables."""
 
+    #: Columns told by what ``number`` makes of their text, not by the text.
+    numeric: frozenset[int] = frozenset()
+    number: Column | None = None
+
     def __init__(self, names: dict[str, Sequence[str]], long: DataFrame) -> None:
         self.spark = long.sparkSession
         self._number(names)
         places = [(t, p, self.ids[t, c]) for t, columns in names.items() for p, c in enumerate(columns)]
-        self.long = long.join(self.spark.createDataFrame(places, "dataset string, position int, c int"), ["dataset", "position"]).select("c", "value")
-        found = self.long.groupBy("c").agg(F.count(F.lit(1)).alias("rows"), *[m.alias(n) for n, m in _facts(F.col("value")).items()])
+        # One row per column, which travels to the cells.
+        places = F.broadcast(self.spark.createDataFrame(places, "dataset string, position int, c int"))
+        self.long = long.join(places, ["dataset", "position"]).select("c", "value")
+        # The ends of a range as numbers: extremes of texts would be found by sorting all cells.
+        facts = _facts(F.col("value")) | {"low": F.min(_place(F.col("value"))), "high": F.max(_place(F.col("value")))}
+        found = self.long.groupBy("c").agg(F.count(F.lit(1)).alias("rows"), *[m.alias(n) for n, m in facts.items()])
         self.facts = {r["c"]: r for r in found.collect()}
         nothing = {"rows": 0, "filled": 0, "distinct": 0, "low": None, "high": None}
         self.facts |= {c: nothing for c in self.ids.values() if c not in self.facts}
@@ -217,9 +226,22 @@ class LongColumns(Columns):
         wanted = sorted(set(wanted))
         if not wanted:
             return None
-        chosen = self.spark.createDataFrame([(c, (levels or {}).get(c, 0)) for c in wanted], "c int, level int")
-        rows = self.long.filter("value is not null").join(chosen, "c").filter(_zeros(F.xxhash64("value")) >= F.col("level"))
-        return rows.select("c", cell(F.col("value")).alias("cell")).select("c", "cell.*")
+        chosen = F.broadcast(self.spark.createDataFrame([(c, (levels or {}).get(c, 0), c in self.numeric) for c in wanted], "c int, level int, numeric boolean"))
+        text = F.col("value") if self.number is None else F.when(F.col("numeric"), self.number).otherwise(F.col("value"))
+        rows = self.long.filter("value is not null").join(chosen, "c")
+        if levels:
+            rows = rows.filter(_zeros(F.xxhash64(text)) >= F.col("level"))
+        return rows.select("c", cell(text).alias("cell")).select("c", "cell.*")
+
+    def distinct_counts(self, numeric: Iterable[int], number: Column) -> DataFrame:
+        """(c, distinct): exact numbers of distinct cells, which are told by
+        the column ``number`` of ``value`` in numeric columns, else by text."""
+        read = copy(self)
+        read.numeric, read.number = frozenset(numeric), number
+        cells = _distinct(read, (c for c, fact in self.facts.items() if fact["filled"]))
+        if cells is None:
+            return self.spark.createDataFrame([], "c int, distinct long")
+        return cells.groupBy("c").agg(F.count(F.lit(1)).alias("distinct"))
 
 
 def _dealt(found: Columns, wanted: Iterable[int], also: int = 0) -> tuple[DataFrame | None, int]:
@@ -251,6 +273,12 @@ def _facts(text: Column) -> dict[str, Column]:
     return {"filled": F.count(text), "distinct": F.approx_count_distinct(text, SPREAD), "low": F.min(short), "high": F.max(short)}
 
 
+def _place(text: Column) -> Column:
+    """The first three signs as a number, in order of their code points."""
+    signs = [F.ascii(F.substring(text, i, 1)).cast("long") for i in (1, 2, 3)]
+    return F.shiftleft(signs[0], 42) + F.shiftleft(signs[1], 21) + signs[2]
+
+
 def _hash(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("h"))
 

@@ -4,7 +4,8 @@ Files are brought into one long table (dataset, position, value), a row per
 cell, whatever their headers: delimited text of all files is one scan, JSON
 records are another, columnar files one per different schema.  Profiles, types,
 roles and keys are aggregates over the long table, so a thousand files take as
-many jobs as one.
+many jobs as one.  What is known of files and columns is small and travels to
+the rows: rows are never dealt by their file, of which there may be few.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import columns_fingerprint, quoted, unique_headers
+from ..functions.parsing import double, whole
 from ..operators.cleaning import BLANK
 from ..operators.profile import distinct_counts, missing
 from ..operators.relations import KEY_SUFFIXES, LongColumns, relationships, upgrade_foreign_keys
 from ..operators.roles import DEFAULT_RULES, long_measures, roles_of_measures
-from ..session import durable
+from ..session import durable, written
 from .readers import json_records
 from .writers import file_fingerprints
 
@@ -108,12 +110,13 @@ class LongTable:
 
     def _named(self, rows: DataFrame, chosen: Sequence[Table]) -> DataFrame:
         widths = self.spark.createDataFrame([(t.dataset, len(t.columns)) for t in chosen], "dataset string, width int")
-        return rows.join(self.files, "file").join(widths, "dataset")
+        return rows.join(F.broadcast(self.files.join(F.broadcast(widths), "dataset")), "file")
 
     def _delimited(self, chosen: Sequence[Table], separator: str) -> DataFrame:
         lines = self.spark.read.text([t.files[0] for t in chosen]).select(
             F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("place"), "value")
-        heads = lines.groupBy("file").agg(F.min_by("value", "place").alias("head")).join(self.files, "file").select("dataset", "head").collect()
+        # The first line of a file lies in its first block.
+        heads = lines.filter("place.block = 0").groupBy("file").agg(F.min_by("value", "place").alias("head")).join(self.files, "file").select("dataset", "head").collect()
         heads = {r["dataset"]: r["head"].lstrip("﻿") for r in heads}
         for t in chosen:
             t.columns = unique_headers(next(csv.reader([heads.get(t.dataset, "")], delimiter=separator), []))
@@ -137,7 +140,7 @@ class LongTable:
             t.kinds = [None] * len(t.columns)
         listed = self.spark.createDataFrame([(t.dataset, t.columns) for t in chosen], "dataset string, columns array<string>")
         cells = F.transform("columns", lambda c: F.try_element_at("row", c))
-        return rows.join(self.files, "file").join(listed, "dataset").select("dataset", F.posexplode(cells).alias("position", "value"))
+        return rows.join(F.broadcast(self.files.join(F.broadcast(listed), "dataset")), "file").select("dataset", F.posexplode(cells).alias("position", "value"))
 
     def _columnar(self, chosen: Sequence[Table]) -> DataFrame:
         reader = self.spark.read.format(chosen[0].format)
@@ -146,34 +149,37 @@ class LongTable:
         rows = rows.select(row.alias("row"), F.col("_metadata.file_path").alias("file"))
         return self._named(rows, chosen).select("dataset", F.posexplode("row").alias("position", "value"))
 
-    def measured(self) -> DataFrame:
+    def measured(self, found: LongColumns) -> DataFrame:
         """(dataset, position, column, rows, filled, distinct, kind and the
-        measures of the role rules), one row per column."""
+        measures of the role rules), one row per column.
+
+        One scan measures all cells; it tells what each column is, so that a
+        second one counts its distinct texts or numbers, whichever it holds.
+        """
         value = F.col("value")
-        number = value.try_cast("double")
+        number, count = double(value), whole(value)
         tests = {
-            "int": value.try_cast("int").isNotNull(), "bigint": value.try_cast("bigint").isNotNull(), "double": number.isNotNull(),
+            "int": count.between(-(1 << 31), (1 << 31) - 1), "bigint": count.isNotNull(), "double": number.isNotNull(),
             "date": value.rlike(r"^\d{4}-\d{2}-\d{2}$") & value.try_cast("date").isNotNull(),
             "timestamp": value.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d") & value.try_cast("timestamp").isNotNull(), "boolean": F.lower(value).isin("true", "false"),
         }
         columns = [(c, p) for t in self.tables for p, c in enumerate(t.columns)]
         sums = {"rows": F.count(F.lit(1)), "filled": F.count(value), **{f"is_{k}": F.count_if(test) for k, test in tests.items()}, **long_measures(DEFAULT_RULES, columns, value)}
         scan = self.cells.groupBy("dataset", "position").agg(*[c.alias(n) for n, c in sums.items()])
-        # Numbers are the same in any writing: 1 and 1.0, 7 and 007.
-        exact = F.coalesce(value.try_cast("bigint").cast("string"), number.cast("string"), value)
-        written = F.when(F.abs(number) < float(1 << 53), number.cast("string")).otherwise(exact)
-        hashed = self.cells.filter("value is not null").select("dataset", "position", *[F.xxhash64(F.lit(s), c).alias(n) for n, s, c in (("h", 0, value), ("g", 1, value), ("w", 0, written))])
-        distinct = hashed.distinct().groupBy("dataset", "position").agg(F.count(F.lit(1)).alias("texts"), F.countDistinct("w").alias("numbers"))
-        names = [(t.dataset, p, c, None if k is None else k.simpleString()) for t in self.tables for p, (c, k) in enumerate(zip(t.columns, t.kinds))]
-        listed = self.spark.createDataFrame(names, "dataset string, position int, column string, known string")
-        found = F.when(F.coalesce("filled", F.lit(0)) == 0, "string")
-        for kind in tests:
-            found = found.when(F.col(f"is_{kind}") == F.col("filled"), kind)
-        both = listed.join(scan, ["dataset", "position"], "left").join(distinct, ["dataset", "position"], "left")
-        both = both.withColumn("kind", F.coalesce("known", found.otherwise("string")))
+        names = [(t.dataset, p, found.ids[t.dataset, c], c, None if k is None else k.simpleString()) for t in self.tables for p, (c, k) in enumerate(zip(t.columns, t.kinds))]
+        listed = self.spark.createDataFrame(names, "dataset string, position int, c int, column string, known string")
+        kind = F.when(F.coalesce("filled", F.lit(0)) == 0, "string")
+        for name in tests:
+            kind = kind.when(F.col(f"is_{name}") == F.col("filled"), name)
+        both = listed.join(scan, ["dataset", "position"], "left").withColumn("kind", F.coalesce("known", kind.otherwise("string")))
         numeric = F.col("kind").isin("tinyint", "smallint", "int", "bigint", "float", "double") | F.startswith("kind", F.lit("decimal"))
-        zero = {n: F.coalesce(n, F.lit(0)) for n in ("rows", "filled")}
-        return both.withColumns({**zero, "distinct": F.coalesce(F.when(numeric, F.col("numbers")).otherwise(F.col("texts")), F.lit(0))})
+        both = durable(both.withColumn("numeric", numeric))
+        # Numbers are the same in any writing: 1 and 1.0, 7 and 007.
+        exact = F.coalesce(count.cast("string"), number.cast("string"), value)
+        as_number = F.when(F.abs(number) < float(1 << 53), number.cast("string")).otherwise(exact)
+        distinct = found.distinct_counts({r["c"] for r in both.filter("numeric").select("c").collect()}, as_number)
+        zero = {n: F.coalesce(n, F.lit(0)) for n in ("rows", "filled", "distinct")}
+        return both.join(distinct, "c", "left").withColumns(zero).drop("c", "numeric")
 
 
 def _percent(part: Column, whole: Column) -> Column:
@@ -193,8 +199,9 @@ def ingest(spark: SparkSession, path: str, registry: DataFrame, organization: st
     if not tables:
         return spark.createDataFrame([], DATASET), None, None, None
     long = LongTable(spark, tables)
-    long.cells = durable(long.cells)
-    measured = durable(long.measured())
+    long.cells = written(long.cells, "cells")
+    found = LongColumns({t.dataset: t.columns for t in tables}, long.cells)
+    measured = durable(long.measured(found))
     numbers = {(r["dataset"], r["position"]): r for r in measured.select("dataset", "position", "rows", "kind").collect()}
     datasets, columns = [], []
     for t in tables:
@@ -204,5 +211,5 @@ def ingest(spark: SparkSession, path: str, registry: DataFrame, organization: st
         columns += [(t.dataset, c, p, T._parse_datatype_string(k)) for p, (c, k) in enumerate(zip(t.columns, kinds))]
     gaps = F.col("rows") - F.col("filled")
     profile = measured.select(F.col("dataset").alias("dataset_id"), "column", "kind", gaps.alias("missing"), _percent(gaps, F.col("rows")).alias("missing_percent"), "distinct")
-    links = relationships(LongColumns({t.dataset: t.columns for t in tables}, long.cells), suffixes=suffixes)
+    links = relationships(found, suffixes=suffixes)
     return spark.createDataFrame(datasets, DATASET), profile, upgrade_foreign_keys(roles_of_measures(measured, columns), links), links

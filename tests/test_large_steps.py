@@ -4,8 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from tablewright.functions import parsing
 from tablewright.functions.text import words
 from tablewright.operators import matching, relations
+from tablewright.sources import catalog
 
 
 def test_texts_far_apart_do_not_travel_as_pairs(spark, rows):
@@ -58,3 +60,34 @@ def test_a_task_holds_a_bounded_number_of_cells(spark, rows, monkeypatch):
     assert rows(distinct.groupBy("c").count()) == [(wanted[0], 3000), (wanted[1], 7)]
     dealt, parts = relations._dealt(columns, wanted)
     assert parts == 12 and max(dealt.groupBy(F.spark_partition_id()).agg(F.countDistinct("c", "h", "g").alias("n")).select("n").toPandas()["n"]) < 1000
+
+
+def test_rows_of_files_are_not_dealt_by_their_file(spark, tmp_path):
+    """Few large files must not become few tasks: what is known of files and
+    columns goes to the rows, and each cell stays where its file is read."""
+    for i in range(2):
+        (tmp_path / f"t{i}.csv").write_text("key_id,name\n" + "".join(f"{k},n{k % 3}\n" for k in range(50)), encoding="utf-8")
+        (tmp_path / f"r{i}.jsonl").write_text("".join(f'{{"key_id": {k}, "name": "n{k % 3}"}}\n' for k in range(50)), encoding="utf-8")
+    spark.range(50).selectExpr("id AS key_id", "concat('n', id % 3) AS name").write.parquet(f"{tmp_path}/p.parquet")
+    rows = catalog.new_files(spark, str(tmp_path), spark.createDataFrame([], catalog.DATASET), "o").collect()
+    long = catalog.LongTable(spark, [catalog.Table(r["sha256"][:16], r["path"], r["sha256"], list(r["files"]), catalog._format(r["path"], r["files"][0])) for r in rows])
+    assert "hashpartitioning" not in long.cells._jdf.queryExecution().executedPlan().toString()
+    found = relations.LongColumns({t.dataset: t.columns for t in long.tables}, long.cells)
+    wanted = found.cells(found.ids.values(), relations._hash)
+    assert "hashpartitioning" not in wanted._jdf.queryExecution().executedPlan().toString()
+    measured = {(r["dataset"], r["column"]): (r["kind"], r["rows"], r["distinct"]) for r in long.measured(found).collect()}
+    assert sorted(measured.values()) == sorted([("int", 50, 50)] * (len(rows) - 1) + [("bigint", 50, 50)] + [("string", 50, 3)] * len(rows))
+
+
+def test_numbers_and_dates_are_tried_only_where_they_may_be(spark):
+    """The gates before slow casts lose nothing which the casts can read."""
+    texts = ["", " ", "1", " 1 ", "+1", "-0", "007", "1.0", ".5", "5.", ".", "1e5", "1E-5", "1e", "1d", "2.5F", "0x1p3", "-0X1.8P1", "inf", "-Infinity", "NaN", " nan ", "iNf", "\t1\n", "\x001", "1\x7f", "1 2", "1-2",
+             "2147483648", "-2147483649", "9223372036854775808", "0" * 30 + "1", "1_000", "1,000", "\u0661", "1\u00a0", "x1", "2024", "2024-01-05", "2024-1-5", "2024-01-05 10:00", "2024-01-05T10:00:00Z", "2024/01/05", "1/2/2024",
+             "1/2/2024 10:00", "31-12-2024", "5 Jan 2024", "Jan 5, 2024", "January 5, 2024", " 2024-01-05 ", "12024-01-05", "5-LOW", "Customer#000000001", "true", None]
+    v = F.col("v")
+    plain = v.try_cast("double"), v.try_cast("bigint")
+    whole = parsing.whole(v)
+    odd = spark.createDataFrame([(t,) for t in texts], "v string").select(
+        "v", parsing.double(v).eqNullSafe(plain[0]).alias("d"), whole.eqNullSafe(plain[1]).alias("w"), whole.between(-(1 << 31), (1 << 31) - 1).eqNullSafe(F.when(plain[1].isNotNull(), v.try_cast("int").isNotNull())).alias("i"),
+        parsing.timestamp(v).eqNullSafe(parsing.timestamp(v, shapes=dict(parsing.DATE_SHAPES))).alias("t"))
+    assert odd.filter("not (d and w and i and t)").collect() == []

@@ -214,13 +214,18 @@ KINDS = {"c_custkey": "int", "c_nationkey": "int", "c_acctbal": "double", "o_ord
          "user_id": "int", "value": "double", "s_suppkey": "bigint", "s_nationkey": "int", "s_acctbal": "double"}
 
 
+def in_parts(df, least):
+    """In as many parts as it is read in, but no fewer than ``least``."""
+    return df if df.rdd.getNumPartitions() >= least else df.repartition(least)
+
+
 def ingested(spark, folder):
     """Tables in four formats, one of which is known already."""
     base = new_folder(spark, "inbox")
     writers.write_csv(load(spark, folder, "region"), f"{base}/region.csv")
     known = catalog.ingest(spark, base, spark.createDataFrame([], catalog.DATASET), "o1")[0]
-    writers.write_csv(load(spark, folder, "customer").repartition(3), f"{base}/customer.csv")
-    load(spark, folder, "orders").repartition(2).write.option("header", True).option("sep", "\t").csv(f"{base}/orders.tsv")
+    writers.write_csv(in_parts(load(spark, folder, "customer"), 3), f"{base}/customer.csv")
+    in_parts(load(spark, folder, "orders"), 2).write.option("header", True).option("sep", "\t").csv(f"{base}/orders.tsv")
     events = load(spark, folder, "events").select(*INGESTED["events"].split())
     events.select(F.to_json(F.struct(*events.columns), {"ignoreNullFields": "false"}).alias("value")).write.text(f"{base}/events.jsonl")
     writers.write_parquet(load(spark, folder, "supplier"), f"{base}/supplier.parquet")
