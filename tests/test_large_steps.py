@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import parsing
 from tablewright.functions.text import words
-from tablewright.operators import matching, relations
+from tablewright.operators import matching, relations, renaming
 from tablewright.sources import catalog
 
 
@@ -91,3 +91,23 @@ def test_numbers_and_dates_are_tried_only_where_they_may_be(spark):
         "v", parsing.double(v).eqNullSafe(plain[0]).alias("d"), whole.eqNullSafe(plain[1]).alias("w"), whole.between(-(1 << 31), (1 << 31) - 1).eqNullSafe(F.when(plain[1].isNotNull(), v.try_cast("int").isNotNull())).alias("i"),
         parsing.timestamp(v).eqNullSafe(parsing.timestamp(v, shapes=dict(parsing.DATE_SHAPES))).alias("t"))
     assert odd.filter("not (d and w and i and t)").collect() == []
+
+
+def test_many_names_are_joined_and_do_not_travel(spark, monkeypatch):
+    """Beyond a bound the names are no part of any task; the texts are the same."""
+    pick = random.Random(8)
+    words = ["ann", "bo", "Ann", "lee", "x_1", "ann-lee", "\u00e9", "o'b", "+1", "\u0130x", "Stra\u00dfe"]
+    names = list({f"{pick.choice(words)}{pick.choice([' ', '-', ''])}{pick.choice(words)}": f"C{i}" for i in range(60)}.items())
+    names += [("ann", "A2"), ("ANN", "A1"), ("ann", "A0"), ("+1", "P"), (None, "x"), ("", "y"), ("z", None)]
+    texts = ["".join(pick.choice(words) + pick.choice([" ", ", ", "-", "", ". ", "\u00df "]) for _ in range(pick.randrange(14))) for _ in range(150)] + [None, "", "ann " * 3000, "ANN", "ann"] + ["twice bo"] * 2
+    df = spark.createDataFrame([(t, i % 3, None, t) for i, t in enumerate(texts)], "name string, row int, hits double, t string").repartition(3)
+    table = spark.createDataFrame(names, "name string, alias string")
+    travelling = renaming.rename_names(df, "t", table)
+    monkeypatch.setattr(renaming, "TRAVELLING_NAMES", 5)
+    monkeypatch.setattr(renaming, "CANDIDATES", 100)
+    joined = renaming.rename_names(df, "t", table)
+    sort = lambda d: sorted(map(str, d.collect()))
+    assert joined.schema == travelling.schema and sort(joined) == sort(travelling) and len(sort(joined)) == len(texts)
+    assert "BatchEvalPython" not in (plan := joined._jdf.queryExecution().optimizedPlan().toString()) and "Join" in plan
+    none = renaming.rename_names(df.filter("false"), "t", table)
+    assert none.count() == 0 and none.schema == travelling.schema
